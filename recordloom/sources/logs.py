@@ -146,3 +146,32 @@ def events_log(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
 
 def conversation_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return append(conversation_rows(spark, sf_dir))
+
+
+def governance_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same events read as proposals, recurrences, statuses, reflections and revisions."""
+    base = events_rows(spark, sf_dir)
+    k = F.get_json_object("content_json", "$.k").cast("long")
+    seq, text = F.col("seq"), (lambda c: c.cast("string"))
+    kind = (F.when(F.col("rec_type").isin("genesis", "principle"), "proposal")
+            .when(F.col("rec_type") == "observation", "proposal_recurrence")
+            .when(F.col("rec_type") == "response", "proposal_status")
+            .otherwise(F.col("rec_type")))
+    back = seq - 1 - F.pmod(k, F.lit(8))
+    content = (
+        F.when(kind == "proposal", F.concat(
+            F.lit('{"escalated":'), F.when(k >= 95, "true").otherwise("false"),
+            F.lit(',"evidence":['), text(seq - 1), F.lit(","), text(seq + F.pmod(k, F.lit(5))),
+            F.lit('],"status":"'), F.when(k < 4, "declined").otherwise("open"),
+            F.lit('","title":"topic '), text(F.pmod(k, F.lit(6))),
+            F.lit('","topic_signature":"topic'), text(F.pmod(k, F.lit(6))), F.lit('"}')))
+        .when(kind == "proposal_recurrence", F.concat(F.lit('{"recurs_proposal_index":'), text(back), F.lit("}")))
+        .when(kind == "proposal_status", F.concat(
+            F.lit('{"marks_proposal_index":'), text(back), F.lit(',"new_status":"'),
+            F.element_at(F.array(*[F.lit(s) for s in ("accepted", "declined", "done")]),
+                         (F.pmod(k, F.lit(3)) + 1).cast("int")), F.lit('"}')))
+        .when(kind == "reflection", F.concat(
+            F.lit('{"covers_indices":['), text(seq - F.pmod(k, F.lit(20))), F.lit(","), text(seq - 1), F.lit("]}")))
+        .otherwise(F.when(F.pmod(k, F.lit(9)) == 0, F.lit('{"note":"none"}')).otherwise(
+            F.concat(F.lit('{"revises_index":'), text(seq - 1 - F.pmod(k, F.lit(5))), F.lit("}")))))
+    return base.withColumn("content_json", content).withColumn("rec_type", kind)

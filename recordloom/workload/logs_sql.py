@@ -48,3 +48,30 @@ EVENTS = f"with {ER}"
 EVENTS_LINKED = f"with recursive {ER},\n{LINK}"
 CONV = f"with {CR}"
 CONV_LINKED = f"with recursive {CR},\n{LINK}"
+
+_GV = """gv as (select chain_id, idx, k, ts_ms,
+   case when rec_type in ('genesis','principle') then 'proposal' when rec_type='observation' then 'proposal_recurrence'
+        when rec_type='response' then 'proposal_status' else rec_type end as rec_type,
+   idx-1-k%8 as back, k%6 as topic, k>=95 as flagged, case when k<4 then 'declined' else 'open' end as stored,
+   case k%3 when 0 then 'accepted' when 1 then 'declined' else 'done' end as new_status,
+   idx - k%20 as lo, idx-1 as hi, case when k%9=0 then null else idx-1-k%5 end as revises,
+   [idx-1, idx+k%5] as evidence from lg),
+ln as (select chain_id, count(*) as length from gv group by chain_id),
+rc as (select p.chain_id, p.idx, 1+count(r.idx) as sightings from gv p left join gv r
+       on r.chain_id=p.chain_id and r.rec_type='proposal_recurrence' and r.back=p.idx
+       where p.rec_type='proposal' group by 1,2),
+es as (select p.chain_id, p.idx, p.topic, p.flagged, coalesce(arg_max(s.new_status, s.idx), p.stored) as status
+       from gv p left join gv s on s.chain_id=p.chain_id and s.rec_type='proposal_status' and s.back=p.idx
+       where p.rec_type='proposal' group by p.chain_id, p.idx, p.topic, p.flagged, p.stored)"""
+GOV = f"with {ER},\n{_GV}"
+
+
+def merkle_levels(source: str, key: str, levels: int, prefix: str = "t") -> str:
+    """CTEs t0..tN of a Merkle tree over `source`(key, pos, h)."""
+    out = [f"{prefix}0 as (select {key}, pos, h, count(*) over (partition by {key}) as n from {source})"]
+    for i in range(levels):
+        left, right = "max(case when pos%2=0 then h end)", "max(case when pos%2=1 then h end)"
+        out.append(f"{prefix}{i+1} as (select {key}, pos//2 as pos, case when n=1 then {left} else "
+                   f"sha256(unhex({left}) || unhex(coalesce({right}, {left}))) end as h, (n+1)//2 as n "
+                   f"from {prefix}{i} group by {key}, pos//2, n)")
+    return ",\n".join(out)
