@@ -32,7 +32,7 @@ def continuity(candidate: Column, retrieved: Column, stop=fv.STOPWORDS) -> Colum
 def usefulness(candidate: Column) -> Column:
     tokens = tx.tokenize(candidate)
     start = F.lower(tx.strip(candidate))
-    filler = sum((F.startswith(start, F.lit(w)).cast("int") for w in fv.FILLER_STARTS), F.lit(0)) > 0
+    filler = F.exists(tx.literal_array(fv.FILLER_STARTS), lambda w: F.startswith(start, w))
     return tx.let(tokens, lambda t: F.when(F.size(t) == 0, 0.0).when((F.size(t) < 8) & filler, 0.15).otherwise(
         _clamp(0.55 * F.least(F.lit(1.0), F.size(t) / 60) + 0.45 * F.size(F.array_distinct(t)) / F.size(t), 0.2)))
 
@@ -91,9 +91,9 @@ def grounding(candidate: Column, support: Column | None, stop=fv.STOPWORDS) -> C
 
 def assertiveness(candidate: Column) -> Column:
     low = F.lower(candidate)
-    hedge = sum((tx.occurrences(low, h) for h in fv.HEDGE_PHRASES), F.lit(0))
-    firm = sum((tx.occurrences(low, a) for a in fv.ASSERTION_PHRASES), F.lit(0)) + F.size(tx.sentences(candidate))
-    return firm / (firm + hedge + 1)
+    counts = F.struct(tx.occurrences_of(low, fv.HEDGE_PHRASES).alias("hedge"),
+                      (tx.occurrences_of(low, fv.ASSERTION_PHRASES) + F.size(tx.sentences(candidate))).alias("firm"))
+    return tx.let(counts, lambda c: c["firm"] / (c["firm"] + c["hedge"] + 1))
 
 
 def brightness(d: dict[str, Column], risk: Column) -> Column:

@@ -49,20 +49,17 @@ class Parts:
     prior_bags: Column
     retrieved_bags: Column
     lex: Lexicons
+    tag: str
 
     def score(self, name: str) -> Column:
-        return self.rate(self.lex.words[name])
-
-    def rate(self, words) -> Column:
-        return F.when(self.n == 0, 0.0).otherwise(
-            F.least(F.lit(1.0), tx.lexicon_count(self.hits, words) / self.n * 5))
+        """Scaled share of tokens in one lexicon, from the rates made in `prepare`."""
+        return F.col(f"{self.tag}r_{name}")
 
     def valence(self) -> Column:
-        return tx.emotional_valence(self.hits, self.lex.positive, self.lex.negative)
+        return F.col(f"{self.tag}valence")
 
     def questions(self) -> Column:
-        marks = tx.occurrences(self.text, "?") * 2 + tx.lexicon_count(self.hits, self.lex.question)
-        return F.when(self.n == 0, 0.0).otherwise(F.least(F.lit(1.0), marks / self.n * 3))
+        return F.col(f"{self.tag}questions")
 
 
 def _cap(x) -> Column:
@@ -70,7 +67,9 @@ def _cap(x) -> Column:
 
 
 def _hit(activation, **detail) -> Column:
-    return F.struct(activation.cast("double").alias("activation"), *[v.alias(k) for k, v in detail.items()])
+    # bound as one value: an unbound struct would be re-computed for each field read from it
+    return tx.let(F.struct(activation.cast("double").alias("activation"),
+                           *[v.alias(k) for k, v in detail.items()]), lambda s: s)
 
 
 def _first_max(named: dict[str, Column]) -> Column:
@@ -84,7 +83,7 @@ def _first_max(named: dict[str, Column]) -> Column:
 def intent(p: Parts) -> Column:
     q, hedge = p.questions(), p.score("intent_hedge")
     parts = {"knowledge": q * (1 - hedge), "creation": p.score("imperative") * (1 - q),
-             "validation": p.rate(p.lex.identity) * q + hedge * 0.5, "connection": p.valence() * 0.5 + 0.5}
+             "validation": p.score("identity") * q + hedge * 0.5, "connection": p.valence() * 0.5 + 0.5}
     return _hit(_cap(F.greatest(*parts.values())), primary=_first_max(parts))
 
 
@@ -134,7 +133,7 @@ def vulnerability(p: Parts) -> Column:
 
 
 def abstraction_balance(p: Parts) -> Column:
-    a, c = p.score("abstract"), p.rate(sorted({*p.lex.tech, *p.lex.words["concrete_extra"]}))
+    a, c = p.score("abstract"), p.score("concrete")
     return _hit(_cap(0.2 + F.abs(a - c) + F.when(F.least(a, c) > 0.1, 0.3).otherwise(0.0)), abstract=a, concrete=c)
 
 
@@ -152,7 +151,7 @@ def convergence(p: Parts) -> Column:
 
 
 def metacognition(p: Parts) -> Column:
-    marks = reduce(lambda a, b: a + b, [tx.occurrences(p.low, w) for w in fv.META_WORDS])
+    marks = tx.occurrences_of(p.low, fv.META_WORDS)
     return _hit(_cap(0.1 + marks * 0.12 + tx.contains_count(p.low, fv.META_PHRASES) * 0.25))
 
 
@@ -182,7 +181,7 @@ def artifact_content(p: Parts) -> Column:
     chars = tx.total(F.transform(bodies, lambda b: F.length(b).cast("double"))) + _indented_chars(p.text)
     size = F.length(p.text)
     structure = (F.when(F.size(bodies) > 0, 0.10).otherwise(0.0)
-                 + F.when(F.size(F.filter(tags, lambda t: t.isin(fv.FENCE_LANGUAGES))) > 0, 0.05).otherwise(0.0)
+                 + F.when(F.size(F.filter(tags, lambda t: tx.among(t, fv.FENCE_LANGUAGES))) > 0, 0.05).otherwise(0.0)
                  + F.when(F.regexp_count(p.text, F.lit(r"(?md)^\s*\|.*\|\s*$")) >= 2, 0.08).otherwise(0.0)
                  + F.when(p.text.rlike(r'\{[\s\S]*"[^"]+"\s*:[\s\S]*\}'), 0.05).otherwise(0.0))
     score = _cap(F.least(size.cast("double"), chars) / size + F.least(structure, F.lit(0.25)))
@@ -212,7 +211,7 @@ def resolution(p: Parts) -> Column:
 
 
 def _content_share(p: Parts) -> Column:
-    kept = F.filter(p.tokens, lambda t: (F.length(t) > 3) & ~t.isin(p.lex.stop))
+    kept = F.filter(p.tokens, lambda t: (F.length(t) > 3) & ~tx.among(t, p.lex.stop))
     return F.when(p.n == 0, 0.0).otherwise(F.size(kept) / p.n)
 
 
@@ -254,7 +253,7 @@ def uncertainty(p: Parts) -> Column:
 def injection_scan(p: Parts) -> Column:
     tags = tx.contains_count(p.low, fv.ROLE_TAGS)
     runs = F.regexp_count(p.text, F.lit(fv.ENCODED_RUN))
-    punct = F.when(p.n > 0, F.regexp_count(p.text, F.lit(r"(?U)[^\p{L}\p{N}\s]")) / p.n).otherwise(0.0)
+    punct = F.when(p.n > 0, F.length(F.regexp_replace(p.text, fv.NOT_PUNCTUATION, "")) / p.n).otherwise(0.0)
     act = _cap(F.least(F.lit(0.5), tags * 0.25) + F.least(F.lit(0.5), F.greatest(runs - 1, F.lit(0)) * 0.25)
                + F.least(F.lit(0.5), F.greatest(punct - 0.7, F.lit(0.0)) * 0.7))
     return _hit(act, role_tags=tags, encoded_runs=runs, punct_ratio=punct,
@@ -303,6 +302,10 @@ DETECTORS = {f.__name__: f for f in (
     cognitive_weather, symbolic_density, buildup_pressure, self_reference_depth, temporal_orientation)}
 
 
+def _quoted(words) -> str:
+    return ",".join("'" + w.replace("'", "\\'") + "'" for w in words)
+
+
 # --- running and fusing ---------------------------------------------------------------
 
 def prepare(df: DataFrame, text: str, prior: str | None = None, retrieved: str | None = None,
@@ -322,13 +325,24 @@ def prepare(df: DataFrame, text: str, prior: str | None = None, retrieved: str |
             none if retrieved is None else F.coalesce(F.col(retrieved), none), lambda t: tx.bag(tx.tokenize(t)))})
     tokens = F.col(name["tokens"])
     out = out.withColumns({
-        name["hits"]: F.filter(tokens, lambda t: t.isin(lex.vocabulary())),
+        name["hits"]: F.expr(f"filter({name['tokens']}, t -> t in ({_quoted(lex.vocabulary())}))"),
         name["sent_tokens"]: F.transform(F.col(name["sents"]), tx.tokenize),
         name["keywords"]: tx.top_words(tx.keyword_tokens(tokens, lex.stop), 12),
         name["bag"]: tx.bag(tokens),
         name["prior_bags"]: F.transform(F.col(name["prior"]), lambda t: tx.bag(tx.tokenize(t)))})
     c = {k: F.col(v) for k, v in name.items()}
-    return out, Parts(n=F.size(tokens), lex=lex, **c)
+    lists = {**lex.words, "identity": lex.identity, "concrete": sorted({*lex.tech, *lex.words["concrete_extra"]})}
+    n = F.size(tokens)
+    count = lambda ws: f"size(filter({name['hits']}, t -> t in ({_quoted(ws)})))"
+    size = f"size({name['tokens']})"
+    up, down = count(lex.positive), count(lex.negative)
+    out = out.withColumns({
+        **{f"{tag}r_{k}": F.expr(f"if({size} = 0, 0d, least(1d, {count(ws)} / {size} * 5))") for k, ws in lists.items()},
+        f"{tag}valence": F.expr(f"coalesce(try_divide({up} - {down}, {up} + {down}), 0d)"),
+        f"{tag}questions": F.expr(
+            f"if({size} = 0, 0d, least(1d, ((length({name['text']}) - length(replace({name['text']}, '?', ''))) * 2"
+            f" + {count(lex.question)}) / {size} * 3))")})
+    return out, Parts(n=n, lex=lex, tag=tag, **c)
 
 
 def detect(df: DataFrame, text: str, names: list[str], prior: str | None = None, retrieved: str | None = None,
@@ -385,6 +399,6 @@ def analyze(df: DataFrame, text: str, prior: str | None = None, retrieved: str |
 
 def top_detectors(names: list[str], n: int = 5) -> Column:
     """The n strongest of the given detector columns; ties keep registry order."""
-    ranked = F.array_sort(F.array(*[F.struct((-F.col(d)["activation"]).alias("neg"), F.lit(i).alias("i"),
+    ranked = F.sort_array(F.array(*[F.struct((-F.col(d)["activation"]).alias("neg"), F.lit(i).alias("i"),
                                              F.lit(d).alias("name")) for i, d in enumerate(names)]))
     return F.transform(F.slice(ranked, 1, n), lambda s: s["name"])

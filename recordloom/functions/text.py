@@ -11,8 +11,14 @@ from recordloom.fixed_values import NEGATIVE, POSITIVE, QUESTION_WORDS, STOPWORD
 TOKEN = r"[a-zA-Z'\-]+"
 
 
-def literal_set(words: Sequence[str]) -> Column:
-    return F.array(*[F.lit(w) for w in words])
+def literal_array(words: Sequence[str]) -> Column:
+    """A constant array of strings, made in one call."""
+    quoted = ["'" + w.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'" for w in words]
+    return F.expr("array(" + ",".join(quoted) + ")") if quoted else F.expr("cast(array() as array<string>)")
+
+
+def among(word: Column, words: Sequence[str]) -> Column:
+    return F.array_contains(literal_array(words), word)
 
 
 def tokenize(text: Column) -> Column:
@@ -39,23 +45,23 @@ def occurrences(text: Column, needle: str) -> Column:
     return F.floor((F.length(text) - F.length(F.replace(text, F.lit(needle), F.lit("")))) / len(needle)).cast("int")
 
 
+def occurrences_of(text: Column, needles: Sequence[str]) -> Column:
+    """Sum of `occurrences` over several needles."""
+    return F.aggregate(literal_array(needles), F.lit(0).cast("long"), lambda a, w: a + F.floor(
+        (F.length(text) - F.length(F.replace(text, w, F.lit("")))) / F.length(w)))
+
+
 def contains_count(text: Column, needles: Sequence[str]) -> Column:
     """How many of the needles occur at all."""
-    total = F.lit(0)
-    for n in needles:
-        total = total + F.contains(text, F.lit(n)).cast("int")
-    return total
+    return F.size(F.filter(literal_array(needles), lambda w: F.contains(text, w)))
 
 
 def contains_any(text: Column, needles: Sequence[str]) -> Column:
-    out = F.lit(False)
-    for n in needles:
-        out = out | F.contains(text, F.lit(n))
-    return out
+    return F.exists(literal_array(needles), lambda w: F.contains(text, w))
 
 
 def lexicon_count(tokens: Column, lexicon: Sequence[str]) -> Column:
-    return F.size(F.filter(tokens, lambda t: t.isin(list(lexicon))))
+    return F.size(F.filter(tokens, lambda t: among(t, lexicon)))
 
 
 def lexicon_score(tokens: Column, lexicon: Sequence[str]) -> Column:
@@ -64,7 +70,7 @@ def lexicon_score(tokens: Column, lexicon: Sequence[str]) -> Column:
 
 
 def content_words(tokens: Column, stop: Sequence[str] = STOPWORDS) -> Column:
-    return F.filter(tokens, lambda t: ~t.isin(list(stop)))
+    return F.filter(tokens, lambda t: ~among(t, stop))
 
 
 def is_alpha(token: Column) -> Column:
@@ -120,7 +126,7 @@ def _run_starts(ordered: Column, same) -> Column:
 
 def bag(tokens: Column) -> Column:
     """Distinct tokens with their counts, array<struct<w,n>>; one sort, no quadratic step."""
-    return let(F.array_sort(tokens), lambda s: let(
+    return let(F.sort_array(tokens), lambda s: let(
         _run_starts(s, lambda x, y: x == y), lambda starts: F.transform(starts, lambda p, j: F.struct(
             F.get(s, p).alias("w"),
             (F.coalesce(F.get(starts, j + 1), F.size(s)) - p).cast("double").alias("n")))))
@@ -137,22 +143,22 @@ def cosine_bags(a: Column, b: Column) -> Column:
         return F.aggregate(pairs, F.lit(0.0), lambda acc, i: acc + F.when(
             F.get(u, i)["w"] == F.get(u, i + 1)["w"], F.get(u, i)["n"] * F.get(u, i + 1)["n"]).otherwise(0.0))
     norm = bag_norm(a) * bag_norm(b)
-    return F.when(norm == 0, 0.0).otherwise(let(F.array_sort(F.concat(a, b)), dot) / norm)
+    return F.when(norm == 0, 0.0).otherwise(let(F.sort_array(F.concat(a, b)), dot) / norm)
 
 
 def keyword_tokens(tokens: Column, stop: Sequence[str] = STOPWORDS) -> Column:
     """Alphabetic tokens longer than two letters that are not stop words."""
-    return F.filter(tokens, lambda t: is_alpha(t) & (F.length(t) > 2) & ~t.isin(list(stop)))
+    return F.filter(tokens, lambda t: is_alpha(t) & (F.length(t) > 2) & ~among(t, stop))
 
 
 def top_words(tokens: Column, k: int) -> Column:
     """The k most frequent tokens with counts; ties go to the earlier first appearance."""
     placed = F.transform(tokens, lambda t, i: F.struct(t.alias("w"), i.alias("p")))
-    counted = let(F.array_sort(placed), lambda s: let(
+    counted = let(F.sort_array(placed), lambda s: let(
         _run_starts(s, lambda x, y: x["w"] == y["w"]), lambda starts: F.transform(starts, lambda p, j: F.struct(
             (p - F.coalesce(F.get(starts, j + 1), F.size(s))).alias("neg"), F.get(s, p)["p"].alias("p"),
             F.get(s, p)["w"].alias("w")))))
-    return F.transform(F.slice(F.array_sort(counted), 1, k),
+    return F.transform(F.slice(F.sort_array(counted), 1, k),
                        lambda e: F.struct(e["w"].alias("w"), (-e["neg"]).cast("long").alias("n")))
 
 
@@ -166,7 +172,7 @@ def words_of(counted: Column) -> Column:
 
 def topic_signature(text: Column, k: int = 3) -> Column:
     """Top content words, sorted and joined; empty when there are none."""
-    return F.array_join(F.array_sort(words_of(top_keywords(text, k))), "+")
+    return F.array_join(F.sort_array(words_of(top_keywords(text, k))), "+")
 
 
 def approx_tokens(text: Column) -> Column:

@@ -30,7 +30,7 @@ def _climb(leaves: Column, levels: int, always: Column) -> Column:
 
 
 def _ordered(pos: str, node: str) -> Column:
-    return F.transform(F.array_sort(F.collect_list(F.struct(F.col(pos), F.col(node)))), lambda s: s[node])
+    return F.transform(F.sort_array(F.collect_list(F.struct(F.col(pos), F.col(node)))), lambda s: s[node])
 
 
 def merkle_roots(df: DataFrame, keys: Sequence[str], pos: str, hash_hex: str, rounds: int = 4) -> DataFrame:

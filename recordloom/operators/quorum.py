@@ -43,5 +43,5 @@ def quorum_report(log: DataFrame, attestations: DataFrame, witnesses: list[tuple
     return (first.join(actual, ["chain_id", "height"], "left").withColumn("_fault", fault)
             .groupBy("chain_id", "height").agg(
                 F.count_if(F.col("_fault").isNull()).alias("valid"),
-                F.array_join(F.array_sort(F.collect_list("_fault")), ", ").alias("faulty"))
+                F.array_join(F.sort_array(F.collect_list("_fault")), ", ").alias("faulty"))
             .withColumn("status", F.when(F.col("valid") >= quorum, "OK").otherwise("FAIL")))

@@ -4,11 +4,12 @@ The given prose is invented, so the real word lists hardly occur in it. The
 queries use lists of words that do; the real lists are tested on literal sentences.
 """
 
-from pyspark.sql import Window as W, functions as F
+from pyspark.sql import functions as F
 
 from recordloom import fixed_values as fv
 from recordloom.functions import quality, signals as sg, text as tx
 from recordloom.operators.blocks import with_preceding
+from recordloom.session import spread
 from recordloom.workload.registry import query
 
 COMMON = """the of ci de and to en in la der is que that le on it for er as was be die ou re an with
@@ -109,7 +110,7 @@ _CODES = {"intent": "d01", "temporal_span": "d03", "archetype": "d04", "clarity_
 
 
 def docs(spark, sf, *cols):
-    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", *(cols or ("text",)))
+    return spread(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", *(cols or ("text",))))
 
 
 def r6(col):
@@ -177,7 +178,7 @@ select page_id, round(cast(case when regexp_replace(html,'\s','','g')='' then 0
   + least(0.25, case when fences>0 then 0.1 else 0 end + case when tabled then 0.08 else 0 end + case when js then 0.05 else 0 end)) end as double),6) as activation
 from x""")
 def _(spark, sf):
-    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "html")
+    pages = spread(spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "html"))
     return sg.detect(pages, "html", ["artifact_content"], lex=LEX).select(
         "page_id", r6(F.col("artifact_content.activation")).alias("activation"))
 
@@ -236,7 +237,7 @@ pn as (select conv_id, turn, sqrt(sum(c*c)) as norm from pj group by all),
 pd as (select p.conv_id, p.turn, sum(p.c*b.c) as dot from pj p join cb b using (conv_id, turn, w) group by all),
 lx as (select conv_id, turn, sum(c) as n, coalesce(sum(c) filter (w in {words(LEX.words['shift'])}),0) as s,
   coalesce(sum(c) filter (w in {words(LEX.words['certainty'])}),0) as ct, coalesce(sum(c) filter (w in {words(LEX.words['doubt'])}),0) as db from cb group by all)
-select lx.conv_id, lx.turn, round(cast(least(1.0, 0.2+0.4*(abs(least(1.0,ct/n*5)-least(1.0,db/n*5))+least(1.0,s/n*5))
+select lx.conv_id, lx.turn, round(cast(least(1.0, 0.2+0.4*(abs(least(1.0,ct/lx.n*5)-least(1.0,db/lx.n*5))+least(1.0,s/lx.n*5))
   +0.4*case when lx.turn=0 then 0 else 1-coalesce(dot,0)/(pn.norm*cn.norm) end) as double),6) as activation
 from lx join cn using (conv_id, turn) left join pn using (conv_id, turn) left join pd using (conv_id, turn)""")
 def _(spark, sf):
@@ -288,9 +289,8 @@ def _routed(names, mandatory, triggers, budget):
 @query("d32_routing", f"""select doc_id, {_routed(fv.MODALITIES, fv.MANDATORY_MODALITIES, fv.MODALITY_TRIGGERS, 3)} as modalities,
  {_routed(fv.SENSES, fv.MANDATORY_SENSES, fv.SENSE_TRIGGERS, 4)} as senses from (select doc_id, lower(text) as low from documents)""")
 def _(spark, sf):
-    low = F.lower("text")
-    pick = lambda n, m, t, b: F.array_join(F.slice(sg.route(low, n, m, t, b), len(m) + 1, b), ",")
-    return docs(spark, sf).select(
+    pick = lambda n, m, t, b: F.array_join(F.slice(sg.route(F.col("low"), n, m, t, b), len(m) + 1, b), ",")
+    return docs(spark, sf).withColumn("low", F.lower("text")).select(
         "doc_id", pick(fv.MODALITIES, fv.MANDATORY_MODALITIES, fv.MODALITY_TRIGGERS, 3).alias("modalities"),
         pick(fv.SENSES, fv.MANDATORY_SENSES, fv.SENSE_TRIGGERS, 4).alias("senses"))
 
@@ -303,7 +303,7 @@ def _(spark, sf):
     wide = sg.detect(docs(spark, sf), "text", _TEXT_SENSES, lex=LEX)
     flat = wide.select("doc_id", *[F.struct(F.round(F.col(f"{n}.activation"), 9).alias("activation")).alias(n) for n in _TEXT_SENSES])
     return flat.select("doc_id", F.array_join(F.transform(
-        F.slice(F.array_sort(F.array(*[F.struct((-F.col(n)["activation"]).alias("neg"), F.lit(i).alias("i"), F.lit(n).alias("name"))
+        F.slice(F.sort_array(F.array(*[F.struct((-F.col(n)["activation"]).alias("neg"), F.lit(i).alias("i"), F.lit(n).alias("name"))
                                        for i, n in enumerate(_TEXT_SENSES)])), 1, 5), lambda x: x["name"]), ",").alias("top"))
 
 
@@ -320,15 +320,15 @@ _STOPS = words(LEX.stop)
 PB = f"""with pr as (select c.conv_id, c.turn, c.text as candidate, q.text as question from conversations c
   join conversations q on q.conv_id=c.conv_id and q.turn=c.turn-1 where c.role='assistant'),
 ct as (select conv_id, turn, unnest(regexp_extract_all(lower(candidate), '{TOK}')) as w from pr),
-at as (select conv_id, turn, unnest(regexp_extract_all(lower(text), '{TOK}')) as w, 
+atk as (select conv_id, turn, unnest(regexp_extract_all(lower(text), '{TOK}')) as w, 
    generate_subscripts(regexp_extract_all(lower(text), '{TOK}'),1) as pos from conversations),
-ab as (select conv_id, turn, w, count(*) as c from at where w not in {_STOPS} group by all),
+ab as (select conv_id, turn, w, count(*) as c from atk where w not in {_STOPS} group by all),
 an as (select conv_id, turn, sqrt(sum(c*c)) as norm from ab group by all),
 cs as (select a.conv_id, a.turn, b.turn as other, sum(a.c*b.c)/(any_value(x.norm)*any_value(y.norm)) as cos
   from ab a join ab b on b.conv_id=a.conv_id and b.w=a.w and b.turn between a.turn-3 and a.turn-1
   join an x on x.conv_id=a.conv_id and x.turn=a.turn join an y on y.conv_id=b.conv_id and y.turn=b.turn group by all),
 kw as (select conv_id, turn, w, row_number() over (partition by conv_id, turn order by count(*) desc, min(pos)) as rk
-  from at where not contains(w,'''') and not contains(w,'-') and length(w)>2 and w not in {_STOPS} group by conv_id, turn, w),
+  from atk where not contains(w,'''') and not contains(w,'-') and length(w)>2 and w not in {_STOPS} group by conv_id, turn, w),
 cv as (select pr.conv_id, pr.turn, count(kw.w) as keys, count(kw.w) filter (exists (select 1 from ct where ct.conv_id=pr.conv_id and ct.turn=pr.turn and ct.w=kw.w)) as found
   from pr left join kw on kw.conv_id=pr.conv_id and kw.turn=pr.turn-1 and rk<=8 group by all),
 us as (select conv_id, turn, count(*) as n, count(distinct w) as d from ct group by all),
