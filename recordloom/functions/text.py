@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
 
+from recordloom import fixed_values as fv
 from recordloom.fixed_values import NEGATIVE, POSITIVE, QUESTION_WORDS, STOPWORDS
 
 TOKEN = r"[a-zA-Z'\-]+"
@@ -198,3 +199,147 @@ def coverage(a: Column, b: Column) -> Column:
     """Share of a's distinct items found in b."""
     n = F.size(F.array_distinct(a))
     return F.when(n == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / n)
+
+
+def entities(text: Column, cap: int = 12) -> Column:
+    """Identifier-like tokens: with an underscore, an inner capital, a dot or a digit; sorted."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(r"[A-Za-z_][A-Za-z0-9_.]*"), F.lit(0)),
+                        lambda w: F.regexp_replace(w, r"^\.+|\.+$", ""))
+    kept = F.filter(found, lambda w: (F.length(w) > 2) & w.rlike(r"_|^.+[A-Z]|\.|[0-9]"))
+    return F.slice(F.sort_array(F.array_distinct(kept)), 1, cap)
+
+
+def keywords(text: Column, k: int = 10, stop: Sequence[str] = STOPWORDS) -> Column:
+    """The k most frequent tokens that are not stop words."""
+    return words_of(top_words(content_words(tokenize(text), stop), k))
+
+
+def salience(text: Column) -> Column:
+    """Self-assigned weight from identifier count and variety of words."""
+    return let(tokenize(text), lambda t: F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (
+        0.2 + 0.04 * F.size(entities(text)) + 0.4 * F.size(F.array_distinct(t)) / F.greatest(F.size(t), F.lit(1))))), 3))
+
+
+def explicit_indices(query: Column) -> Column:
+    """Record numbers a text names ("record 3", "indices 4 and 5", "#6"), in order, once each."""
+    lists = F.regexp_extract_all(query, F.lit(fv.REFERENCE_BY_WORD), F.lit(1))
+    named = F.flatten(F.transform(lists, lambda s: F.regexp_extract_all(s, F.lit(r"\d+"), F.lit(0))))
+    hashed = F.regexp_extract_all(query, F.lit("(?U)" + fv.REFERENCE_BY_HASH), F.lit(1))
+    return F.array_distinct(F.transform(F.concat(named, hashed), lambda n: n.cast("bigint")))
+
+
+def is_holistic(query: Column, verbs: Sequence[str] = fv.HOLISTIC_VERBS) -> Column:
+    """Does the text ask for work on a document as a whole?"""
+    stems = [v[:-1] if v.endswith("e") else v for v in verbs]
+    return F.lower(query).rlike(r"\b(?:(?:" + "|".join(verbs) + r")(?:s|d|ed)?|(?:" + "|".join(stems) + r")ing)\b")
+
+
+def redact_secrets(text: Column) -> tuple[Column, Column]:
+    """(masked text, number of replacements); patterns apply in order to the running text."""
+    count = F.lit(0)
+    for pattern, mask in fv.SECRETS:
+        count = count + F.regexp_count(text, F.lit(pattern))
+        text = F.regexp_replace(text, pattern, mask)
+    return text, count
+
+
+def recency(age_ms: Column, half_life_days: Column) -> Column:
+    return F.when(half_life_days <= 0, 0.0).otherwise(
+        F.pow(F.lit(0.5), F.greatest(age_ms, F.lit(0)) / 1000.0 / (half_life_days * 86400.0)))
+
+
+def compact_age(age_ms: Column) -> Column:
+    s = F.greatest(age_ms, F.lit(0)).cast("long")
+    unit = lambda ms, name: F.concat(F.floor(s / ms).cast("string"), F.lit(name))
+    return (F.when(s < 3_600_000, unit(60_000, "m")).when(s < 86_400_000, unit(3_600_000, "h"))
+            .when(s < 14 * 86_400_000, unit(86_400_000, "d")).otherwise(unit(7 * 86_400_000, "w")))
+
+
+def humanize_delta(seconds: Column) -> Column:
+    s = seconds.cast("long")
+    d = F.floor(s / 86400)
+
+    def ago(n, unit):
+        return F.concat(n.cast("string"), F.lit(f" {unit}"), F.when(n != 1, "s").otherwise(""), F.lit(" ago"))
+    return (F.when(s < 5, "just now").when(s < 60, F.concat(s.cast("string"), F.lit(" seconds ago")))
+            .when(s < 3600, ago(F.floor(s / 60), "minute")).when(s < 86400, ago(F.floor(s / 3600), "hour"))
+            .when(d < 7, ago(d, "day")).when(d < 30, ago(F.floor(d / 7), "week"))
+            .when(d < 365, ago(F.floor(d / 30), "month")).otherwise(ago(F.floor(d / 365), "year")))
+
+
+def absolute_time(ts_ms: Column) -> Column:
+    return F.concat(F.date_format(F.timestamp_millis(ts_ms), "yyyy-MM-dd HH:mm"), F.lit(" UTC"))
+
+
+def squeeze(text: Column) -> Column:
+    """White space runs to single blanks."""
+    return F.array_join(whitespace_words(text), " ")
+
+
+def snippet(rec_type: Column, content: Column) -> Column:
+    """One line of at most 220 characters: who said what."""
+    said, text = F.get_json_object(content, "$.context"), F.get_json_object(content, "$.text")
+    files = F.array_join(F.from_json(F.get_json_object(content, "$.attachments[*].filename"), "array<string>"), ",")
+    parts = F.array_compact(F.array(
+        F.when(said != "", F.concat(F.lit("user: "), F.substring(squeeze(said), 1, 90))),
+        F.when(text != "", F.when(rec_type == "response", F.concat(F.lit("agent: "), F.substring(squeeze(text), 1, 90)))
+               .otherwise(F.substring(squeeze(text), 1, 120)))))
+    parts = F.when(F.size(parts) == 0, F.array(F.substring(squeeze(content), 1, 110))).otherwise(parts)
+    parts = F.when(files.isNotNull(), F.concat(parts, F.array(F.concat(F.lit("[attached: "), files, F.lit("]"))))).otherwise(parts)
+    return F.substring(F.array_join(parts, " | "), 1, 220)
+
+
+def handle(content: Column) -> Column:
+    """First non-blank of summary, text, response, objective and function."""
+    fields = [F.get_json_object(content, f"$.{n}") for n in ("summary", "text", "response", "objective", "function")]
+    return F.coalesce(*[F.when(strip(f) != "", f) for f in fields])
+
+
+def embed_text(rec_type: Column, content: Column) -> Column:
+    """The text a record is embedded by."""
+    part = lambda n: F.coalesce(F.get_json_object(content, f"$.{n}"), F.lit(""))
+    kind = F.coalesce(F.get_json_object(content, "$.kind"), part("mime_type"))
+    return F.when(rec_type.isin("file", "attachment"), F.concat(
+        F.lit("[file "), part("filename"), F.lit(" "), kind, F.lit("] "), part("extracted_text"))).otherwise(
+        F.concat(F.lit("["), rec_type, F.lit("] "), content))
+
+
+# --- paths -------------------------------------------------------------------------
+
+def _parts(path: Column) -> Column:
+    return F.filter(F.split(path, "/"), lambda p: p != "")
+
+
+def extension(path: Column) -> Column:
+    return F.lower(F.regexp_extract(path, r"[^/](\.[^./]+)$", 1))
+
+
+def language(ext: Column) -> Column:
+    return F.try_element_at(F.expr("map(" + ",".join(f"'{k}','{v}'" for k, v in fv.LANGUAGES.items()) + ")"), F.lower(ext))
+
+
+def path_role(path: Column, ext: Column) -> Column:
+    """Role of a file by its path; the first rule that holds wins."""
+    parts = F.transform(_parts(path), lambda p: F.lower(p))
+    name = F.element_at(parts, -1)
+    stem = F.regexp_replace(name, r"\.[^.]*$", "")
+    inside = lambda role: F.arrays_overlap(parts, literal_array(fv.ROLE_DIRS[role]))
+    return (F.when(inside("generated"), "generated").when(inside("vendor"), "vendor")
+            .when(inside("test") | stem.rlike(r"^test_|_test$|\.test$|\.spec$"), "test")
+            .when(inside("docs") | ext.isin(fv.DOC_EXTENSIONS), "docs")
+            .when(ext.isin(fv.CONFIG_EXTENSIONS) | name.isin(fv.CONFIG_NAMES), "config")
+            .when(language(ext).isNotNull(), "source").otherwise("other"))
+
+
+def path_proximity(rel: Column, path_hint: Column, dir_hint: Column) -> Column:
+    """1 for the hinted file, 0.8 inside the hinted folder, else 0.6 x shared leading parts / parts of the hint."""
+    has_path, has_dir = F.coalesce(path_hint, F.lit("")) != "", F.coalesce(dir_hint, F.lit("")) != ""
+    exact = (rel == path_hint) | F.endswith(rel, F.concat(F.lit("/"), path_hint)) | (
+        F.element_at(_parts(path_hint), -1) == F.element_at(_parts(rel), -1))
+    inside = F.startswith(rel, F.concat(F.rtrim(dir_hint, F.lit("/")), F.lit("/")))
+    hint = _parts(F.when(has_path, path_hint).otherwise(dir_hint))
+    equal = F.zip_with(_parts(rel), hint, lambda a, b: F.coalesce(a == b, F.lit(False)))
+    shared = F.coalesce(F.nullif(F.array_position(equal, False), F.lit(0)) - 1, F.size(equal))
+    partial = 0.6 * shared / F.greatest(F.size(hint), F.lit(1))
+    return (F.when((F.coalesce(rel, F.lit("")) == "") | ~(has_path | has_dir), 0.0)
+            .when(has_path & exact, 1.0).when(~has_path & inside, 0.8).otherwise(partial))

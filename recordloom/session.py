@@ -31,7 +31,8 @@ def get_spark(app: str = "recordloom", master: str | None = None, **conf: str) -
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the settings to a session made elsewhere."""
     for key, value in SETTINGS.items():
-        spark.conf.set(key, value)
+        if spark.conf.isModifiable(key):
+            spark.conf.set(key, value)
     return spark
 
 
