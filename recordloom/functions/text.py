@@ -91,10 +91,11 @@ def whitespace_words(text: Column) -> Column:
 def sentence_length_variance(text: Column) -> Column:
     """Population standard deviation of the words per sentence."""
     lengths = F.transform(sentences(text), lambda s: F.size(whitespace_words(s)).cast("double"))
-    n = F.size(lengths)
-    mean = F.aggregate(lengths, F.lit(0.0), lambda a, x: a + x) / n
-    spread = F.aggregate(F.transform(lengths, lambda x: x), F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
-    return F.when(n < 2, 0.0).otherwise(F.sqrt(spread / n))
+
+    def spread(xs):
+        mean = total(xs) / F.size(xs)
+        return let(mean, lambda m: F.sqrt(total(F.transform(xs, lambda x: (x - m) * (x - m))) / F.size(xs)))
+    return let(lengths, lambda xs: F.when(F.size(xs) < 2, 0.0).otherwise(spread(xs)))
 
 
 def question_density(text: Column, tokens: Column, words: Sequence[str] = QUESTION_WORDS) -> Column:
@@ -231,7 +232,7 @@ def explicit_indices(query: Column) -> Column:
 def is_holistic(query: Column, verbs: Sequence[str] = fv.HOLISTIC_VERBS) -> Column:
     """Does the text ask for work on a document as a whole?"""
     stems = [v[:-1] if v.endswith("e") else v for v in verbs]
-    return F.lower(query).rlike(r"\b(?:(?:" + "|".join(verbs) + r")(?:s|d|ed)?|(?:" + "|".join(stems) + r")ing)\b")
+    return F.lower(query).rlike(r"(?U)\b(?:(?:" + "|".join(verbs) + r")(?:s|d|ed)?|(?:" + "|".join(stems) + r")ing)\b")
 
 
 def redact_secrets(text: Column) -> tuple[Column, Column]:

@@ -123,14 +123,18 @@ def events_rows(spark: SparkSession, sf_dir: str, chain_length: int = CHAIN_LENG
 
 
 def conversation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unlinked records of dialogues; a response cites the turn before it."""
-    role = F.col("role")
+    """Unlinked records of dialogues; a response cites the turn before it. Some turns carry metadata."""
+    role, size = F.col("role"), F.length("text")
+    meta = F.when(F.pmod(size, F.lit(5)) == 0, F.concat(
+        F.lit('"_meta":{"exposure":"'), F.when(F.pmod(size, F.lit(15)) == 0, "quarantine").otherwise("private"), F.lit('",'),
+        F.when(F.pmod(size, F.lit(10)) == 0, '"modalities_activated":["artifact_content"],').otherwise(""),
+        F.lit('"salience":0.'), (F.pmod(size, F.lit(9)) + 1).cast("string"), F.lit("},")))
     return spark.read.parquet(f"{sf_dir}/conversations.parquet").select(
         F.col("conv_id").alias("chain_id"), F.col("turn").alias("seq"),
         (F.lit(1_700_000_000_000) + F.col("conv_id") * 86_400_000 + F.col("turn") * 60_000).alias("ts_ms"),
         F.when(role == "user", "observation").when(role == "assistant", "response")
         .otherwise("system_prompt").alias("rec_type"),
-        F.to_json(F.struct("text")).alias("content_json"),
+        F.concat(F.lit("{"), F.coalesce(meta, F.lit("")), F.substr(F.to_json(F.struct("text")), F.lit(2))).alias("content_json"),
         F.array().cast("array<string>").alias("refs"), F.lit("w0").alias("writer"),
         ((role == "assistant") & (F.col("turn") > 0)).alias("cites_prior"))
 
@@ -175,3 +179,19 @@ def governance_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.when(F.pmod(k, F.lit(9)) == 0, F.lit('{"note":"none"}')).otherwise(
             F.concat(F.lit('{"revises_index":'), text(seq - 1 - F.pmod(k, F.lit(5))), F.lit("}")))))
     return base.withColumn("content_json", content).withColumn("rec_type", kind)
+
+
+def file_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as file records, one chain per source; every seventh comes as a response's attachment."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
+        "doc_id", "source", F.sha2("text", 256).alias("sha"), "n_chars")
+    placed = positions(docs, ["source"], F.expr("doc_id div 65536"), ["doc_id"], "seq")
+    entry = F.struct(F.col("sha").alias("blob_sha256"), F.concat(
+        F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename"), F.col("n_chars").alias("size_bytes"))
+    attached = F.pmod("doc_id", F.lit(7)) == 0
+    return placed.select(
+        F.regexp_extract("source", r"(\d+)", 1).cast("long").alias("chain_id"), F.col("seq").cast("long").alias("seq"),
+        (F.lit(1_700_000_000_000) + F.col("doc_id") * 1000).alias("ts_ms"),
+        F.when(attached, "response").otherwise("file").alias("rec_type"),
+        F.when(attached, F.to_json(F.struct(F.array(entry).alias("attachments")))).otherwise(F.to_json(entry)).alias("content_json"),
+        F.array().cast("array<string>").alias("refs"), F.lit("w0").alias("writer"), F.lit(False).alias("cites_prior"))

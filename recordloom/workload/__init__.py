@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ["integrity_queries", "signals_queries"]
+_MODULES = ["integrity_queries", "signals_queries", "log_queries"]
 
 
 def load():

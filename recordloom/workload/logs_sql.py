@@ -26,7 +26,11 @@ lg as (select chain_id, idx, ts_ms, k, cents, event_id, exposure, user_id,
 CR = """lg as (
   select conv_id as chain_id, turn as idx, 1700000000000 + conv_id*86400000 + turn*60000 as ts_ms,
          case role when 'user' then 'observation' when 'assistant' then 'response' else 'system_prompt' end as rec_type,
-         '{"text":' || to_json(text) || '}' as content_json, text, role,
+         '{' || case when length(text)%5=0 then '"_meta":{"exposure":"' || case when length(text)%15=0 then 'quarantine' else 'private' end || '",'
+            || case when length(text)%10=0 then '"modalities_activated":["artifact_content"],' else '' end
+            || '"salience":0.' || (length(text)%9+1) || '},' else '' end || '"text":' || to_json(text) || '}' as content_json, text, role,
+         length(text)%15=0 as hidden, case when length(text)%5=0 then (length(text)%9+1)/10.0 end as own_salience,
+         length(text)%10=0 as moded,
          role='assistant' and turn>0 as cites_prior, 'w0' as writer
   from conversations)"""
 
@@ -75,3 +79,14 @@ def merkle_levels(source: str, key: str, levels: int, prefix: str = "t") -> str:
                    f"sha256(unhex({left}) || unhex(coalesce({right}, {left}))) end as h, (n+1)//2 as n "
                    f"from {prefix}{i} group by {key}, pos//2, n)")
     return ",\n".join(out)
+
+FILES = """with lg as (select cast(regexp_extract(source,'(\\d+)',1) as bigint) as chain_id,
+   row_number() over (partition by source order by doc_id)-1 as idx, doc_id, sha256(text) as sha,
+   'doc_' || doc_id || '.txt' as filename, n_chars, case when doc_id%7=0 then 'response' else 'file' end as rec_type
+   from documents)"""
+
+
+def defaults_values() -> str:
+    from recordloom.fixed_values import META_DEFAULTS
+    rows = ", ".join(f"('{t}','{s}','{e}','{x}',{a},{h})" for t, s, e, x, a, h in META_DEFAULTS)
+    return f"df(rec_type, d_source, d_epistemic, d_exposure, d_salience, d_half) as (values {rows})"
