@@ -12,6 +12,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from recordloom.session import cut_lineage
+
 SPAN = 4096
 
 
@@ -65,3 +67,19 @@ def with_preceding(df: DataFrame, keys: Sequence[str], idx: str, reach: int,
     for name, make in outputs.items():
         spread = spread.withColumn(name, make(window))
     return spread.where("_home = _block").drop("_home", "_block")
+
+
+def global_positions(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """Rank from 1 over the whole frame. Rows are range-partitioned and ranked inside each part.
+
+    The ranged rows are checkpointed first: part numbers must not change between the
+    pass that counts parts and the pass that ranks rows, even if an executor is lost.
+    """
+    parts = cut_lineage(df.repartitionByRange(*order).sortWithinPartitions(*order)).withColumn(
+        "_part", F.spark_partition_id())
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # one row per part
+    starts = parts.groupBy("_part").agg(F.count("*").alias("_n")).select(
+        "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = W.partitionBy("_part").orderBy(*order)
+    return (parts.join(starts, "_part")
+            .withColumn(name, F.col("_start") + F.row_number().over(inside)).drop("_part", "_start"))
