@@ -6,7 +6,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 MEMO = 200_000  # distinct trigrams remembered per worker
 
@@ -63,7 +63,7 @@ def embedder_id(name: str, dim: int, variant: str = "", chunking: str = "p3500")
     return f"{name}:{dim}:{variant}:{chunking}"
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def cosine(a: pd.Series, b: pd.Series) -> pd.Series:
     if len(a) == 0:
         return pd.Series([], dtype="float64")

@@ -174,7 +174,7 @@ def spec_activation(text: Column, patterns: Sequence[str], match_mode: str) -> C
     if match_mode == "count":
         hits = sum((F.regexp_count(text, F.lit(f"(?iU){p}")) for p in patterns), F.lit(0))
         return F.least(F.lit(1.0), hits / 5.0)
-    return tx.let(F.filter(F.split(text, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"), lambda ln: tx.strip(ln) != ""), lambda lines: F.when(
+    return tx.let(F.filter(F.split(text, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"), lambda ln: tx.strip(ln) != ""), lambda lines: F.when(
         F.size(lines) == 0, 0.0).otherwise(F.size(F.filter(lines, lambda ln: ln.rlike(either))) / F.size(lines)))
 
 

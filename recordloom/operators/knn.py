@@ -14,6 +14,7 @@ from recordloom.functions.vectors import cosine
 MAX_QUERIES = 2048      # queries shipped to every task
 MAX_BYTES = 64 << 20    # and their total size
 TILE, CELL = 1024, 8192
+_ARROW = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}
 
 
 def _unit(matrix: np.ndarray) -> np.ndarray:
@@ -68,6 +69,7 @@ def knn(chunks: DataFrame, queries: DataFrame, k: int, keys: Sequence[str] = ("c
     schema = _schema(chunks, queries, keys, query)
     if len(head) <= max_queries and size <= MAX_BYTES:
         ids = [r[0] for r in head]
+        kind = _ARROW[queries.schema[query].dataType.simpleString()]
         if not ids:
             return chunks.sparkSession.createDataFrame([], schema + ", rank int")
         shipped = chunks.sparkSession.sparkContext.broadcast(
@@ -80,8 +82,10 @@ def knn(chunks: DataFrame, queries: DataFrame, k: int, keys: Sequence[str] = ("c
                     continue
                 table = pa.Table.from_batches([b])
                 rows, at, sims = _best(table.select(list(keys)).to_pandas(), _matrix(table[vector]), matrix, k)
-                out = {query: [names[i] for i in at], **{c: rows[c].to_numpy() for c in keys}, "sim": sims}
-                yield pa.RecordBatch.from_pydict(out)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([names[i] for i in at], kind)]
+                    + [pa.array(rows[c].to_numpy(), table.schema.field(c).type) for c in keys]
+                    + [pa.array(sims, pa.float64())], names=[query, *keys, "sim"])
         return _finish(chunks.select(*keys, vector).mapInArrow(scan, schema), query, keys, k)
     return _finish(_tiled(chunks.select(*keys, vector), q, keys, vector, query, k, schema), query, keys, k)
 

@@ -7,7 +7,7 @@ import io
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from recordloom import fixed_values as fv
 from recordloom.functions import text as tx
@@ -47,7 +47,7 @@ def volume_survey(spark: SparkSession, root: str, exts: Sequence[str] | None = N
             .withColumn("over_threshold", (F.col("files") > fv.SURVEY_FILES) | (F.col("bytes") > fv.SURVEY_BYTES)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _table_text(texts: pd.Series, marks: pd.Series) -> pd.Series:
     return pd.Series(["\n".join(" | ".join(row) for row in csv.reader(io.StringIO(t), delimiter=m))
                       for t, m in zip(texts, marks)])
@@ -60,7 +60,7 @@ def extract_text(files: DataFrame, char_cap: int | None = None) -> DataFrame:
     """
     raw = F.col("content").cast("string")
     valid = F.is_valid_utf8(raw)
-    plain = F.when(valid, raw).otherwise(F.decode("content", F.lit("ISO-8859-1")))
+    plain = F.when(valid, raw).otherwise(F.decode("content", "ISO-8859-1"))
     ext = tx.extension(F.col("relative_path"))
     known = files.drop("content").columns
     rows = files.select(*known, plain.alias("_plain"), F.when(ext == ".csv", ",").when(ext == ".tsv", "\t").alias("_mark"),

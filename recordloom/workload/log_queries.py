@@ -278,7 +278,7 @@ def _(spark, sf):
 @query("f18_path_proximity", """
 with r as (select page_id, regexp_replace(regexp_replace(url,'^https?://',''),'[?#].*$','') as rel from pages),
 h as (select page_id, rel, case when page_id%3=0 then regexp_extract(rel,'[^/]+$') end as ph, case when page_id%3=1 then regexp_extract(rel,'^[^/]+') when page_id%3=2 then regexp_extract(rel,'^[^/]+') || '/zz/yy' end as dh from r)
-select page_id, round(cast(case when ph is not null then 1.0 when page_id%3=1 then case when contains(rel,'/') then 0.8 else 0.6 end else 0.6*1/3 end as double),6) as proximity from h""")
+select page_id, round(cast(case when ph<>'' then 1.0 when ph='' then 0.0 when page_id%3=1 then case when contains(rel,'/') then 0.8 else 0.6 end else 0.6*1/3 end as double),6) as proximity from h""")
 def _(spark, sf):
     rel = F.regexp_replace(F.regexp_replace("url", "^https?://", ""), "[?#].*$", "")
     host, third = F.regexp_extract("rel", "^[^/]+", 0), F.pmod("page_id", F.lit(3))
