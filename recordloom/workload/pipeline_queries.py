@@ -563,12 +563,25 @@ def _(spark, sf):
     return growth.validate_specs(spec_rows(spark, sf))[1]
 
 
-@query("d33_pattern_detectors", _SP + f""",
-v as (select source as spec, n, case when n%3=0 then ['(?i)(?:^|[^\\pL\\pN_])th' || chr(97+n), '(?i)nd(?:$|[^\\pL\\pN_])'] else ['(?i)(?:^|[^\\pL\\pN_])th' || chr(97+n), '(?i)ou', '(?i)nd(?:$|[^\\pL\\pN_])'] end as ps from s where n%6 not in (4,5) and n%4<>1),
-ln as (select doc_id, unnest(regexp_split_to_array(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]')) as l from documents),
-lh as (select doc_id, spec, avg(case when len(list_filter(ps, lambda p: regexp_matches(l,p)))>0 then 1 else 0 end) as a from ln, v where n%4<>0 and regexp_replace(l,'\\s','','g')<>'' group by all),
-an as (select doc_id, spec, case when len(list_filter(ps, lambda p: regexp_matches(text,p)))>0 then 1 else 0 end as a from documents, v where n%4=0)
-select doc_id, 'mode_' || spec as spec, round(a,6)::double as activation from (select * from lh union all select * from an) where a>0""")
+def _pattern_sql():
+    """One SELECT per source number with its patterns as constants."""
+    parts = []
+    for n in range(26):
+        if n % 6 in (4, 5) or n % 4 == 1:
+            continue
+        p = "(?i)(?:^|[^\\pL\\pN_])th" + chr(97 + n) + ("" if n % 3 == 0 else "|ou") + "|nd(?:$|[^\\pL\\pN_])"
+        if n % 4 == 0:
+            parts.append(f"select doc_id, {n} as n, regexp_matches(text, '{p}')::int::double as a from documents")
+        else:
+            parts.append(f"select doc_id, {n} as n, avg(regexp_matches(l, '{p}')::int) as a from ln group by doc_id")
+    return " union all ".join(parts)
+
+
+@query("d33_pattern_detectors", _SP + """,
+l0 as (select doc_id, unnest(regexp_split_to_array(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]')) as l from documents),
+ln as (select * from l0 where regexp_replace(l,'\\s','','g')<>''),
+h as (""" + _pattern_sql() + """)
+select doc_id, 'mode_' || source as spec, round(a,6)::double as activation from h join s using (n) where a>0""")
 def _(spark, sf):
     good = growth.spec_list(growth.validate_specs(spec_rows(spark, sf))[0].where("match_mode <> 'count'"))
     d = spread(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))

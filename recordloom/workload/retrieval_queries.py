@@ -194,7 +194,7 @@ w as (select *, true as kept, size as used from z where place=0 union all
 select query_id, chain_id, idx, size, kept from w""")
 def _(spark, sf):
     log, (context, _hidden) = _context(spark, sf)
-    return fit_context(context, log, 1500).select("query_id", "chain_id", "idx", "size", "kept")
+    return fit_context(stored(context), log, 1500).select("query_id", "chain_id", "idx", "size", "kept")
 
 
 @query("j04_stitched_pairs", CONV + """,
