@@ -15,18 +15,20 @@ def _clamp(x: Column, low: float, high: float = 1.0) -> Column:
 def relevance(question: Column, candidate: Column, stop=fv.STOPWORDS) -> Column:
     """0.4 cosine of content bags + 0.6 coverage of the question's eight top words, times 1.4."""
     qt, ct = tx.tokenize(question), tx.tokenize(candidate)
-    sim = tx.cosine_bags(tx.bag(tx.content_words(qt, stop)), tx.bag(tx.content_words(ct, stop)))
+    sim = tx.cosine_tokens(tx.content_words(qt, stop), tx.content_words(ct, stop))
     keys = tx.words_of(tx.top_words(tx.keyword_tokens(qt, stop), 8))
     covered = tx.let(F.struct(sim.alias("s"), keys.alias("k")), lambda v: 0.4 * v["s"] + 0.6 * F.when(
         F.size(v["k"]) == 0, v["s"]).otherwise(F.size(F.array_intersect(v["k"], ct)) / F.size(v["k"])))
     return _clamp(covered * 1.4, 0.25)
 
 
-def continuity(candidate: Column, retrieved: Column, stop=fv.STOPWORDS) -> Column:
-    own = tx.bag(tx.content_words(tx.tokenize(candidate), stop))
-    best = tx.let(own, lambda c: F.when(F.size(c) == 0, None).otherwise(F.array_max(F.transform(
-        retrieved, lambda t: tx.cosine_bags(c, tx.bag(tx.content_words(tx.tokenize(t), stop)))))))
-    return F.coalesce(_clamp(0.5 + best, 0.4), F.lit(0.6)) if retrieved is not None else F.lit(0.6)
+def continuity(candidate: Column, retrieved: Column | None, stop=fv.STOPWORDS) -> Column:
+    if retrieved is None:
+        return F.lit(0.6)
+    own = tx.content_words(tx.tokenize(candidate), stop)
+    best = tx.let(own, lambda c: tx.let(tx.sum_squares(c), lambda c2: F.when(F.size(c) == 0, None).otherwise(F.array_max(
+        F.transform(retrieved, lambda t: tx.cosine_tokens(c, tx.content_words(tx.tokenize(t), stop), a2=c2))))))
+    return F.coalesce(_clamp(0.5 + best, 0.4), F.lit(0.6))
 
 
 def usefulness(candidate: Column) -> Column:
@@ -68,11 +70,11 @@ def contradiction_risk(activation: Column, candidate: Column, retrieved: Column
     if retrieved is None:
         raw = activation * F.array_max(F.transform(epistemic, authority))
     else:
-        own = tx.bag(tx.content_words(tx.tokenize(candidate), stop))
+        own = tx.content_words(tx.tokenize(candidate), stop)
         n = F.least(F.size(retrieved), F.size(epistemic))
         raw = tx.let(own, lambda c: F.array_max(F.zip_with(
             F.slice(retrieved, F.lit(1), n), F.slice(epistemic, F.lit(1), n),
-            lambda t, e: tx.let(tx.cosine_bags(c, tx.bag(tx.content_words(tx.tokenize(t), stop))), lambda o: F.when(
+            lambda t, e: tx.let(tx.cosine_tokens(c, tx.content_words(tx.tokenize(t), stop)), lambda o: F.when(
                 o >= fv.CONTRADICTION_TOPIC_FLOOR, activation * o * authority(e)).otherwise(0.0)))))
     live = (activation > 0) & (F.coalesce(F.size(epistemic), F.lit(0)) > 0)
     return F.when(live, F.least(F.lit(fv.CONTRADICTION_RISK_CAP), F.coalesce(raw, F.lit(0.0)))).otherwise(0.0)

@@ -44,10 +44,10 @@ class Parts:
     sents: Column         # sentence strings
     sent_tokens: Column   # tokens of each sentence
     keywords: Column      # up to 12 (w, n)
-    bag: Column           # bag of all tokens
+    norm: Column          # squared length of the token counts
     prior: Column         # up to 10 earlier texts, oldest first
-    prior_bags: Column
-    retrieved_bags: Column
+    prior_tokens: Column
+    retrieved_tokens: Column
     lex: Lexicons
     tag: str
 
@@ -88,12 +88,13 @@ def intent(p: Parts) -> Column:
 
 
 def coherence(p: Parts) -> Column:
-    names = tx.words_of(p.keywords)
     m = F.size(p.sents)
-    threaded = F.size(F.filter(p.sent_tokens, lambda s: F.arrays_overlap(s, names)))
-    bags = F.transform(p.sent_tokens, tx.bag)
-    near = tx.let(bags, lambda b: tx.total(F.transform(
-        F.sequence(F.lit(0), m - 2), lambda i: tx.cosine_bags(F.get(b, i), F.get(b, i + 1)))))
+    threaded = tx.let(tx.words_of(p.keywords), lambda names: F.size(F.filter(
+        p.sent_tokens, lambda s: F.exists(s, lambda w: F.array_contains(names, w)))))
+    norms = F.transform(p.sent_tokens, tx.sum_squares)
+    near = tx.let(norms, lambda n: tx.total(F.transform(
+        F.sequence(F.lit(0), m - 2), lambda i: tx.cosine_tokens(
+            F.get(p.sent_tokens, i), F.get(p.sent_tokens, i + 1), F.get(n, i), F.get(n, i + 1)))))
     value = (F.when(m < 2, 1.0).when(F.size(p.keywords) == 0, 0.7)
              .otherwise(_cap(0.75 * threaded / m + 0.25 * (0.5 + near / (m - 1)))))
     plain = (m < 2) | (F.size(p.keywords) == 0)
@@ -122,8 +123,8 @@ def clarity_weather(p: Parts) -> Column:
 
 def belief_shift(p: Parts) -> Column:
     last = F.slice(p.prior, F.greatest(F.size(p.prior) - 2, F.lit(1)), F.lit(3))
-    drift = F.when(F.size(p.prior) > 0, 1 - tx.cosine_bags(
-        tx.bag(tx.tokenize(F.array_join(last, " "))), p.bag)).otherwise(0.0)
+    drift = F.when(F.size(p.prior) > 0, 1 - tx.let(tx.tokenize(F.array_join(last, " ")), lambda t: tx.cosine_tokens(
+        t, p.tokens, b2=p.norm))).otherwise(0.0)
     pressure = F.abs(p.score("certainty") - p.score("doubt")) + p.score("shift")
     return _hit(_cap(0.2 + 0.4 * pressure + 0.4 * drift), vocab_shift=drift)
 
@@ -142,10 +143,10 @@ def threshold(p: Parts) -> Column:
 
 
 def convergence(p: Parts) -> Column:
-    m = F.size(p.prior_bags)
-    bags = F.concat(F.slice(p.prior_bags, F.greatest(m - 3, F.lit(1)), F.lit(4)), F.array(p.bag))
-    trend = tx.let(bags, lambda b: tx.cosine_bags(F.get(b, F.size(b) - 2), F.get(b, F.size(b) - 1))
-                   - tx.cosine_bags(F.get(b, F.lit(0)), F.get(b, F.lit(1))))
+    m = F.size(p.prior_tokens)
+    frames = F.concat(F.slice(p.prior_tokens, F.greatest(m - 3, F.lit(1)), F.lit(4)), F.array(p.tokens))
+    trend = tx.let(frames, lambda b: tx.cosine_tokens(F.get(b, F.size(b) - 2), F.get(b, F.size(b) - 1))
+                   - tx.cosine_tokens(F.get(b, F.lit(0)), F.get(b, F.lit(1))))
     trend = F.when(m < 2, 0.0).otherwise(trend)
     return _hit(F.when(m < 2, 0.1).otherwise(_cap(0.2 + F.abs(trend) * 5)), trend=trend)
 
@@ -233,17 +234,17 @@ def trust_resonance(p: Parts) -> Column:
     return _hit(_cap(p.score("trust") * 0.6 + _cap(F.size(p.prior) / 10) * 0.4))
 
 
-def _best_echo(p: Parts, bags: Column) -> Column:
-    best = F.array_max(F.transform(bags, lambda b: tx.cosine_bags(p.bag, b)))
-    return F.when(F.size(bags) == 0, 0.1).otherwise(_cap(best * 2))
+def _best_echo(p: Parts, texts: Column) -> Column:
+    best = F.array_max(F.transform(texts, lambda t: tx.cosine_tokens(p.tokens, t, a2=p.norm)))
+    return F.when(F.size(texts) == 0, 0.1).otherwise(_cap(best * 2))
 
 
 def context_echo(p: Parts) -> Column:
-    return _hit(_best_echo(p, p.prior_bags))
+    return _hit(_best_echo(p, p.prior_tokens))
 
 
 def memory_relevance(p: Parts) -> Column:
-    return _hit(_best_echo(p, p.retrieved_bags))
+    return _hit(_best_echo(p, p.retrieved_tokens))
 
 
 def uncertainty(p: Parts) -> Column:
@@ -314,22 +315,22 @@ def prepare(df: DataFrame, text: str, prior: str | None = None, retrieved: str |
     lex = lex or Lexicons()
     none = F.array().cast("array<string>")
     name = {k: f"{tag}{k}" for k in ("text", "low", "tokens", "hits", "sents", "sent_tokens", "keywords",
-                                    "bag", "prior", "prior_bags", "retrieved_bags")}
+                                    "norm", "prior", "prior_tokens", "retrieved_tokens")}
     src = F.coalesce(F.col(text), F.lit(""))
     out = df.withColumns({
         name["text"]: src, name["low"]: F.lower(src), name["tokens"]: tx.tokenize(src),
         name["sents"]: tx.sentences(src),
         name["prior"]: none if prior is None else F.coalesce(F.slice(
             F.col(prior), F.greatest(F.size(F.col(prior)) - 9, F.lit(1)), F.lit(10)), none),
-        name["retrieved_bags"]: F.transform(
-            none if retrieved is None else F.coalesce(F.col(retrieved), none), lambda t: tx.bag(tx.tokenize(t)))})
+        name["retrieved_tokens"]: F.transform(
+            none if retrieved is None else F.coalesce(F.col(retrieved), none), tx.tokenize)})
     tokens = F.col(name["tokens"])
     out = out.withColumns({
         name["hits"]: F.expr(f"filter({name['tokens']}, t -> t in ({_quoted(lex.vocabulary())}))"),
         name["sent_tokens"]: F.transform(F.col(name["sents"]), tx.tokenize),
         name["keywords"]: tx.top_words(tx.keyword_tokens(tokens, lex.stop), 12),
-        name["bag"]: tx.bag(tokens),
-        name["prior_bags"]: F.transform(F.col(name["prior"]), lambda t: tx.bag(tx.tokenize(t)))})
+        name["norm"]: tx.sum_squares(tokens),
+        name["prior_tokens"]: F.transform(F.col(name["prior"]), tx.tokenize)})
     c = {k: F.col(v) for k, v in name.items()}
     lists = {**lex.words, "identity": lex.identity, "concrete": sorted({*lex.tech, *lex.words["concrete_extra"]})}
     n = F.size(tokens)

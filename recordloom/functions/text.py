@@ -119,19 +119,24 @@ def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
 
-def _run_starts(ordered: Column, same) -> Column:
-    """Indexes at which a sorted array starts a new run."""
-    n = F.size(ordered)
-    every = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    return F.filter(every, lambda i: (i == 0) | ~same(F.get(ordered, i), F.get(ordered, i - 1)))
+# Equal tokens stand side by side once sorted and joined; a pattern then reads whole runs in one
+# pass, far cheaper than a lambda per token. The possessive loops neither backtrack nor recurse.
+RUN = r"(\S++)(?: \1(?!\S))*+"
+REPEATED_RUN = r"(?<!\S)(\S++)(?: \1(?!\S))++"
+
+
+def _runs(tokens: Column, pattern: str) -> Column:
+    return F.regexp_extract_all(F.array_join(F.sort_array(tokens), " "), F.lit(pattern), F.lit(0))
+
+
+def _run_size(run: Column, word: Column) -> Column:
+    return (F.length(run) + 1) / (F.length(word) + 1)
 
 
 def bag(tokens: Column) -> Column:
-    """Distinct tokens with their counts, array<struct<w,n>>; one sort, no quadratic step."""
-    return let(F.sort_array(tokens), lambda s: let(
-        _run_starts(s, lambda x, y: x == y), lambda starts: F.transform(starts, lambda p, j: F.struct(
-            F.get(s, p).alias("w"),
-            (F.coalesce(F.get(starts, j + 1), F.size(s)) - p).cast("double").alias("n")))))
+    """Distinct tokens (without white space) and their counts: array<struct<w,n>>."""
+    return F.transform(_runs(tokens, RUN), lambda r: let(F.substring_index(r, " ", 1), lambda w: F.struct(
+        w.alias("w"), _run_size(r, w).alias("n"))))
 
 
 def bag_norm(b: Column) -> Column:
@@ -148,20 +153,40 @@ def cosine_bags(a: Column, b: Column) -> Column:
     return F.when(norm == 0, 0.0).otherwise(let(F.sort_array(F.concat(a, b)), dot) / norm)
 
 
+def sum_squares(tokens: Column) -> Column:
+    """Squared length of the token counts; only repeated tokens add to the number of tokens."""
+    return F.aggregate(_runs(tokens, REPEATED_RUN), F.size(tokens).cast("double"), lambda a, r: a + let(
+        _run_size(r, F.substring_index(r, " ", 1)), lambda n: n * n - n))
+
+
+def cosine_tokens(a: Column, b: Column, a2: Column | None = None, b2: Column | None = None) -> Column:
+    """Cosine of the token counts of two arrays, from |a + b|^2 = |a|^2 + |b|^2 + 2ab.
+
+    `a2` and `b2` are their squared lengths where already known.
+    """
+    lengths = F.struct((sum_squares(a) if a2 is None else a2).alias("a"), (sum_squares(b) if b2 is None else b2).alias("b"))
+    return let(lengths, lambda n: F.when((n["a"] == 0) | (n["b"] == 0), 0.0).otherwise(
+        (sum_squares(F.concat(a, b)) - n["a"] - n["b"]) / 2 / F.sqrt(n["a"] * n["b"])))
+
+
 def keyword_tokens(tokens: Column, stop: Sequence[str] = STOPWORDS) -> Column:
     """Alphabetic tokens longer than two letters that are not stop words."""
     return F.filter(tokens, lambda t: is_alpha(t) & (F.length(t) > 2) & ~among(t, stop))
 
 
 def top_words(tokens: Column, k: int) -> Column:
-    """The k most frequent tokens with counts; ties go to the earlier first appearance."""
-    placed = F.transform(tokens, lambda t, i: F.struct(t.alias("w"), i.alias("p")))
-    counted = let(F.sort_array(placed), lambda s: let(
-        _run_starts(s, lambda x, y: x["w"] == y["w"]), lambda starts: F.transform(starts, lambda p, j: F.struct(
-            (p - F.coalesce(F.get(starts, j + 1), F.size(s))).alias("neg"), F.get(s, p)["p"].alias("p"),
-            F.get(s, p)["w"].alias("w")))))
-    return F.transform(F.slice(F.sort_array(counted), 1, k),
-                       lambda e: F.struct(e["w"].alias("w"), (-e["neg"]).cast("long").alias("n")))
+    """The k most frequent tokens with counts; ties go to the earlier first appearance.
+
+    First appearances are looked up only for words frequent enough to make the list.
+    """
+    def ranked(t, b, floor):
+        best = F.filter(b, lambda e: e["n"] >= floor)
+        return F.slice(F.sort_array(F.transform(best, lambda e: F.struct(
+            (-e["n"]).alias("neg"), F.array_position(t, e["w"]).alias("p"), e["w"].alias("w")))), 1, k)
+    found = let(tokens, lambda t: let(bag(t), lambda b: let(
+        F.coalesce(F.get(F.sort_array(F.transform(b, lambda e: e["n"]), False), F.lit(k - 1)), F.lit(0.0)),
+        lambda floor: ranked(t, b, floor))))
+    return F.transform(found, lambda e: F.struct(e["w"].alias("w"), (-e["neg"]).cast("long").alias("n")))
 
 
 def top_keywords(text: Column, k: int = 10, stop: Sequence[str] = STOPWORDS) -> Column:

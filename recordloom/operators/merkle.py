@@ -47,9 +47,9 @@ def merkle_roots(df: DataFrame, keys: Sequence[str], pos: str, hash_hex: str, ro
     for _ in range(rounds):
         runs = (nodes.groupBy(*keys, "leaves", "_n", F.expr(f"_p div {FAN}").alias("_q"))
                 .agg(_ordered("_p", "_h").alias("_layer")))
-        nodes = runs.select(
-            *keys, "leaves", F.expr(f"(_n + {FAN - 1}) div {FAN}").alias("_n"), F.col("_q").alias("_p"),
-            F.get(_climb(F.col("_layer"), FAN_LEVELS, F.col("_n") > FAN), F.lit(0)).alias("_h"))
+        # the node is made before _n is renewed: a new _n beside it would be read inside the fold
+        nodes = runs.withColumn("_h", F.get(_climb(F.col("_layer"), FAN_LEVELS, F.col("_n") > FAN), F.lit(0))).select(
+            *keys, "leaves", F.expr(f"(_n + {FAN - 1}) div {FAN}").alias("_n"), F.col("_q").alias("_p"), "_h")
     return nodes.select(*keys, "leaves", F.lower(F.hex("_h")).alias("root"))
 
 

@@ -46,7 +46,8 @@ def topic_rows(rows: DataFrame, kind: str, stop: Sequence[str] = fv.STOPWORDS,
     sig = F.array_join(F.sort_array(tx.words_of(top)), "+")
     if kind == "confusion":
         sig = F.concat(F.lit("confusion:"), F.when(sig == "", "general").otherwise(sig))
-    return rows.where(hit).select("chain_id", sig.alias("signature"), "idx").where("signature <> ''")
+    # one evaluation of the signature: a filter after it would be pushed down and compute it again
+    return rows.where(hit).select("chain_id", F.explode(F.filter(F.array(sig), lambda s: s != "")).alias("signature"), "idx")
 
 
 def topic_clusters(evidence: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
