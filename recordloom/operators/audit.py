@@ -11,6 +11,9 @@ from recordloom.functions import text as tx
 from recordloom.operators.integrity import verify_log
 
 
+MAX_WORDS = 10_000  # a larger word table joins without a hint
+
+
 def body_text(content: Column) -> Column:
     return F.coalesce(F.get_json_object(content, "$.data.content"), F.get_json_object(content, "$.text"),
                       tx.handle(content), F.lit(""))
@@ -28,7 +31,9 @@ def domain_rollup(log: DataFrame, domains: dict[str, Sequence[str]] = fv.DOMAINS
     anything is shuffled, so a common word costs one row per record at most.
     """
     pairs = [(d, w) for d, ws in domains.items() for w in ws]
-    words = F.broadcast(log.sparkSession.createDataFrame(pairs, "domain string, word string"))
+    words = log.sparkSession.createDataFrame(pairs, "domain string, word string")
+    if len(pairs) <= MAX_WORDS:
+        words = F.broadcast(words)
     text = body_text(F.col("content_json"))
     rows = log.select("chain_id", "idx", text.alias("_t")).select(
         "chain_id", "idx", tx.approx_tokens(F.col("_t")).alias("_tok"),

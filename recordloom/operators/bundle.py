@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from recordloom.functions.hashing import canonical_json, hmac_sha256, record_message_parts
 from recordloom.operators.merkle import merkle_roots
-from recordloom.operators.blocks import SPAN, positions
+from recordloom.operators.blocks import SPAN, global_positions, positions
 from recordloom.operators.meta import resolve_meta
 
 VERSION = 2
@@ -137,8 +137,8 @@ def import_bundle(log: DataFrame, headers: DataFrame, records: DataFrame, key_he
         F.lit(',"origin":"'), F.col("origin"), F.lit('","origin_index":'), F.col("idx").cast("string"),
         F.lit(',"origin_record_hash":"'), F.col("record_hash"), F.lit('","origin_redacted":'), F.col("redacted").cast("string"),
         F.lit(',"origin_type":"'), F.col("rec_type"), F.lit('"}'))
-    placed = positions(rows.withColumn("_all", F.lit(1)), ["_all"], F.concat("bundle_key", F.lit("|"), F.lpad(
-        F.expr(f"pos div {SPAN}").cast("string"), 12, "0")), ["pos"], "seq")
+    places = global_positions(rows.select("bundle_key", "pos"), ["bundle_key", "pos"], "_n")  # narrow rows only
+    placed = rows.join(places, ["bundle_key", "pos"]).withColumn("seq", (F.col("_n") - 1).cast("long"))
     return placed.select(
         F.lit(chain_id).cast("long").alias("chain_id"), "seq", F.lit(ts_ms).cast("long").alias("ts_ms"),
         F.lit("imported_capsule").alias("rec_type"), content.alias("content_json"),
