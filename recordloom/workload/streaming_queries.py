@@ -12,7 +12,7 @@ from recordloom.sources import files as fs, logs
 from recordloom.streaming import batches, stateful
 from recordloom.workload.integrity_queries import HEADS, RUNS, TAMPERED, WITNESSES, tampered
 from recordloom.workload.logs_sql import CONV, EVENTS, GOV, merkle_levels
-from recordloom.workload.pipeline_queries import _OM, DATA_DOMAINS, KEY, _BN, doc_log, exported, faculty_rows, mined
+from recordloom.workload.corpus_queries import _OM, DATA_DOMAINS, KEY, _BN, doc_log, exported, faculty_rows, mined
 from recordloom.workload.registry import query
 from recordloom.workload.signals_queries import TOK
 
