@@ -32,9 +32,9 @@ CLASSES = (("small", "[a-z]+"), ("space", SPACE), ("beyond_ascii", r"[^\x00-\x7F
 SYMBOL = [n for n, _ in CLASSES].index("symbol")
 SPACES = [n for n, _ in CLASSES].index("space")
 MIN_CHARS = 200
-MIN_WORDS = 40
-MOST_CLASS_DISTANCE = 0.30
-MOST_WORD_DISTANCE = 0.62
+MIN_WORDS = 60
+MOST_CLASS_DISTANCE = 0.28
+MOST_WORD_DISTANCE = 0.315
 OTHER = ""
 
 

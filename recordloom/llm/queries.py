@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from recordloom.llm import divergence, mixing, sharding, telephony, trie_bpe
+from recordloom.llm import blob_ledger, divergence, mixing, sharding, telephony, trie_bpe
 from recordloom.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +61,13 @@ def op10(spark, sf_dir):
 @query("op1_divergence")
 def op1(spark, sf_dir):
     return divergence.judge(documents(spark, sf_dir))
+
+
+@query("op3_blob_ledger")
+def op3(spark, sf_dir):
+    found = blob_ledger.scan_documents(documents(spark, sf_dir))
+    count = lambda kind: F.size(F.filter("found", lambda f: f["kind"] == kind)).cast("long")
+    base = F.filter("found", lambda f: f["kind"].isin(*[r.kind for r in blob_ledger.BASE]))
+    return found.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
+                        F.sha2(blob_ledger.span_text(base), 256).alias("base_sha256"),
+                        blob_ledger.span_text(F.col("found")).alias("spans"), "blob")
