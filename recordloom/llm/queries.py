@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from recordloom.llm import blob_ledger, divergence, mixing, sharding, telephony, trie_bpe
+from recordloom.llm import blob_ledger, divergence, license_rules, mixing, sharding, telephony, trie_bpe
 from recordloom.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +71,8 @@ def op3(spark, sf_dir):
     return found.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
                         F.sha2(blob_ledger.span_text(base), 256).alias("base_sha256"),
                         blob_ledger.span_text(F.col("found")).alias("spans"), "blob")
+
+
+@query("op5_license_rules")
+def op5(spark, sf_dir):
+    return license_rules.licenses(documents(spark, sf_dir))
