@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from recordloom.llm import blob_ledger, divergence, license_rules, mixing, ordinal, sharding, telephony, trie_bpe
+from recordloom.llm import blob_ledger, divergence, license_rules, mixing, near_dedup, ordinal, sharding, telephony, trie_bpe
 from recordloom.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,8 @@ def op5(spark, sf_dir):
 @query("op2_ordinal")
 def op2(spark, sf_dir):
     return ordinal.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query("op4_near_dedup")
+def op4(spark, sf_dir):
+    return near_dedup.link(documents(spark, sf_dir))
