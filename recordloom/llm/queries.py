@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from recordloom.llm import blob_ledger, divergence, license_rules, mixing, near_dedup, ordinal, sharding, telephony, trie_bpe
+from recordloom.llm import blob_ledger, bloom_lm, divergence, license_rules, mixing, near_dedup, ordinal, sharding, telephony, trie_bpe
 from recordloom.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,9 @@ def op2(spark, sf_dir):
 @query("op4_near_dedup")
 def op4(spark, sf_dir):
     return near_dedup.link(documents(spark, sf_dir))
+
+
+@query("op8_bloom_lm")
+def op8(spark, sf_dir):
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
+    return bloom_lm.score(documents(spark, sf_dir), held_out)
