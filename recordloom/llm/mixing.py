@@ -78,21 +78,16 @@ def _key(source: Column) -> Column:
     return F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source))
 
 
-def plan_mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: int = CAP, blocks: int = BLOCKS,
-             shards: int = SHARDS, seed: str = "mix") -> DataFrame:
-    """One row per input row: doc_id, source, size, source_size, target, draws.
+def _place(row: str, blocks: int, seed: str) -> list[Column]:
+    """Source key, block and order inside the block of a row."""
+    doc_id, source = F.col(f"{row}.doc_id").cast("long"), F.col(f"{row}.source").cast("string")
+    return [_key(source).alias("_key"), F.pmod(F.xxhash64(doc_id, F.lit(f"{seed}/block")), F.lit(blocks)).cast("int").alias("_block"),
+            F.xxhash64(doc_id, F.lit(f"{seed}/order")).alias("_order")]
 
-    `draws` lists the copies the mix takes, as structs of copy (from 0) and shard; it is empty for a
-    document left out. Null text has size 0; a null source is a source of its own. Choices depend on
-    doc_id alone, so reruns agree and repeated rows fare alike. An empty table gives an empty one.
-    """
-    spark = prepare(docs.sparkSession)
-    sized = stored(docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-        F.size(words(F.col("text").cast("string"))).cast("long").alias("size"))
-        .withColumn("_key", _key(F.col("source")))
-        .withColumn("_block", F.pmod(F.xxhash64("doc_id", F.lit(f"{seed}/block")), F.lit(blocks)).cast("int"))
-        .withColumn("_order", F.xxhash64("doc_id", F.lit(f"{seed}/order"))))
+
+def _deal(sized: DataFrame, weights: Sequence[float], cap: int, blocks: int, shards: int, seed: str) -> DataFrame:
+    """One row per source and block: what the mix draws from it."""
+    spark = sized.sparkSession
     totals = stored(sized.groupBy("_key", "_block").agg(F.sum("size").alias("words")))
     per_source = totals.groupBy("_key").agg(F.sum("words").alias("size")).limit(MOST_SOURCES + 1).collect()
     if len(per_source) > MOST_SOURCES:
@@ -138,10 +133,43 @@ def plan_mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: int = CAP
                  F.array_sort(F.collect_list(F.when(F.col("copy").isNotNull(), F.struct("copy", "shard")))).alias("_all")))
     if len(per_source) * blocks <= MOST_BROADCAST_ROWS:
         dealt = F.broadcast(dealt)
-    return (sized.join(dealt, ["_key", "_block"])
-            .select("doc_id", "source", "size", "source_size", "target",
-                    F.filter("_all", lambda d: ~F.col("_ends") | (d["copy"] < F.col("epochs"))
-                             | F.coalesce(F.col("_order") <= F.col("_last"), F.lit(False))).alias("draws")))
+    return dealt
+
+
+def _draws() -> Column:
+    """A row's own draws: in the block at a source's end only rows up to the last one get the extra copy."""
+    return F.filter("_all", lambda d: ~F.col("_ends") | (d["copy"] < F.col("epochs"))
+                    | F.coalesce(F.col("_order") <= F.col("_last"), F.lit(False)))
+
+
+def _sized(docs: DataFrame, blocks: int, seed: str) -> DataFrame:
+    size = F.size(words(F.col("row.text").cast("string"))).cast("long").alias("size")
+    return docs.select(F.struct("doc_id", "source", "text").alias("row")).select(
+        F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.source").cast("string").alias("source"), size, *_place("row", blocks, seed))
+
+
+def plan_mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: int = CAP, blocks: int = BLOCKS,
+             shards: int = SHARDS, seed: str = "mix") -> DataFrame:
+    """One row per input row: doc_id, source, size, source_size, target, draws.
+
+    `draws` lists the copies the mix takes, as structs of copy (from 0) and shard; it is empty for a
+    document left out. Null text has size 0; a null source is a source of its own. Choices depend on
+    doc_id alone, so reruns agree and repeated rows fare alike. An empty table gives an empty one.
+    """
+    prepare(docs.sparkSession)
+    sized = stored(_sized(docs, blocks, seed))
+    return (sized.join(_deal(sized, weights, cap, blocks, shards, seed), ["_key", "_block"])
+            .select("doc_id", "source", "size", "source_size", "target", _draws().alias("draws")))
+
+
+def mix_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: int = CAP, blocks: int = BLOCKS,
+                  shards: int = SHARDS, seed: str = "mix") -> DataFrame:
+    """The mix as documents: every row as often as it is drawn, with all its columns. A row finds its
+    draws by its hash, so texts are not shuffled to be mixed."""
+    prepare(docs.sparkSession)
+    dealt = _deal(stored(_sized(docs, blocks, seed)), weights, cap, blocks, shards, seed)
+    placed = docs.select(F.struct(*docs.columns).alias("row")).select("row", *_place("row", blocks, seed))
+    return placed.join(dealt, ["_key", "_block"]).select("row", F.explode(_draws())).select("row.*")
 
 
 def mixed(plan: DataFrame, seed: str = "mix") -> DataFrame:

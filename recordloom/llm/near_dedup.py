@@ -244,3 +244,13 @@ def link(docs: DataFrame, bins: int = BINS, band: int = BAND, percent: int = PER
     out = linked.unionByName(alone)
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id",
                       (F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, **settings) -> DataFrame:
+    """The documents with all their columns, one of each component: that of the smallest doc_id.
+
+    Rows that share a doc_id are one document and stay together; rows with a null doc_id all stay.
+    """
+    kept = link(docs, **settings).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
+    known = docs.where(F.col("doc_id").isNotNull())
+    return known.join(kept, known["doc_id"] == kept["_kept"], "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))

@@ -141,13 +141,14 @@ def train(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, sample: int =
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None, tail: int | None = None) -> DataFrame:
-    """All input columns, plus _expected (mean grade) and _tail (probability of `tail` or better,
-    by default the best grade). A null text is an empty one. Without a model both are null."""
+    """row (all input columns), expected (mean grade), tail (probability of grade `tail` or better, by
+    default the best). A null text is an empty one. Without a model both are null."""
+    row = docs.select(F.struct(*docs.columns).alias("row"))
     if model is None:
-        return docs.withColumn("_expected", F.lit(None).cast("double")).withColumn("_tail", F.lit(None).cast("double"))
+        return row.select("row", F.lit(None).cast("double").alias("expected"), F.lit(None).cast("double").alias("tail"))
     w, b = model
     at = len(b) if tail is None else tail
-    box = prepare(docs.sparkSession).sparkContext.broadcast((np.asarray(w, np.float64), np.asarray(b)))
+    box = prepare(docs.sparkSession).sparkContext.broadcast((w, b))
 
     @F.pandas_udf("struct<expected:double,tail:double>")
     def rate(texts: pd.Series) -> pd.DataFrame:
@@ -156,17 +157,29 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None, tail: in
         reach = sigmoid(eta[:, None] - cuts[None, :])  # P(grade > k)
         return pd.DataFrame({"expected": reach.sum(axis=1), "tail": reach[:, at - 1] if at else np.ones(len(eta))})
 
-    return (docs.withColumn("_rated", rate(F.col("text").cast("string")))
-            .withColumn("_expected", F.col("_rated.expected")).withColumn("_tail", F.col("_rated.tail")).drop("_rated"))
+    rated = row.withColumn("rated", rate(F.col("row.text").cast("string")))
+    return rated.select("row", F.col("rated.expected").alias("expected"), F.col("rated.tail").alias("tail"))
+
+
+def good(min_tail: float = MIN_TAIL) -> Column:
+    return F.coalesce("tail", F.lit(1.0)) >= min_tail
+
+
+def model_of(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
+    """A model from a table of doc_id, quality, toxic; rows with a null quality are no ratings."""
+    return train(docs, labels.select("doc_id", grade(F.col("quality"), F.col("toxic")).alias("grade")), sample=sample)
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, min_tail: float = MIN_TAIL) -> DataFrame:
     """One row per input row: doc_id, expected_grade, tail_probability, kept.
 
-    `labels` has doc_id, quality, toxic; rows with a null quality are no ratings. Without any
-    rating all documents are kept with null scores. Copies get equal scores.
+    Without any rating all documents are kept with null scores. Copies get equal scores; an empty
+    table gives an empty one.
     """
-    model = train(docs, labels.select("doc_id", grade(F.col("quality"), F.col("toxic")).alias("grade")), sample=sample)
-    rated = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model)
-    return rated.select("doc_id", F.col("_expected").alias("expected_grade"), F.col("_tail").alias("tail_probability"),
-                        (F.coalesce("_tail", F.lit(1.0)) >= min_tail).alias("kept"))
+    rated = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model_of(docs, labels, sample))
+    return rated.select("row.doc_id", F.col("expected").alias("expected_grade"), F.col("tail").alias("tail_probability"), good(min_tail).alias("kept"))
+
+
+def select_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, min_tail: float = MIN_TAIL) -> DataFrame:
+    """The documents that are kept, with all their columns."""
+    return score(docs, model_of(docs, labels, sample)).where(good(min_tail)).select("row.*")

@@ -92,3 +92,9 @@ def op4(spark, sf_dir):
 def op8(spark, sf_dir):
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
     return bloom_lm.score(documents(spark, sf_dir), held_out)
+
+
+@query("pipeline")
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)

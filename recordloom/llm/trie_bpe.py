@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import json
 from array import array
+from collections.abc import Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -209,25 +210,28 @@ def coder_for(model: dict) -> TrieEncoder:
     return _CODERS[key]
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id and ids (array<int>) of every row's text; null counts as an empty text.
+def encode(docs: DataFrame, path: str, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """The columns named by `keep`, and ids (array<int>) of every row's text; null counts as empty.
 
     `path` names the vocabulary file. It is read on the driver and broadcast; its size is fixed.
-    Special tokens in a text become their ids, none are added. Repeated rows stay repeated.
+    Special tokens in a text become their ids, none are added. Repeated rows stay repeated, an
+    empty table gives an empty one.
     """
     spark = prepare(docs.sparkSession)
     box = spark.sparkContext.broadcast(load(path))
+    source = docs.select(*keep, F.col("text").cast("string").alias("_body"))
+    names = list(keep)
 
     def rows(batches):
         coder = coder_for(box.value)
         for batch in batches:
-            packed = [coder.encode(t or "") for t in batch.column(1).to_pylist()]
+            packed = [coder.encode(t or "") for t in batch.column("_body").to_pylist()]
             ends = np.cumsum([0] + [len(p) // 4 for p in packed]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), ids], [*names, "ids"])
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(rows, "doc_id long, ids array<int>")
+    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema.fields[:-1])
+    return source.mapInArrow(rows, f"{kept}ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
