@@ -24,12 +24,16 @@ from recordloom.session import stored
 
 @dataclass(frozen=True)
 class Signature:
-    """`priority`: 1 ranks highest; 0 marks base phrases, which take no part in suppression."""
+    """`priority`: 1 ranks highest; 0 marks base phrases, which take no part in suppression.
+
+    Any match holds the keyword and, if there are any, one of the `names` as whole words.
+    """
     label: str
     pattern: str
     keyword: str
     priority: int
     score: float
+    names: tuple[str, ...] = ()
 
 
 #: Base phrases and their labels.
@@ -70,6 +74,24 @@ FAMILIES = (
     ("sspl-1.0", "server side public|sspl", "sspl 1 0"), ("busl-1.1", "business source", "busl 1 1"), ("elastic-2.0", "elastic", "elastic 2 0"),
     ("llama", "llama (?:2 |3 )?community", "llama"), ("openrail", "(?:bigscience |creativeml )?open ?rail(?: m)?", "openrail"),
 )
+#: Words of which any mention of a family, long or short, holds one; other families hold their label's first word.
+NAMED = {
+    "mit": "mit|expat", "apache-2.0": "apache", "apache-1.1": "apache", "gpl-2.0": "general public|gpl", "gpl-3.0": "general public|gpl",
+    "gpl": "general public|gpl", "lgpl-2.1": "lesser general public|lgpl", "lgpl": "library general public|lgpl",
+    "agpl-3.0": "affero general public|agpl", "gfdl": "free documentation|gfdl", "bsd-2-clause": "bsd", "bsd-3-clause": "bsd",
+    "bsd-4-clause": "bsd", "bsd": "bsd|berkeley software distribution", "0bsd": "bsd|0bsd", "isc": "isc|internet systems consortium",
+    "mpl-2.0": "mozilla|mpl", "mpl-1.1": "mozilla|mpl", "mpl": "mozilla|mpl", "epl-2.0": "eclipse|epl", "epl-1.0": "eclipse|epl", "epl": "eclipse|epl",
+    "cddl-1.0": "common development|cddl", "cpl-1.0": "common public|cpl", "libpng": "libpng|png reference", "bsl-1.0": "boost|bsl",
+    "wtfpl": "do what the|wtfpl", "cc0-1.0": "cc0|creative commons zero", "cc-by-4.0": "attribution|cc by", "cc-by-3.0": "attribution|cc by",
+    "cc-by-sa-4.0": "attribution|cc by sa", "cc-by-sa-3.0": "attribution|cc by sa", "cc-by-nc-4.0": "attribution|cc by nc",
+    "cc-by-nc-sa-4.0": "attribution|cc by nc sa", "cc-by-nd-4.0": "attribution|cc by nd", "cc-by-nc-nd-4.0": "attribution|cc by nc nd",
+    "cc": "creative commons|cc by", "eupl-1.2": "european union public|eupl", "osl-3.0": "open software|osl", "afl-3.0": "academic free|afl",
+    "ms-pl": "microsoft public|ms pl", "ms-rl": "microsoft reciprocal|ms rl", "python-2.0": "python software foundation|psf",
+    "odbl-1.0": "open database|odbl", "ofl-1.1": "open font|ofl", "sspl-1.0": "server side public|sspl", "busl-1.1": "business source|busl",
+    "openrail": "openrail|open rail|open railm|openrailm",
+}
+#: The raw text of a match "... under ..." holds one of these.
+GRANTS = ("licensed", "released", "distributed", "available", "published", "provided")
 #: How a family is mentioned: pattern around its name, keyword, priority, score.
 FORMS = (
     ("spdx license identifier (?:{short})", "spdx", 1, 1.0),
@@ -108,7 +130,8 @@ BODIES = (
 @lru_cache(maxsize=1)
 def signatures() -> tuple[Signature, ...]:
     """All rules in order: every family in every form, then the sentences, then the base phrases."""
-    rules = [Signature(label, form.format(name=name, short=short), keyword, priority, score)
+    named = lambda label: tuple(f" {n} " for n in NAMED.get(label, label.split("-")[0]).split("|"))
+    rules = [Signature(label, form.format(name=name, short=short), keyword, priority, score, named(label))
              for form, keyword, priority, score in FORMS for label, name, short in FAMILIES]
     rules += [Signature(label, pattern, keyword, 3, 0.85) for label, pattern, keyword in BODIES]
     rules += [Signature(label, phrase, "license", 0, 0.5) for label, phrase in BASE]
@@ -128,9 +151,10 @@ def _blanks(text: Column) -> Column:
 def detect(line: Column, rules: Sequence[Signature]) -> Column:
     """Matches of the rules whose keyword occurs, as words before (since the last match) and inside.
 
-    A match begins after a blank and ends before one, so counting blanks counts words.
+    A match takes the blank before it and ends before one, so counting blanks counts words.
     """
-    table = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(r.keyword).alias("k"), F.lit(f"(?<= )(?:{r.pattern})(?= )").alias("p")) for i, r in enumerate(rules)])
+    table = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(r.keyword).alias("k"), F.lit(f" (?:{r.pattern})(?= )").alias("p"),
+                              F.array(*[F.lit(n) for n in r.names]).cast("array<string>").alias("n")) for i, r in enumerate(rules)])
 
     def one(r):
         gaps = F.transform(F.split(line, r["p"], -1), _blanks)
@@ -138,7 +162,8 @@ def detect(line: Column, rules: Sequence[Signature]) -> Column:
         return F.transform(F.arrays_zip(gaps.alias("g"), hits.alias("h")),
                            lambda z, i: F.struct(r["i"].alias("rule"), i.alias("place"), z["g"].alias("gap"), z["h"].alias("hit")))
 
-    likely = F.filter(table, lambda r: F.contains(line, r["k"]))
+    likely = F.filter(table, lambda r: F.contains(line, r["k"]) & (
+        (F.size(r["n"]) == 0) | F.exists(r["n"], lambda n: F.contains(line, n))))
     return F.filter(F.flatten(F.transform(likely, one)), lambda m: m["hit"].isNotNull())
 
 
@@ -147,7 +172,7 @@ def scan(docs: DataFrame, rules: Sequence[Signature] | None = None) -> tuple[Dat
     rules = rules or signatures()
     prepare(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keywords = sorted({r.keyword for r in rules})
+    keywords = sorted({k for r in rules for k in (GRANTS if r.keyword == "under" else (r.keyword,))})
     keywords = [k for k in keywords if not any(o != k and o in k for o in keywords)]
 
     def gate(t):
@@ -168,8 +193,7 @@ def scan(docs: DataFrame, rules: Sequence[Signature] | None = None) -> tuple[Dat
     hits = table.where(F.size("found") > 0).select("uid", F.explode("found").alias("f")).select("uid", "f.*")
     before = W.partitionBy("uid", "rule").orderBy("place").rowsBetween(W.unboundedPreceding, 0)
     spans = (hits.withColumn("_last", F.sum(F.col("gap") + F.col("hit")).over(before))
-             # blanks up to the match less the one that opens the line; a match of n words has n - 1 blanks
-             .select("uid", "rule", (F.col("_last") - F.col("hit") - 1).alias("start"), F.col("_last").alias("end")))
+             .select("uid", "rule", (F.col("_last") - F.col("hit")).alias("start"), F.col("_last").alias("end")))
     return table.select("uid", "doc_id", "n_words"), spans
 
 
