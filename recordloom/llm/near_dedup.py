@@ -6,8 +6,8 @@
    hash. An empty bin takes over the bin that its own sequence of hashed guesses meets first among
    the bins with content (the same guesses for all documents), so equal sets get equal signatures
    and each bin agrees with the probability of the sets' similarity.
-3. Bands of R bins make buckets. With K = 128 and R = 4 a pair at similarity 0.85 misses every one
-   of the 32 bands with probability (1 - 0.85^4)^32, about 6e-11.
+3. Bands of R bins make buckets. With K = 192 and R = 6 a pair at similarity 0.85 misses every one
+   of the 32 bands with probability (1 - 0.85^6)^32, about 3e-7.
 4. Stars: a bucket offers only the pairs of its center with the rest, so pairs grow with members, not
    with their square. The center is the member with most bucket mates, which in a group of copies
    is the text that they were made from. Sizes that rule out the threshold are dropped at once.
@@ -32,8 +32,8 @@ from recordloom.llm.common import prepare
 from recordloom.session import stored
 
 SHINGLE = 5
-BINS = 128
-BAND = 4
+BINS = 192
+BAND = 6
 PERCENT = 85
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
