@@ -198,12 +198,21 @@ def link(docs: DataFrame, bins: int = BINS, band: int = BAND, percent: int = PER
     involved = members.select("doc_id").distinct()
     sets = stored(shingle_sets(_texts(docs).join(involved, "doc_id", "left_semi"), shingle))
 
-    def offered(centers: DataFrame, crowd: DataFrame) -> DataFrame:
-        """Pairs of each bucket's centers with its members of other components."""
-        mate = crowd.select("key", F.col("doc_id").alias("y"), F.col("n").alias("_ny"), F.col("root").alias("_ry"))
-        pairs = (centers.select("key", F.col("doc_id").alias("x"), F.col("n").alias("_nx"), F.col("root").alias("_rx"))
+    sketches = stored(reps.join(involved, "doc_id", "left_semi").select("doc_id", "keys"))
+
+    def offered(centers: DataFrame, crowd: DataFrame, once: bool) -> DataFrame:
+        """Pairs of each bucket's centers with its members of other components. With `once`, a pair
+        that shares several buckets is offered only in the one of least key: a bucket stays open as
+        long as it holds two components, so no pair misses its turn there."""
+        if once:
+            centers, crowd = centers.join(sketches, "doc_id"), crowd.join(sketches, "doc_id")
+        extra = ["keys"] if once else []
+        mate = crowd.select("key", F.col("doc_id").alias("y"), F.col("n").alias("_ny"), F.col("root").alias("_ry"), *[F.col(c).alias("_ky") for c in extra])
+        pairs = (centers.select("key", F.col("doc_id").alias("x"), F.col("n").alias("_nx"), F.col("root").alias("_rx"), *[F.col(c).alias("_kx") for c in extra])
                  .join(mate, "key").where("_rx <> _ry")
                  .where(F.least("_nx", "_ny") * 100 >= F.greatest("_nx", "_ny") * percent))
+        if once:
+            pairs = pairs.where(F.array_min(F.array_intersect("_kx", "_ky")) == F.col("key"))
         return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
     links = None
@@ -222,10 +231,9 @@ def link(docs: DataFrame, bins: int = BINS, band: int = BAND, percent: int = PER
             order = W.partitionBy("key").orderBy("mates", "doc_id")
             first = open_rows.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= take).drop("_at")
         first = stored(first.select("key", "doc_id", "n", "root"))
-        pairs = offered(first, open_rows)
+        pairs = stored(offered(first, open_rows, take > 1))
         if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stored(pairs)
+            pairs = stored(pairs.join(tried, ["a", "b"], "left_anti"))
         found = confirm(pairs, sets, percent)
         links = stored(found if links is None else links.unionByName(found))
         tried = pairs if tried is None else stored(tried.unionByName(pairs))
