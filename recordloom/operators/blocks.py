@@ -51,18 +51,26 @@ def running_sum(df: DataFrame, keys: Sequence[str], block: Column, order: Sequen
 
 def with_preceding(df: DataFrame, keys: Sequence[str], idx: str, reach: int,
                    outputs: dict[str, Column], span: int = SPAN) -> DataFrame:
-    """Window expressions that look back at most `reach` positions of a dense index.
+    """Window expressions that look back at most `reach` rows along the index, which may have holes.
 
     `outputs` maps a new column to an expression without OVER (F.lag, collect_list
-    and the like are given as callables of the window). The last `reach` rows of a
-    block are copied into the next block as silent carriers and dropped afterwards.
+    and the like are given as callables of the window). The last rows of a block are copied,
+    as silent carriers that are dropped afterwards, into every later block that has fewer than
+    `reach` rows between: mostly the next one, and more of them where blocks are nearly empty.
     """
     if reach > span:
         raise ValueError("reach must not exceed the block span")
-    block = F.expr(f"`{idx}` div {span}")
-    crosses = F.pmod(F.col(idx), F.lit(span)) >= span - reach
-    homes = F.when(crosses, F.array(block, block + 1)).otherwise(F.array(block))
-    spread = df.select("*", block.alias("_home"), F.explode(homes).alias("_block"))
+    rows = df.withColumn("_home", F.expr(f"`{idx}` div {span}"))
+    along = W.partitionBy(*keys).orderBy("_home")  # one row per block
+    blocks = (rows.groupBy(*keys, "_home").agg(F.count("*").alias("_n"))
+              .withColumn("_upto", F.sum("_n").over(along.rowsBetween(W.unboundedPreceding, 0)))
+              .withColumn("_next", F.collect_list(F.struct("_home", (F.col("_upto") - F.col("_n")).alias("_before")))
+                          .over(along.rowsBetween(1, max(1, reach))))
+              .drop("_n"))
+    placed = (rows.withColumn("_left", F.row_number().over(W.partitionBy(*keys, "_home").orderBy(F.desc(idx))))
+              .join(blocks, [*keys, "_home"]))
+    further = F.transform(F.filter("_next", lambda b: b["_before"] - F.col("_upto") + F.col("_left") <= reach), lambda b: b["_home"])
+    spread = placed.select(*df.columns, "_home", F.explode(F.concat(F.array("_home"), further)).alias("_block"))
     window = W.partitionBy(*keys, "_block").orderBy(idx)
     for name, make in outputs.items():
         spread = spread.withColumn(name, make(window))

@@ -204,3 +204,15 @@ def test_watermark_counts(make_rows, spark):
     log = logs.unlinked(make_rows([(1, i, "response", "{}") for i in range(5)]))
     marks = lambda n: spark.createDataFrame([(1, n)], "chain_id long, watermark long")
     assert [stats.turns_since_watermark(log, marks(n)).first()["n"] for n in (0, 3, 5, 9)] == [5, 2, 0, 5]
+
+
+@pytest.mark.parametrize("span", [4, 16, 4096])
+def test_preceding_over_holes_at_block_edges(spark, span):
+    """Edge rows and whole blocks are missing; results equal those of the plain window."""
+    kept = [i for i in range(60) if i not in {7, 15, 16, 31} and not 32 <= i < 40 and not 44 <= i < 49]
+    df = spark.createDataFrame([(c, i) for c in (1, 2) for i in kept], "chain_id long, idx long")
+    make = {"last": lambda w: F.lag("idx", 1).over(w), "third": lambda w: F.lag("idx", 3).over(w)}
+    plain = W.partitionBy("chain_id").orderBy("idx")
+    want = df.select("chain_id", "idx", *[f(plain).alias(n) for n, f in make.items()])
+    got = blocks.with_preceding(df, ["chain_id"], "idx", 3, make, span)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
