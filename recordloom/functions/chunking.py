@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -84,56 +85,53 @@ def chunk_text(df: DataFrame, text: str, target: int = CHUNK_CHARS, hard: int |
             .select(*df.columns, F.size("_pieces").alias("chunk_count"), F.posexplode("_pieces").alias("chunk_index", "chunk")))
 
 
-def _tokens(n_chars: int) -> int:
-    return max(1, n_chars // 4)
-
-
-def pack_lines(lines, target: int, least: int, most: int) -> Iterator[tuple[str, int, int]]:
-    """(content, first line, last line); holds at most two finished chunks and one open one."""
-    held: list[tuple[str, int, int]] = []
-    open_, start, last = [], 1, 0
-    size = 0
-    empty = True
-
-    def close():
-        nonlocal open_, size
-        if open_:
-            held.append(("".join(open_), start, last))
-            open_, size = [], 0
-        while len(held) > 2:
-            yield held.pop(0)
-
-    for number, line in enumerate(lines, 1):
-        empty = False
-        if _tokens(len(line)) > most:
-            yield from close()
-            for i in range(0, len(line), most * 4):
-                held.append((line[i:i + most * 4], number, number))
-                while len(held) > 2:
-                    yield held.pop(0)
+_LINE_END = re.compile("\r\n|[\n\r\v\f\x1c\x1d\x1e\x85\u2028\u2029]")
+#: Chunks in one Arrow batch of `chunk_lines`.
+CHUNKS_PER_BATCH = 64
+
+
+def line_ends(text: str) -> np.ndarray:
+    """Offset after each line, its terminator included; empty for an empty text."""
+    ends = np.fromiter((m.end() for m in _LINE_END.finditer(text)), np.int64)
+    return ends if not text or (len(ends) and ends[-1] == len(text)) else np.append(ends, len(text))
+
+
+def cut_points(ends: np.ndarray, target: int, least: int, most: int) -> np.ndarray:
+    """Offsets where line-aware chunks begin, and last the text's end (a token is four characters).
+
+    A line over `most` tokens is a stretch of its own and cut every `4 * most` characters. Between
+    such lines a chunk reaches to the last line end that keeps it within `target`, at least one line.
+    A last chunk under `least` joins the one before if both together stay within `most`.
+    """
+    if not len(ends):
+        return np.zeros(2, np.int64)
+    starts = np.append(0, ends[:-1])
+    wide = (ends - starts) // 4 > most
+    stretches = np.unique(np.concatenate([starts[wide], ends[wide], [0, ends[-1]]]))
+    sliced = np.isin(stretches, starts[wide])
+    cuts: list[int] = []
+    for at, stop, by_size in zip(stretches[:-1].tolist(), stretches[1:].tolist(), sliced):
+        if by_size:
+            cuts.extend(range(at, stop, 4 * most))
             continue
-        if open_ and _tokens(size + len(line)) > target:
-            yield from close()
-        if not open_:
-            start = number
-        open_.append(line)
-        size, last = size + len(line), number
-    yield from close()
-    if empty:
-        yield "", 1, 1
-        return
-    if len(held) == 2:
-        (a, a0, _), (b, _, b1) = held
-        if _tokens(len(b)) < least and _tokens(len(a) + len(b)) <= most:
-            held[:] = [(a + b, a0, b1)]
-    yield from held
+        while at < stop:
+            cuts.append(at)
+            own = np.searchsorted(ends, at, "right")
+            fits = np.searchsorted(ends, at + 4 * (target + 1), "left") - 1
+            at = min(int(ends[max(own, fits)]), stop)
+    cuts.append(int(ends[-1]))
+    if len(cuts) > 2 and max(1, (cuts[-1] - cuts[-2]) // 4) < least and (cuts[-1] - cuts[-3]) // 4 <= most:
+        del cuts[-2]
+    return np.array(cuts, np.int64)
 
 
 def chunk_lines(df: DataFrame, key: str, text: str, target: int = CHUNK_TOKENS["target"],
                 least: int = CHUNK_TOKENS["min"], most: int = CHUNK_TOKENS["max"]) -> DataFrame:
     """Line-aware chunks: key, chunk_index (from 1), chunk_of, line_start, line_end, content.
 
-    Documents stream through Arrow batches; only the chunks of one document are held.
+    Two passes: the cuts come from line offsets alone, then slices leave in batches of
+    CHUNKS_PER_BATCH, so beside the text only its offsets and one batch are held. A null or empty
+    text gives one empty chunk.
     """
     key_type = df.schema[key].dataType
     schema = f"{key} {key_type.simpleString()}, chunk_index int, chunk_of int, line_start int, line_end int, content string"
@@ -141,14 +139,21 @@ def chunk_lines(df: DataFrame, key: str, text: str, target: int = CHUNK_TOKENS["
     def run(batches):
         for batch in batches:
             kind = batch.schema.field(0).type
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows = list(pack_lines((t or "").splitlines(keepends=True), target, least, most))
-                n = len(rows)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([k] * n, kind), pa.array(range(1, n + 1), pa.int32()), pa.array([n] * n, pa.int32()),
-                    pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int32()),
-                    pa.array([r[0] for r in rows], pa.string())],
-                    names=[key, "chunk_index", "chunk_of", "line_start", "line_end", "content"])
+            for k, t in zip(batch.column(0), batch.column(1)):
+                body = t.as_py() or ""
+                ends = line_ends(body)
+                cuts = cut_points(ends, target, least, most)
+                first = np.searchsorted(ends, cuts[:-1], "right") + 1
+                last = np.searchsorted(ends, cuts[1:], "left") + 1
+                n = len(first)
+                for lo in range(0, n, CHUNKS_PER_BATCH):
+                    hi = min(lo + CHUNKS_PER_BATCH, n)
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([k.as_py()] * (hi - lo), kind), pa.array(np.arange(lo + 1, hi + 1), pa.int32()),
+                        pa.array(np.full(hi - lo, n), pa.int32()), pa.array(first[lo:hi], pa.int32()),
+                        pa.array(last[lo:hi], pa.int32()),
+                        pa.array([body[i:j] for i, j in zip(cuts[lo:hi], cuts[lo + 1:hi + 1])], pa.string())],
+                        names=[key, "chunk_index", "chunk_of", "line_start", "line_end", "content"])
     return df.select(key, text).mapInArrow(run, schema)
 
 

@@ -216,6 +216,11 @@ def test_audit(make_rows):
     assert [r["keywords"][0] for r in rows_of(audit.ring_list(log), "idx")] == ["code", "merkle"]
 
 
-def test_payload_text(make_rows):
-    log = logs.unlinked(make_rows([(1, 0, "x", '{"_meta":{"a":"no"},"b":["one",{"c":"two"}],"labels":{"k":"no"},"n":3}'), (1, 1, "x", '{"data":{"content":"only"},"z":"no"}')]))
-    assert [r["t"] for r in rows_of(log.select("idx", lg.payload_text("content_json").alias("t")), "idx")] == ["one two", "only"]
+def test_payload_text(spark):
+    cases = [('{"_meta":{"a":"no"},"b":["one",{"c":"two"}],"labels":{"k":"no"},"n":3}', "one two"),
+             ('{"data":{"content":"only"},"z":"no"}', "only"), ('{"data":{"content":null},"z":"no"}', ""),
+             (None, ""), ("", ""), ("[]", ""), ("{}", ""), ("broken", ""), ('"s"', "s"),
+             ('{"a":{"b":[[["x",["y",{"d":"{not json"}]],"w"]]},"aa":"v"}', "x y {not json w v"),
+             ("[" * 200 + '"deep"' + "]" * 200, "deep"), (json.dumps({"t": ["w" * 10] * 3000}), " ".join(["w" * 10] * 3000))]
+    df = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(cases)], "id int, c string")
+    assert [r["t"] for r in rows_of(df.select("id", lg.payload_text("c").alias("t")), "id")] == [t for _, t in cases]

@@ -131,15 +131,37 @@ def test_chunk_text(spark):
     assert [(r["id"], r["chunk_index"], r["chunk_count"], len(r["chunk"])) for r in out] == [(1, 0, 3, 3504), (1, 1, 3, 3504), (1, 2, 3, 2004), (2, 0, 1, 0)]
 
 
-def test_chunk_lines():
-    lines = [f"line {i} with several words of content here\n" for i in range(400)]
-    got = list(chunking.pack_lines(lines, 1024, 256, 1536))
-    assert len(got) >= 2 and all(len(c) // 4 <= 1536 for c, _, _ in got) and got[0][1] == 1 and got[-1][2] == 400
-    assert "".join(c for c, _, _ in got) == "".join(lines)
-    assert list(chunking.pack_lines([], 1, 1, 1)) == [("", 1, 1)]
-    long = ["y" * 20000 + "\n", "tail\n"]
-    parts = list(chunking.pack_lines(long, 1024, 256, 1536))
-    assert "".join(p[0] for p in parts) == "".join(long) and all(len(p[0]) // 4 <= 1536 for p in parts)
+def greedy_lines(text, target, least, most):
+    """Line chunks by trying every line in turn."""
+    lines, out, at = text.splitlines(keepends=True), [], 0
+    while at < len(lines):
+        if len(lines[at]) // 4 > most:
+            out += [(lines[at][k:k + 4 * most], at + 1, at + 1) for k in range(0, len(lines[at]), 4 * most)]
+            at += 1
+            continue
+        to = at + 1
+        while to < len(lines) and len(lines[to]) // 4 <= most and len("".join(lines[at:to + 1])) // 4 <= target:
+            to += 1
+        out.append(("".join(lines[at:to]), at + 1, to))
+        at = to
+    if len(out) > 1 and max(1, len(out[-1][0]) // 4) < least and len(out[-2][0] + out[-1][0]) // 4 <= most:
+        out[-2:] = [(out[-2][0] + out[-1][0], out[-2][1], out[-1][2])]
+    return out or [("", 1, 1)]
+
+
+def test_chunk_lines(spark):
+    rnd = random.Random(3)
+    ends = ["\n", "\r\n", "\r", "\x0b", "\x85", "\u2028", "\n", ""]
+    texts = ["", None, "y" * 20000 + "\ntail\n", "".join(f"line {i} with several words of content here\n" for i in range(400))]
+    texts += ["".join("".join(rnd.choice("ab é") for _ in range(rnd.choice([0, 1, 3, 8, 20, 60]))) + rnd.choice(ends)
+                      for _ in range(rnd.randint(0, 14))) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    for sizes in [(1024, 256, 1536), (5, 3, 7), (4, 0, 4), (1, 1, 1)]:
+        got = {}
+        for r in rows_of(chunking.chunk_lines(df, "id", "t", *sizes), "id", "chunk_index"):
+            got.setdefault(r["id"], []).append((r["content"], r["line_start"], r["line_end"]))
+            assert r["chunk_index"] == len(got[r["id"]]) <= r["chunk_of"]
+        assert got == {i: greedy_lines(t or "", *sizes) for i, t in enumerate(texts)}
 
 
 def test_bags_against_counter(spark):
