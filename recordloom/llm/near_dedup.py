@@ -23,6 +23,7 @@ confirming join. Equal keys are split by adaptive skew joins, and rows are pre-a
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -146,16 +147,16 @@ def shingle_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets are similar enough: two joins, each splittable at a hot key.
+    """Rows of `pairs` whose sets (of a and b) are similar enough: two joins, each splittable at a hot key.
 
     The center's set meets the others' in the task; it is never copied per pair through a shuffle.
     """
     b = sets.select(F.col("doc_id").alias("b"), F.col("members").alias("_b"))
     a = sets.select(F.col("doc_id").alias("a"), F.col("members").alias("_a"))
-    joined = pairs.select("a", "b").hint("merge").join(b.hint("merge"), "b").join(a.hint("merge"), "a")
+    joined = pairs.hint("merge").join(b.hint("merge"), "b").join(a.hint("merge"), "a")
     common = F.size(F.array_intersect("_a", "_b")).cast("long")
-    counted = joined.select("a", "b", common.alias("_c"), (F.size("_a") + F.size("_b")).cast("long").alias("_t"))
-    return counted.where(F.col("_c") * 100 >= (F.col("_t") - F.col("_c")) * percent).select("a", "b")
+    counted = joined.select(*pairs.columns, common.alias("_c"), (F.size("_a") + F.size("_b")).cast("long").alias("_t"))
+    return counted.where(F.col("_c") * 100 >= (F.col("_t") - F.col("_c")) * percent).select(*pairs.columns)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -174,6 +175,13 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def moved(rows: DataFrame, roots: DataFrame, label: str) -> DataFrame:
+    """Rows with their label replaced by its root, where it has one."""
+    to = roots.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
+    return (rows.join(to, rows[label] == to["_node"], "left")
+            .withColumn(label, F.coalesce("_root", label)).drop("_node", "_root"))
+
+
 def link(docs: DataFrame, bins: int = BINS, band: int = BAND, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
@@ -203,7 +211,7 @@ def link(docs: DataFrame, bins: int = BINS, band: int = BAND, percent: int = PER
     def offered(centers: DataFrame, crowd: DataFrame, once: bool) -> DataFrame:
         """Pairs of each bucket's centers with its members of other components. With `once`, a pair
         that shares several buckets is offered only in the one of least key: a bucket stays open as
-        long as it holds two components, so no pair misses its turn there."""
+        long as it holds two components, so no pair misses its turn there. ra and rb are the roots."""
         if once:
             centers, crowd = centers.join(sketches, "doc_id"), crowd.join(sketches, "doc_id")
         extra = ["keys"] if once else []
@@ -213,12 +221,17 @@ def link(docs: DataFrame, bins: int = BINS, band: int = BAND, percent: int = PER
                  .where(F.least("_nx", "_ny") * 100 >= F.greatest("_nx", "_ny") * percent))
         if once:
             pairs = pairs.where(F.array_min(F.array_intersect("_kx", "_ky")) == F.col("key"))
-        return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"),
+                            F.least("_rx", "_ry").alias("ra"), F.greatest("_rx", "_ry").alias("rb")).distinct()
 
-    links = None
-    extra = stored(ties)
+    # each round's links join components of the round before, so only roots are linked anew
+    ties = stored(ties)
+    merges = [] if ties.isEmpty() else [components(ties)]
     current = members.withColumn("root", F.col("doc_id"))
-    tried, take = None, 1
+    for roots in merges:
+        current = moved(current, roots, "root")
+    tried: list[DataFrame] = []
+    take = 1
     while True:
         # the buckets that still hold more than one component, and their next centers
         mixed = current.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count("*").alias("_left")).where("_lo <> _hi")
@@ -232,21 +245,19 @@ def link(docs: DataFrame, bins: int = BINS, band: int = BAND, percent: int = PER
             first = open_rows.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= take).drop("_at")
         first = stored(first.select("key", "doc_id", "n", "root"))
         pairs = stored(offered(first, open_rows, take > 1))
-        if tried is not None:
-            pairs = stored(pairs.join(tried, ["a", "b"], "left_anti"))
-        found = confirm(pairs, sets, percent)
-        links = stored(found if links is None else links.unionByName(found))
-        tried = pairs if tried is None else stored(tried.unionByName(pairs))
-        roots = components(links.unionByName(extra))
+        if tried:
+            pairs = stored(pairs.join(reduce(DataFrame.unionByName, tried), ["a", "b"], "left_anti"))
+        tried.append(pairs.select("a", "b"))
+        found = stored(confirm(pairs, sets, percent).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
         # centers are done: all their pairs in the bucket have been tried
-        current = (open_rows.join(first.select("key", "doc_id"), ["key", "doc_id"], "left_anti")
-                   .drop("root").join(roots, F.col("doc_id") == F.col("node"), "left")
-                   .withColumn("root", F.coalesce("root", "doc_id")).drop("node"))
+        current = open_rows.join(first.select("key", "doc_id"), ["key", "doc_id"], "left_anti")
+        if not found.isEmpty():
+            merges.append(components(found))
+            current = moved(current, merges[-1], "root")
         take *= 4
-    every = extra if links is None else links.unionByName(extra)
-    roots = components(every)
-    by_class = (classes.join(roots, F.col("rep") == F.col("node"), "left")
-                .select("digest", F.coalesce("root", "rep").alias("component_id")))
+    by_class = classes.select("digest", F.col("rep").alias("component_id"))
+    for roots in merges:
+        by_class = moved(by_class, roots, "component_id")
     linked = whole.select("doc_id", "n", "digest").join(by_class, "digest").select("doc_id", "n", "component_id")
     alone = rows.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     out = linked.unionByName(alone)
