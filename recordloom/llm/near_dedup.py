@@ -27,7 +27,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from recordloom.llm.common import prepare
 from recordloom.session import stored
@@ -36,6 +36,8 @@ SHINGLE = 5
 BINS = 192
 BAND = 6
 PERCENT = 85
+#: Bits of a set's occupancy map, see `possible`.
+MAP_BITS = 1024
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -106,27 +108,46 @@ def bands(sig: np.ndarray, band: int) -> np.ndarray:
     return out.view(np.int64)
 
 
+def occupancy(hashes: np.ndarray, size: int = MAP_BITS) -> np.ndarray:
+    """One bit for each of `size` slots that any hash falls into, as 64-bit words."""
+    met = np.zeros(size, bool)
+    met[(mix(hashes) >> np.uint64(20)) % np.uint64(size)] = True
+    return np.packbits(met).view(np.int64)
+
+
+def possible(map_x: str, map_y: str, n_x: str, n_y: str, percent: int, size: int = MAP_BITS) -> Column:
+    """False only for sets that cannot be similar enough: each slot that one set fills and the other
+    does not holds at least one hash of its own, which bounds the intersection from above."""
+    def alone(one: str, other: str) -> Column:
+        return reduce(Column.__add__, [F.bit_count(F.get(one, F.lit(i)).bitwiseAND(F.bitwise_not(F.get(other, F.lit(i)))))
+                                       for i in range(size // 64)]).cast("long")
+    most = F.least(F.col(n_x) - alone(map_x, map_y), F.col(n_y) - alone(map_y, map_x))
+    return most * (100 + percent) >= (F.col(n_x) + F.col(n_y)) * percent
+
+
 def sketch(docs: DataFrame, bins: int = BINS, band: int = BAND, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, n (set size), digest (null for an empty set), keys (one per band)."""
+    """doc_id, n (set size), digest (null for an empty set), keys (one per band), slots (occupancy map)."""
     order = guesses(bins, 32 * bins)
 
     def rows(batches):
         hasher = Hasher(shingle)
         for batch in batches:
-            sizes, digests, keys = [], [], []
+            sizes, digests, keys, slots = [], [], [], []
             for text in batch.column(1).to_pylist():
                 found = hasher.shingles(text)
                 sizes.append(len(found))
                 digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
                 keys.append(bands(signature(found, bins, order), band) if len(found) else np.zeros(0, np.int64))
+                slots.append(occupancy(found))
             ends = np.cumsum([0] + [len(k) for k in keys]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
-                 pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*keys, np.zeros(0, np.int64)])))],
-                ["doc_id", "n", "digest", "keys"])
+                 pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*keys, np.zeros(0, np.int64)]))),
+                 pa.array(slots, pa.list_(pa.int64()))],
+                ["doc_id", "n", "digest", "keys", "slots"])
 
     prepare(docs.sparkSession)
-    return _texts(docs).mapInArrow(rows, "doc_id long, n long, digest binary, keys array<long>")
+    return _texts(docs).mapInArrow(rows, "doc_id long, n long, digest binary, keys array<long>, slots array<long>")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -206,19 +227,19 @@ def link(docs: DataFrame, bins: int = BINS, band: int = BAND, percent: int = PER
     involved = members.select("doc_id").distinct()
     sets = stored(shingle_sets(_texts(docs).join(involved, "doc_id", "left_semi"), shingle))
 
-    sketches = stored(reps.join(involved, "doc_id", "left_semi").select("doc_id", "keys"))
+    sketches = stored(reps.join(involved, "doc_id", "left_semi").select("doc_id", "keys", "slots"))
 
     def offered(centers: DataFrame, crowd: DataFrame, once: bool) -> DataFrame:
         """Pairs of each bucket's centers with its members of other components. With `once`, a pair
         that shares several buckets is offered only in the one of least key: a bucket stays open as
         long as it holds two components, so no pair misses its turn there. ra and rb are the roots."""
-        if once:
-            centers, crowd = centers.join(sketches, "doc_id"), crowd.join(sketches, "doc_id")
-        extra = ["keys"] if once else []
-        mate = crowd.select("key", F.col("doc_id").alias("y"), F.col("n").alias("_ny"), F.col("root").alias("_ry"), *[F.col(c).alias("_ky") for c in extra])
-        pairs = (centers.select("key", F.col("doc_id").alias("x"), F.col("n").alias("_nx"), F.col("root").alias("_rx"), *[F.col(c).alias("_kx") for c in extra])
-                 .join(mate, "key").where("_rx <> _ry")
-                 .where(F.least("_nx", "_ny") * 100 >= F.greatest("_nx", "_ny") * percent))
+        def side(rows: DataFrame, end: str) -> DataFrame:
+            return rows.join(sketches, "doc_id").select(
+                "key", F.col("doc_id").alias(end), F.col("n").alias(f"_n{end}"), F.col("root").alias(f"_r{end}"),
+                F.col("slots").alias(f"_s{end}"), *([F.col("keys").alias(f"_k{end}")] if once else []))
+        pairs = (side(centers, "x").join(side(crowd, "y"), "key").where("_rx <> _ry")
+                 .where(F.least("_nx", "_ny") * 100 >= F.greatest("_nx", "_ny") * percent)
+                 .where(possible("_sx", "_sy", "_nx", "_ny", percent)))
         if once:
             pairs = pairs.where(F.array_min(F.array_intersect("_kx", "_ky")) == F.col("key"))
         return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"),
