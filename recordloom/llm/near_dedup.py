@@ -37,7 +37,7 @@ BINS = 192
 BAND = 6
 PERCENT = 85
 #: Bits of a set's occupancy map, see `possible`.
-MAP_BITS = 1024
+MAP_BITS = 256
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 

@@ -347,3 +347,19 @@ def test_lookup_table_is_even_and_stable():
     assert sharding.moved(sharding.lookup_table(), sharding.lookup_table(sharding.SHARDS[:-1])) < 0.06
     with pytest.raises(ValueError):
         sharding.lookup_table(size=1000)
+
+
+def test_occupancy_never_drops_a_link(spark):
+    rnd = np.random.default_rng(5)
+    rows, exact = [], []
+    for i in range(400):
+        base = rnd.integers(0, 1 << 62, int(rnd.choice([1, 3, 20, 100, 400, 5000])))
+        extra = rnd.integers(0, 1 << 62, int(len(base) * rnd.choice([0, 0.05, 0.15, 0.2, 1]) + rnd.integers(0, 2)))
+        a, b = np.unique(base).astype(np.uint64), np.unique(np.concatenate([base[rnd.random(len(base)) > rnd.choice([0, 0.05, 0.3])], extra])).astype(np.uint64)
+        shared = len(np.intersect1d(a, b))
+        exact.append(100 * shared >= 85 * (len(a) + len(b) - shared))
+        rows.append((i, len(a), len(b), near_dedup.occupancy(a).tolist(), near_dedup.occupancy(b).tolist()))
+    df = spark.createDataFrame(rows, "i long, nx long, ny long, sx array<long>, sy array<long>")
+    verdict = {r["i"]: r["p"] for r in df.select("i", near_dedup.possible("sx", "sy", "nx", "ny", 85).alias("p")).collect()}
+    assert all(verdict[i] for i in range(400) if exact[i]) and any(exact)
+    assert sum(not v for v in verdict.values()) > 50
