@@ -12,9 +12,9 @@
    with their square. The center is the member with most bucket mates, which in a group of copies
    is the text that they were made from. Sizes that rule out the threshold are dropped at once.
    Links are confirmed on full sets and components taken. A bucket whose members do not all
-   lie in one component gets further centers, 4 times as many each round, each paired with members
-   of other components, until no such pair is left untried: pairs inside one component cannot
-   change it, so nothing is lost and nothing is capped.
+   lie in one component gets further centers, GROWTH times as many each round, each paired with
+   members of other components, until no such pair is left untried: pairs inside one component
+   cannot change it, so nothing is lost and nothing is capped. Most buckets need one or two rounds.
 
 Sets and texts are never gathered: only the documents in candidate pairs are hashed again for the
 confirming join. Equal keys are split by adaptive skew joins, and rows are pre-aggregated.
@@ -36,6 +36,9 @@ SHINGLE = 5
 BINS = 192
 BAND = 6
 PERCENT = 85
+#: Centers of a bucket grow by this factor from round to round. A round costs several small jobs, so
+#: few rounds with pairs still linear in the bucket's members are better than many.
+GROWTH = 64
 #: Bits of a set's occupancy map, see `possible`.
 MAP_BITS = 256
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -251,7 +254,6 @@ def link(docs: DataFrame, bins: int = BINS, band: int = BAND, percent: int = PER
     current = members.withColumn("root", F.col("doc_id"))
     for roots in merges:
         current = moved(current, roots, "root")
-    tried: list[DataFrame] = []
     take = 1
     while True:
         # the buckets that still hold more than one component, and their next centers
@@ -265,17 +267,16 @@ def link(docs: DataFrame, bins: int = BINS, band: int = BAND, percent: int = PER
             order = W.partitionBy("key").orderBy("mates", "doc_id")
             first = open_rows.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= take).drop("_at")
         first = stored(first.select("key", "doc_id", "n", "root"))
-        pairs = stored(offered(first, open_rows, take > 1))
-        if tried:
-            pairs = stored(pairs.join(reduce(DataFrame.unionByName, tried), ["a", "b"], "left_anti"))
-        tried.append(pairs.select("a", "b"))
+        # a few pairs of the first round come again in their bucket of least key; to confirm them
+        # twice is cheaper than to keep and join away all pairs tried
+        pairs = offered(first, open_rows, take > 1)
         found = stored(confirm(pairs, sets, percent).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
         # centers are done: all their pairs in the bucket have been tried
         current = open_rows.join(first.select("key", "doc_id"), ["key", "doc_id"], "left_anti")
         if not found.isEmpty():
             merges.append(components(found))
             current = moved(current, merges[-1], "root")
-        take *= 4
+        take *= GROWTH
     by_class = classes.select("digest", F.col("rep").alias("component_id"))
     for roots in merges:
         by_class = moved(by_class, roots, "component_id")
