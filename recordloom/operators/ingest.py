@@ -85,6 +85,11 @@ def task_state(rows: DataFrame) -> DataFrame:
     ).select("chain_id", "s.*")
 
 
+def find_by_path(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """All blocks with an asked (chain_id, relative_path), quarantined ones too; a null path finds nothing."""
+    return rows.join(asked.select("chain_id", "relative_path"), ["chain_id", "relative_path"], "left_semi")
+
+
 def latest_hashes(rows: DataFrame) -> DataFrame:
     """Newest stored file digest per chain and path."""
     return (rows.where("relative_path is not null and file_content_hash is not null")

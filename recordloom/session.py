@@ -71,7 +71,8 @@ def stored(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Give a scan of few small files one partition per core before heavy row work.
 
-    Inputs that already fill the cores keep their scan partitions and are not shuffled.
+    Inputs that already fill the cores keep their scan partitions and are not shuffled. For bare
+    scans only: to count the partitions of a frame behind a shuffle would run that shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -18,9 +18,7 @@ LOG_SCHEMA = T.StructType([
     T.StructField("refs", T.ArrayType(T.StringType())), T.StructField("writer", T.StringType()),
     T.StructField("content_hash", T.StringType()), T.StructField("record_hash", T.StringType()),
 ])
-# An adapter starts a new chain after this many records of one user, so that the
-# strictly sequential part of an append (each hash needs the one before) stays short.
-CHAIN_LENGTH = 4096
+# Chain ids of users leave room between them.
 CHAIN_STRIDE = 1 << 20
 
 
@@ -93,14 +91,14 @@ EVENT_TYPES = {"click": "observation", "view": "response", "purchase": "reflecti
                "error": "revision", "signup": "principle"}
 
 
-def events_rows(spark: SparkSession, sf_dir: str, chain_length: int = CHAIN_LENGTH) -> DataFrame:
-    """Unlinked records, one chain per user and run of `chain_length` events."""
+def events_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unlinked records, one chain per user whatever their number."""
     ev = spark.read.parquet(f"{sf_dir}/events.parquet").select(
         "event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type",
         F.regexp_extract("props", r"(\d+)", 1).cast("long").alias("k"),
         F.round(F.col("value") * 100).cast("long").alias("cents"))
-    placed = positions(ev, ["user_id"], F.date_trunc("hour", F.col("ts")), ["ts", "event_id"], "pos")
-    seq = F.pmod(F.col("pos"), F.lit(chain_length))
+    placed = positions(ev, ["user_id"], F.date_trunc("hour", F.col("ts")), ["ts", "event_id"], "seq")
+    seq = F.col("seq")
     rec_type = F.coalesce(*[F.when(F.col("event_type") == e, t) for e, t in EVENT_TYPES.items()
                             if e != "signup"],
                           F.when(F.col("seq") == 0, "genesis").otherwise("principle"))
@@ -114,8 +112,8 @@ def events_rows(spark: SparkSession, sf_dir: str, chain_length: int = CHAIN_LENG
     content = F.concat(F.lit("{"), F.coalesce(meta, F.lit("")), F.lit('"cents":'), F.col("cents").cast("string"),
                        F.lit(',"event_id":'), F.col("event_id").cast("string"),
                        F.lit(',"k":'), F.col("k").cast("string"), F.lit("}"))
-    return placed.withColumn("seq", seq).select(
-        F.expr(f"user_id * {CHAIN_STRIDE} + pos div {chain_length}").alias("chain_id"),
+    return placed.select(
+        (F.col("user_id") * CHAIN_STRIDE).alias("chain_id"),
         F.col("seq").cast("long").alias("seq"), F.unix_millis("ts").alias("ts_ms"), rec_type.alias("rec_type"),
         content.alias("content_json"), F.array().cast("array<string>").alias("refs"),
         F.concat(F.lit("w"), F.pmod(F.col("user_id"), F.lit(7)).cast("string")).alias("writer"),
@@ -144,8 +142,8 @@ def unlinked(rows: DataFrame) -> DataFrame:
     return rows.select("chain_id", F.col("seq").alias("idx"), "ts_ms", "rec_type", "content_json", "writer")
 
 
-def events_log(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
-    return append(events_rows(spark, sf_dir, **kw))
+def events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return append(events_rows(spark, sf_dir))
 
 
 def conversation_log(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,11 +43,20 @@ select doc_id, source as top_dir, ext as extension, case ext when '.py' then 'py
   case when ext in ('.md','.txt') then 'docs' when ext='.json' then 'config' when ext in ('.py','.go','.js') then 'source' else 'other' end end as path_role,
  sha256(text) as file_content_hash from fr""")
 def _(spark, sf):
-    rows = spread(file_rows(spark, sf))
+    rows = file_rows(spark, sf)
     facts = ingest.file_facts(rows).select("chain_id", "file_index", "top_dir", "extension", "language", "path_role", "file_content_hash")
     return facts.join(rows.select("chain_id", "file_index", "doc_id"), ["chain_id", "file_index"]).drop("chain_id", "file_index")
 
 
+@query("p24_by_path", f"""with {FR}
+select chain_id, file_index as idx, relative_path, doc_id from fr where doc_id in (select doc_id from labels where toxic=1)""")
+def _(spark, sf):
+    blocks = doc_blocks(spark, sf)
+    toxic = spark.read.parquet(f"{sf}/labels.parquet").where("toxic = 1").select("doc_id")
+    asked = file_rows(spark, sf).join(toxic, "doc_id", "left_semi").select("chain_id", "relative_path")
+    return ingest.find_by_path(blocks, asked).select("chain_id", "idx", "relative_path", "doc_id")
+
+
 def task_blocks(spark, sf):
     return ingest.blocks(file_rows(spark, sf))
 
@@ -259,7 +268,7 @@ hit as (select * from sc qualify row_number() over (partition by query_id order
 
 @query("t07_path_aware", _PATH + " select query_id, chain_id, idx, round(score,4)::double as score from hit")
 def _(spark, sf):
-    found = retrieval.path_aware(spread(doc_blocks(spark, sf)), asks(spark, sf), k=8, neighbours=0, stop=LEX.stop)
+    found = retrieval.path_aware(doc_blocks(spark, sf), asks(spark, sf), k=8, neighbours=0, stop=LEX.stop)
     return found.select("query_id", "chain_id", "idx", F.round("score", 4).alias("score"))
 
 
@@ -269,7 +278,7 @@ nx as (select query_id, chain_id, idx, max(score) as score, arg_min(of, (-score,
   and not exists (select 1 from hit h where h.query_id=nb.query_id and h.idx=nb.idx) group by all)
 select query_id, chain_id, idx, round(score,4)::double as score, null::bigint as neighbour_of from hit union all select query_id, chain_id, idx, round(score,4)::double, neighbour_of from nx""")
 def _(spark, sf):
-    b = spread(doc_blocks(spark, sf))
+    b = doc_blocks(spark, sf)
     hits = retrieval.path_aware(b, asks(spark, sf), k=8, neighbours=0, stop=LEX.stop)
     return retrieval.with_neighbours(b, hits, 1, ["chain_id"], "idx").select(
         "query_id", "chain_id", "idx", F.round("score", 4).alias("score"), "neighbour_of")

@@ -6,7 +6,7 @@ ER = """er as (
          cast(round(value*100) as bigint) as cents,
          row_number() over (partition by user_id order by ts,event_id)-1 as pos
   from events),
-er2 as (select *, user_id*1048576 + pos//4096 as chain_id, pos%4096 as idx,
+er2 as (select *, user_id*1048576 as chain_id, pos as idx,
          case when k>=90 then 'quarantine' when k>=80 then 'shared' when k>=70 then 'public' end as exposure
          from er),
 lg as (select chain_id, idx, ts_ms, k, cents, event_id, exposure, user_id,
