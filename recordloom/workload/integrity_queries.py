@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from recordloom.functions.hashing import hmac_sha256
 from recordloom.operators import governance, integrity, merkle, quorum, semantic, stats
+from recordloom.operators.blocks import positions
 from recordloom.sources import logs
 from recordloom.workload.logs_sql import CONV_LINKED, EVENTS, EVENTS_LINKED, GOV, merkle_levels
 from recordloom.workload.registry import query
@@ -146,6 +147,18 @@ def _(spark, sf):
     return merkle.merkle_roots(logs.events_log(spark, sf), ["chain_id"], "idx", "record_hash")
 
 
+@query("a18_merkle_root_one_chain", EVENTS + """,
+lv as (select 0::bigint as one, row_number() over (order by ts_ms, chain_id, idx)-1 as pos, sha256(content_json) as h from lg),
+""" + merkle_levels("lv", "one", 24) + """
+select one as chain_id, (select count(*) from lv) as leaves, h as root from t24""")
+def _(spark, sf):
+    """All events as the leaves of one chain: a hot key and several rounds of folding."""
+    rows = logs.unlinked(logs.events_rows(spark, sf)).withColumn("one", F.lit(0).cast("long"))
+    placed = positions(rows, ["one"], F.expr("ts_ms div 60000"), ["ts_ms", "chain_id", "idx"], "pos")
+    leaves = placed.select(F.col("one").alias("chain_id"), F.col("pos").cast("long").alias("pos"), F.sha2("content_json", 256).alias("leaf"))
+    return merkle.merkle_roots(leaves, ["chain_id"], "pos", "leaf")
+
+
 RUNS = EVENTS_LINKED + """,
 lv as (select chain_id, idx//64 as run, chain_id*1000000 + idx//64 as rk, idx, idx%64 as pos, record_hash as h from ll),
 bt as (select rk, min(chain_id) as chain_id, min(idx) as first_idx, max(idx) as last_idx, count(*) as leaves from lv group by rk)"""

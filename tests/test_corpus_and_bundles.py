@@ -72,6 +72,12 @@ def test_blocks_and_state(spark):
     assert {r["issue"] for r in ingest.task_violations(broken).collect()} == {"chunks_sealed not monotonic +1"}
 
 
+def test_blocks_by_path(spark):
+    rows = spark.createDataFrame([(1, "a.py", 0), (1, "a.py", 1), (2, "a.py", 0), (1, None, 2)], "chain_id long, relative_path string, idx long")
+    asked = spark.createDataFrame([(1, "a.py"), (1, "a.py"), (1, None), (2, "b.py")], "chain_id long, relative_path string")
+    assert sorted(r["idx"] for r in ingest.find_by_path(rows, asked).collect()) == [0, 1]
+
+
 def test_files_and_text(spark, tmp_path):
     root = tmp_path / "tree"
     for name, body in {"a/x.csv": b'a,"b,c"\n1,2\n', "a/y.tsv": b"p\tq\n", "b.txt": "höhe".encode("latin-1"), "b/u.txt": "日本".encode(),
