@@ -3,8 +3,13 @@
 The filter holds n-gram counts, quantised by their logarithm: an n-gram seen c times enters
 1 + floor(log2 c) times, once under each level from 1 up. A lookup probes level after level until a
 miss; the last level found gives the count back, and errors can only raise it. Probabilities are
-bigrams smoothed with unigrams, both from probes. Its size has a fixed bound, so it is broadcast:
-an n-gram's segment of the filter is built by one small group, and only finished segments travel.
+bigrams smoothed with unigrams, both from probes.
+
+N-grams are keyed by 64-bit hashes of their words, so every word of the corpus and every bigram
+enters, however rare; no vocabulary is collected for the model. Segments of the filter have a fixed
+size and grow in number with the entries: one small group builds a segment, and no task or driver
+holds the filter. Texts are taken in chunks of a bounded number of tokens, whose distinct n-grams
+are sent to their segments once for the chunk; the levels found come back to it in the same order.
 
 Exact word counts never leave Spark tables. Only the most frequent words, a fixed number, are
 broadcast with theirs; all other words of a document meet their counts in a join, whose keys are
@@ -19,22 +24,26 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from recordloom.llm.common import prepare
+from recordloom.llm.common import ARROW_ROWS, prepare
+from recordloom.llm.near_dedup import Hasher
 from recordloom.session import stored
 
 FREQUENT = 65_536
-MODEL_WORDS = 16_384
-#: Bound of the filter: 2^28 bits are 32 MB. Beyond it the rarest bigrams are left out, by level.
-MOST_BITS = 1 << 28
+#: Size of each segment: 256 KB. Their number grows with the entries.
+SEGMENT_BITS = 1 << 21
 BITS_PER_ENTRY = 12
 HASHES = 4
 SEGMENTS = 256
 UNIGRAM_SHARE = 0.4
 FLUSH = 2_000_000
+#: Tokens of a chunk of texts, whose n-grams are probed together; a longer text is a chunk by itself.
+CHUNK = 1 << 19
 #: No word holds white space, so this one is free for the end of a text.
 END = "\n"
+BEGIN, _SINGLE, _STEP = np.uint64(0x2545F4914F6CDD1D), np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -58,8 +67,8 @@ def count_at(level: np.ndarray) -> np.ndarray:
     return np.where(level > 0, 0.75 * 2.0 ** level - 0.5, 0.0)
 
 
-def segment_of(keys: np.ndarray) -> np.ndarray:
-    return (mix(keys.astype(np.uint64) + np.uint64(0x51)) % np.uint64(SEGMENTS)).astype(np.int64)
+def segment_of(keys: np.ndarray, segments: int = SEGMENTS) -> np.ndarray:
+    return (mix(keys.astype(np.uint64) + np.uint64(0x51)) % np.uint64(segments)).astype(np.int64)
 
 
 def bits_of(keys: np.ndarray, level: int, k: int, bits: int) -> np.ndarray:
@@ -78,7 +87,7 @@ def build_segment(keys: np.ndarray, levels: np.ndarray, bits: int) -> bytes:
 
 
 class Filter:
-    """The finished filter: `table` is (segments, bytes)."""
+    """Finished segments, all of a filter or one alone: `table` is (segments, bytes)."""
 
     def __init__(self, table: np.ndarray, bits: int):
         self.table, self.bits = table, bits
@@ -86,7 +95,7 @@ class Filter:
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """Highest level reached without a miss, for each n-gram."""
         out = np.zeros(len(keys), np.int64)
-        alive, segments, level = np.arange(len(keys)), segment_of(keys), 1
+        alive, segments, level = np.arange(len(keys)), segment_of(keys, len(self.table)), 1
         while len(alive):
             for k in range(HASHES):
                 bit = bits_of(keys[alive], level, k, self.bits)
@@ -96,153 +105,213 @@ class Filter:
         return out
 
 
-def pair_keys(ids: np.ndarray, size: int) -> np.ndarray:
-    """Bigrams of one text: id `size` begins it, id `size + 1` stands for all words outside the model."""
-    ids = np.where(ids < 0, size + 1, ids)
-    return np.concatenate([[size], ids[:-1]]) * (size + 2) + ids
+def hashes_of(words: list[bytes], hasher: Hasher) -> np.ndarray:
+    get, new = hasher.known.get, hasher.word
+    return np.array([get(w) or new(w) for w in words], np.uint64)
 
 
-def single_keys(ids: np.ndarray, size: int) -> np.ndarray:
-    return (size + 2) * (size + 2) + ids
+def pair_keys(hashes: np.ndarray) -> np.ndarray:
+    """Bigrams of one text, from the hashes of its words; BEGIN stands before the first."""
+    return mix(np.concatenate([[BEGIN], hashes[:-1]]) * _STEP + mix(hashes)).view(np.int64)
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """word, c: exact counts, end included; summed in the tasks before the shuffle."""
-    def rows(batches):
-        seen: Counter = Counter()
+def single_keys(hashes: np.ndarray) -> np.ndarray:
+    return mix(hashes ^ _SINGLE).view(np.int64)
 
-        def flush():
-            out = pa.RecordBatch.from_arrays([pa.array([w.decode() for w in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "c"])
-            seen.clear()
-            return out
 
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen.update(words_of(text))
-            if len(seen) > 400_000:
-                yield flush()
-        yield flush()
-    return texts.select(F.col("text").cast("string")).mapInArrow(rows, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
-
-
-def bigram_counts(texts: DataFrame, box, size: int) -> DataFrame:
-    """key, c of all bigrams over the model's words."""
+def gram_counts(texts: DataFrame) -> DataFrame:
+    """key, word, c: exact counts of all words, end included, and of all bigrams, whose word is null;
+    summed in the tasks before the shuffle."""
     def rows(batches):
-        ids_of, held, n = box.value, [], 0
+        hasher, seen, held, n = Hasher(), Counter(), [], 0
 
         def flush():
-            keys, c = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(c.astype(np.int64))], ["key", "c"])
+            keys, c = np.unique(np.concatenate([*held, np.zeros(0, np.int64)]), return_counts=True)
+            singles = single_keys(hashes_of(list(seen), hasher))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([singles, keys])),
+                 pa.concat_arrays([pa.array([w.decode() for w in seen], pa.string()), pa.nulls(len(keys), pa.string())]),
+                 pa.array(np.concatenate([np.fromiter(seen.values(), np.int64, len(seen)), c.astype(np.int64)]))], ["key", "word", "c"])
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                ids = np.array([ids_of.get(w, (-1,))[0] for w in words_of(text)], np.int64)
-                ids[ids >= size] = -1
-                held.append(pair_keys(ids, size))
-                n += len(ids)
-            if n > FLUSH:
-                yield flush()
-                held, n = [], 0
-        if held:
-            yield flush()
-    return texts.select(F.col("text").cast("string")).mapInArrow(rows, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
-
+                words = words_of(text)
+                seen.update(words)
+                held.append(pair_keys(hashes_of(words, hasher)))
+                n += len(words)
+                if n > FLUSH:
+                    yield flush()
+                    seen.clear()
+                    held, n = [], 0
+        yield flush()
+    return (texts.select(F.col("text").cast("string")).mapInArrow(rows, "key long, word string, c long")
+            .groupBy("key", "word").agg(F.sum("c").alias("c")))
 
-def build(counts: DataFrame, most_bits: int = MOST_BITS) -> Filter:
-    """The filter of a stored table of (key, c). Levels from the top down are taken in until the bound."""
-    leveled = counts.select("key", level_of(F.col("c")).alias("level"))
-    per_level = {r["level"]: r["n"] for r in leveled.groupBy("level").agg(F.count("*").alias("n")).collect()}
-    entries, lowest = 0, max(per_level, default=0) + 1
-    for level in sorted(per_level, reverse=True):
-        if entries and (entries + level * per_level[level]) * BITS_PER_ENTRY > most_bits:
-            break
-        entries, lowest = entries + level * per_level[level], level
-    bits = 1 << max(10, math.ceil(math.log2(max(1, min(most_bits, entries * BITS_PER_ENTRY)) / SEGMENTS)))
 
+def build(counts: DataFrame, segments: int, bits: int = SEGMENT_BITS) -> DataFrame:
+    """segment, bits: the filter of a stored table of (key, c), all of its rows."""
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"segment": [int(pdf["segment"].iloc[0])], "bits": [build_segment(pdf["key"].to_numpy(), pdf["level"].to_numpy(), bits)]})
 
     @F.pandas_udf("int")
     def segment(keys: pd.Series) -> pd.Series:
-        return pd.Series(segment_of(keys.to_numpy()))
+        return pd.Series(segment_of(keys.to_numpy(), segments))
 
-    made = (leveled.where(F.col("level") >= lowest).withColumn("segment", segment("key"))
-            .groupBy("segment").applyInPandas(one, "segment int, bits binary").collect())
-    table = np.zeros((SEGMENTS, bits // 8), np.uint8)
-    for r in made:
-        table[r["segment"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    return Filter(table, bits)
+    return (counts.select("key", level_of(F.col("c")).alias("level"), segment("key").alias("segment"))
+            .groupBy("segment").applyInPandas(one, "segment int, bits binary"))
 
 
-def score(docs: DataFrame, held_out: Column, frequent: int = FREQUENT, model_words: int = MODEL_WORDS,
-          most_bits: int = MOST_BITS) -> DataFrame:
+def probe(asked: DataFrame, table: DataFrame, bits: int = SEGMENT_BITS) -> DataFrame:
+    """chunk, segment, levels (a byte for each key) of rows (chunk, segment, keys). A segment comes
+    before the keys sent to it, so a task holds one segment and streams the keys past it."""
+    def rows(batches):
+        at, known = None, None
+        for batch in batches:
+            segment = batch.column(1).to_numpy()
+            cuts = np.flatnonzero(np.diff(segment)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(segment)]):
+                keys, first = batch.column(2)[a:b].to_pylist(), batch.column(3)[a].as_py()
+                if first is not None:
+                    at, known = segment[a], Filter(np.frombuffer(first, np.uint8).reshape(1, -1), bits)
+                    a, keys = a + 1, keys[1:]
+                if not keys:
+                    continue
+                joined = np.frombuffer(b"".join(keys), np.int64)
+                # nothing was built for a segment without entries
+                found = (known.levels(joined) if at == segment[a] else np.zeros(len(joined), np.int64)).astype(np.uint8)
+                ends = np.cumsum([len(k) // 8 for k in keys])[:-1]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.array([x.tobytes() for x in np.split(found, ends)], pa.binary())],
+                                                 ["chunk", "segment", "levels"])
+    return (asked.select("chunk", "segment", "keys", F.lit(None).cast("binary").alias("bits"))
+            .unionByName(table.select(F.lit(None).cast("long").alias("chunk"), "segment", F.lit(None).cast("binary").alias("keys"), "bits"))
+            .repartition("segment").sortWithinPartitions("segment", F.col("bits").isNull())
+            .mapInArrow(rows, "chunk long, segment int, levels binary"))
+
+
+DOC = "doc_id long, held_out boolean, n_tokens long, known long, base double, words array<string>, times array<long>"
+ASKED = f"uid long, {DOC}, chunk long, segment int, keys binary, ends binary, back binary, context binary, word binary, pairs binary"
+
+
+def asked_of(hashes: list[np.ndarray], segments: int):
+    """The distinct n-grams of a chunk, as keys in order of their segments, and where its tokens find them.
+
+    segment -> keys; ends (tokens up to each text's end); back (each token's pair); context and word
+    (each pair's unigrams); pairs (which of all keys are pairs, as bits).
+    """
+    ends = np.cumsum([len(h) for h in hashes])
+    singles, word = np.unique(np.concatenate(hashes), return_inverse=True)
+    context = np.concatenate([[0], word[:-1]])
+    # the beginning is a context once for each end, so it shares the end's unigram
+    context[np.concatenate([[0], ends[:-1]])] = word[-1]
+    some, first, back = np.unique(np.concatenate([pair_keys(h) for h in hashes]), return_index=True, return_inverse=True)
+    keys = np.concatenate([single_keys(singles), some])
+    segment = segment_of(keys, segments)
+    order = np.argsort(segment, kind="stable")
+    pairs = order >= len(singles)
+    of_pair, of_single = order[pairs] - len(singles), order[~pairs]
+    place, rank = np.empty(len(of_pair), np.int32), np.empty(len(of_single), np.int32)
+    place[of_pair], rank[of_single] = np.arange(len(of_pair)), np.arange(len(of_single))
+    held, at = np.unique(segment[order], return_index=True)
+    return (dict(zip(held.tolist(), np.split(keys[order], at[1:]))), ends, place[back],
+            rank[context[first[of_pair]]], rank[word[first[of_pair]]], np.packbits(pairs))
+
+
+def score(docs: DataFrame, held_out: Column, frequent: int = FREQUENT, model_words: int | None = None,
+          segment_bits: int = SEGMENT_BITS, chunk: int = CHUNK) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Rows where `held_out` is false or null teach, all rows are scored. A null text is an empty one,
     whose only token is the end. Repeated rows teach as often as they stand. Without any training
     token counts are 0 and probabilities those of smoothing alone. base_score is exact; score is the
-    model's log10 probability, in which words outside the model share their mass evenly.
+    model's log10 probability. `model_words` is taken for older callers and limits nothing.
     """
     spark = prepare(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
                          F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    taught = source.where(~F.col("held_out"))
-    counts = stored(word_counts(taught))
-    total, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    grams = stored(gram_counts(source.where(~F.col("held_out"))))
+    counts = grams.where(F.col("word").isNotNull()).select("word", "c")
+    level, single = level_of(F.col("c")), F.col("word").isNotNull()
+    total, types, mass, entries = grams.agg(
+        F.coalesce(F.sum(F.when(single, F.col("c"))), F.lit(0)), F.count("word"),
+        F.coalesce(F.sum(F.when(single, F.pow(F.lit(2.0), level) * 0.75 - 0.5)), F.lit(0.0)),
+        F.coalesce(F.sum(level), F.lit(0))).first()
+    segments = max(1, math.ceil(entries * BITS_PER_ENTRY / segment_bits))
+    table = build(grams, segments, segment_bits)
     # a fixed number of words
     top = counts.orderBy(F.desc("c"), "word").limit(frequent).collect()
-    box = spark.sparkContext.broadcast({r["word"].encode(): (i, r["c"]) for i, r in enumerate(top)})
-    size = min(model_words, len(top))
-    pairs = stored(bigram_counts(taught, box, size))
-    inside = sum(r["c"] for r in top[:size])
-    singles = spark.createDataFrame(pd.DataFrame({
-        "key": np.append(single_keys(np.arange(size), size), single_keys(np.array([size, size + 1]), size)),
-        # the beginning is a context once for each end; the words outside count together
-        "c": [int(r["c"]) for r in top[:size]] + [next((int(r["c"]) for r in top if r["word"] == END), 0), total - inside]}), "key long, c long").where("c > 0")
-    filter_ = spark.sparkContext.broadcast(build(pairs.unionByName(singles), most_bits))
+    box = spark.sparkContext.broadcast({r["word"].encode(): math.log10((r["c"] + 0.5) / (total + 0.5 * (types + 1))) for r in top})
     floor = math.log10(0.5 / (total + 0.5 * (types + 1)))
-    outside = max(1, types - size + 1)
+    schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()),
+                        ("base", pa.float64()), ("words", pa.list_(pa.string())), ("times", pa.list_(pa.int64())), ("chunk", pa.int64()),
+                        ("segment", pa.int32()), *((c, pa.binary()) for c in ("keys", "ends", "back", "context", "word", "pairs"))])
+
+    def made(n, **columns):
+        return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
 
     def rows(batches):
-        ids_of, known = box.value, filter_.value
-        every = np.append(np.arange(size), [size, size + 1])
-        singles_ = count_at(known.levels(single_keys(every, size)))
-        singles_ = singles_.astype(np.float64)
-        mass = np.delete(singles_, size).sum()
-        alone = (singles_ + 0.5) / (mass + 0.5 * (size + 1))
-        alone[size + 1] /= outside
-        exact = np.zeros(len(ids_of) + 1)
-        for i, c in ids_of.values():
-            exact[i] = math.log10((c + 0.5) / (total + 0.5 * (types + 1)))
+        base_of, hasher, held, n, uid = box.value, Hasher(), [], 0, TaskContext.get().partitionId() << 40
+        known = base_of.get
+
+        def flush():
+            keys, *places = asked_of(held, segments)
+            first = uid - len(held)
+            yield made(len(keys), chunk=pa.array([first] * len(keys), pa.int64()), segment=pa.array(list(keys), pa.int32()),
+                       keys=pa.array([k.tobytes() for k in keys.values()], pa.binary()))
+            yield made(1, chunk=pa.array([first], pa.int64()),
+                       **{c: pa.array([x.tobytes()], pa.binary()) for c, x in zip(("ends", "back", "context", "word", "pairs"), places)})
+
+        for batch in batches:
+            docs_ = []
+            for text in batch.column(1).to_pylist():
+                words = words_of(text)
+                if held and n + len(words) > chunk:
+                    yield from flush()
+                    held, n = [], 0
+                held.append(hashes_of(words, hasher))
+                n, uid = n + len(words), uid + 1
+                bases = [known(w) for w in words]
+                rest = Counter(w for w, x in zip(words, bases) if x is None)
+                bases = [x for x in bases if x is not None]
+                docs_.append((uid - 1, len(words), len(bases), math.fsum(bases), rest))
+            ends = pa.array(np.cumsum([0] + [len(d[4]) for d in docs_]).astype(np.int32))
+            yield made(len(docs_), doc_id=batch.column(0), held_out=batch.column(2),
+                       **{c: pa.array([d[i] for d in docs_], kind) for i, (c, kind) in enumerate(
+                           (("uid", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64())))},
+                       words=pa.ListArray.from_arrays(ends, pa.array([w.decode() for d in docs_ for w in d[4]], pa.string())),
+                       times=pa.ListArray.from_arrays(ends, pa.array([k for d in docs_ for k in d[4].values()], pa.int64())))
+        if held:
+            yield from flush()
+
+    def logs(batches):
         for batch in batches:
-            tokens = [words_of(t) for t in batch.column(1).to_pylist()]
-            ids = [np.array([ids_of.get(w, (-1,))[0] for w in ws], np.int64) for ws in tokens]
-            rest = [Counter(w for w, i in zip(ws, row.tolist()) if i < 0) for ws, row in zip(tokens, ids)]
-            keys = np.concatenate([*(pair_keys(np.where(row >= size, -1, row), size) for row in ids), np.zeros(0, np.int64)])
-            some, back = np.unique(keys, return_inverse=True)
-            context, word = some // (size + 2), some % (size + 2)
-            share = np.minimum(1.0, count_at(known.levels(some)) / np.maximum(1.0, singles_[context]))
-            inner = np.where(word == size + 1, share / outside, share)
-            logs = np.log10((1 - UNIGRAM_SHARE) * inner + UNIGRAM_SHARE * alone[word])[back]
-            ends = np.cumsum([0] + [len(r) for r in ids])
-            words = np.cumsum([0] + [len(r) for r in rest]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), batch.column(2), pa.array(np.diff(ends)),
-                pa.array([int((r >= 0).sum()) for r in ids], pa.int64()),
-                pa.array([float(exact[r[r >= 0]].sum()) for r in ids], pa.float64()),
-                pa.array([float(logs[a:b].sum()) for a, b in zip(ends, ends[1:])], pa.float64()),
-                pa.ListArray.from_arrays(pa.array(words), pa.array([w.decode() for r in rest for w in r], pa.string())),
-                pa.ListArray.from_arrays(pa.array(words), pa.array([n for r in rest for n in r.values()], pa.int64()))],
-                ["doc_id", "held_out", "n_tokens", "known", "base", "score", "words", "times"])
-
-    part = stored(source.mapInArrow(rows, "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, "
-                                          "words array<string>, times array<long>")
-                  .withColumn("uid", F.monotonically_increasing_id()))
+            for r in batch.to_pylist():
+                found = count_at(np.frombuffer(b"".join(x["levels"] for x in r["found"]), np.uint8).astype(np.float64))
+                pairs = np.unpackbits(np.frombuffer(r["pairs"], np.uint8), count=len(found)).astype(bool)
+                of = {c: np.frombuffer(r[c], np.int32) for c in ("back", "context", "word")}
+                singles = found[~pairs]
+                share = np.minimum(1.0, found[pairs] / np.maximum(1.0, singles[of["context"]]))
+                alone = (singles + 0.5) / (mass + 0.5 * (types + 1))
+                each = np.log10((1 - UNIGRAM_SHARE) * share + UNIGRAM_SHARE * alone[of["word"]])[of["back"]]
+                ends = np.frombuffer(r["ends"], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(r["chunk"] + np.arange(len(ends))),
+                                                  pa.array([float(each[a:b].sum()) for a, b in zip([0, *ends[:-1]], ends)], pa.float64())], ["uid", "score"])
+
+    part = stored(source.mapInArrow(rows, ASKED))
+    levels = (probe(part.where(F.col("segment").isNotNull()), table, segment_bits)
+              .groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("segment", "levels"))).alias("found")))
+    chunks = part.where(F.col("ends").isNotNull()).select("chunk", "ends", "back", "context", "word", "pairs").join(levels, "chunk")
+    try:
+        # a chunk is a row of some MB
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+        scores = stored(chunks.mapInArrow(logs, "uid long, score double"))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    part = part.where(F.col("uid").isNotNull()).select("uid", "doc_id", "held_out", "n_tokens", "known", "base", "words", "times")
     rare = (part.select("uid", F.explode(F.arrays_zip("words", "times")).alias("z"))
             .select("uid", F.col("z.words").alias("word"), F.col("z.times").alias("times"))
             .join(counts, "word", "left")
             .groupBy("uid").agg(F.sum(F.when(F.col("c").isNotNull(), F.col("times"))).alias("more"),
                                 F.sum(F.col("times") * F.coalesce(F.log10((F.col("c") + 0.5) / F.lit(total + 0.5 * (types + 1))), F.lit(floor))).alias("rest")))
-    return part.drop("words", "times").join(rare, "uid", "left").select(
+    return part.drop("words", "times").join(scores, "uid").join(rare, "uid", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0).cast("long"))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("rest", F.lit(0.0))).alias("base_score"), "score")

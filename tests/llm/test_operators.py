@@ -285,6 +285,30 @@ def test_bloom_lm(edges, none):
     assert got(bloom_lm.score(none, held_out)) == []
 
 
+def brute_scores(rows, is_out):
+    """Log10 probabilities from exact counts of all words and bigrams, quantised as the filter does."""
+    taught = [bloom_lm.words_of(t) for i, t, *_ in rows if not is_out(i)]
+    single = Counter(w for ws in taught for w in ws)
+    pair = Counter(p for ws in taught for p in zip([b"<s>", *ws], ws))
+    at = lambda c: 0.75 * 2.0 ** c.bit_length() - 0.5 if c else 0.0
+    mass, types, end = sum(map(at, single.values())), len(single), bloom_lm.END.encode()
+    out = []
+    for _, t, *_ in rows:
+        ws = bloom_lm.words_of(t)
+        out.append(sum(math.log10(0.6 * min(1.0, at(pair[p, w]) / max(1.0, at(single[end if p == b"<s>" else p])))
+                                  + 0.4 * (at(single[w]) + 0.5) / (mass + 0.5 * (types + 1))) for p, w in zip([b"<s>", *ws], ws)))
+    return out
+
+
+def test_bloom_lm_counts_every_word(spark):
+    """Words far outside any list of frequent ones keep their own unigrams and bigrams."""
+    rows = [(i, " ".join(f"w{i * 37 + j}" for j in range(30)) + (" the end" * (i % 5)), "en", "a") for i in range(40)] + [(100, "w0 w1 w2", "en", "a"), (101, "w2 w0 w1", "en", "a"), (102, None, "en", "a")]
+    is_out = lambda i: i >= 100
+    got_ = by_id(bloom_lm.score(table(spark, rows), F.col("doc_id") >= 100, frequent=3, model_words=2))
+    assert [got_[i]["score"] for i, *_ in rows] == pytest.approx(brute_scores(rows, is_out), rel=0.02)
+    assert got_[100]["score"] > got_[101]["score"] + 1
+
+
 def test_filter_counts_never_fall_short():
     keys = np.arange(2000, dtype=np.int64) * 7919
     levels = 1 + np.arange(2000) % 6
