@@ -6,10 +6,12 @@ miss; the last level found gives the count back, and errors can only raise it. P
 bigrams smoothed with unigrams, both from probes.
 
 N-grams are keyed by 64-bit hashes of their words, so every word of the corpus and every bigram
-enters, however rare; no vocabulary is collected for the model. Segments of the filter have a fixed
-size and grow in number with the entries: one small group builds a segment, and no task or driver
-holds the filter. Texts are taken in chunks of a bounded number of tokens, whose distinct n-grams
-are sent to their segments once for the chunk; the levels found come back to it in the same order.
+enters, however rare; no vocabulary is collected for the model. Segments of the filter grow in number
+with the text that teaches and are sized for their own entries, of which none is left out: one small
+group builds a segment. A filter within a bound is broadcast. A larger one is held by no task or driver:
+texts are taken in chunks of a bounded number of tokens, whose distinct n-grams are sent to their
+segments once for the chunk, and the levels found come back to it in the same order. Both ways ask
+the same segments, so scores do not depend on which one is taken.
 
 Exact word counts never leave Spark tables. Only the most frequent words, a fixed number, are
 broadcast with theirs; all other words of a document meet their counts in a join, whose keys are
@@ -22,7 +24,6 @@ import math
 from collections import Counter
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
@@ -32,10 +33,12 @@ from recordloom.llm.near_dedup import Hasher
 from recordloom.session import stored
 
 FREQUENT = 65_536
-#: Size of each segment: 256 KB. Their number grows with the entries.
-SEGMENT_BITS = 1 << 21
+#: Characters of teaching texts for each segment, so that segments grow in number and not in size.
+SEGMENT_CHARS = 1 << 23
 BITS_PER_ENTRY = 12
 HASHES = 4
+#: A filter of up to 32 MB is broadcast; it decides how n-grams reach the filter and not what they find.
+BROADCAST_BYTES = 1 << 25
 SEGMENTS = 256
 UNIGRAM_SHARE = 0.4
 FLUSH = 2_000_000
@@ -119,19 +122,26 @@ def single_keys(hashes: np.ndarray) -> np.ndarray:
     return mix(hashes ^ _SINGLE).view(np.int64)
 
 
-def gram_counts(texts: DataFrame) -> DataFrame:
-    """key, word, c: exact counts of all words, end included, and of all bigrams, whose word is null;
-    summed in the tasks before the shuffle."""
+def build(texts: DataFrame, segments: int) -> DataFrame:
+    """segment, bits, words, counts: the filter of all words, ends included, and all bigrams, and the
+    words' exact counts. N-grams are summed in the tasks and travel packed, a row for each segment."""
     def rows(batches):
         hasher, seen, held, n = Hasher(), Counter(), [], 0
 
         def flush():
-            keys, c = np.unique(np.concatenate([*held, np.zeros(0, np.int64)]), return_counts=True)
+            pairs, c = np.unique(np.concatenate([*held, np.zeros(0, np.int64)]), return_counts=True)
             singles = single_keys(hashes_of(list(seen), hasher))
+            keys, times = np.concatenate([singles, pairs]), np.concatenate([np.fromiter(seen.values(), np.int64, len(seen)), c.astype(np.int64)])
+            segment = segment_of(keys, segments)
+            order, every = np.argsort(segment, kind="stable"), np.arange(segments)
+            cuts = np.searchsorted(segment[order], every[1:])
+            of_word = np.argsort(segment[:len(singles)], kind="stable")
+            ends = pa.array(np.append(np.searchsorted(segment[of_word], every), len(of_word)).astype(np.int32))
+            packed = [pa.array([x.tobytes() for x in np.split(y[order], cuts)], pa.binary()) for y in (keys, times)]
+            words = pa.array([w.decode() for w in seen], pa.string()).take(pa.array(of_word))
             return pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([singles, keys])),
-                 pa.concat_arrays([pa.array([w.decode() for w in seen], pa.string()), pa.nulls(len(keys), pa.string())]),
-                 pa.array(np.concatenate([np.fromiter(seen.values(), np.int64, len(seen)), c.astype(np.int64)]))], ["key", "word", "c"])
+                [pa.array(every.astype(np.int32)), *packed, pa.ListArray.from_arrays(ends, words),
+                 pa.ListArray.from_arrays(ends, pa.array(times[of_word]))], ["segment", "keys", "times", "words", "counts"])
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
@@ -143,25 +153,26 @@ def gram_counts(texts: DataFrame) -> DataFrame:
                     yield flush()
                     seen.clear()
                     held, n = [], 0
-        yield flush()
-    return (texts.select(F.col("text").cast("string")).mapInArrow(rows, "key long, word string, c long")
-            .groupBy("key", "word").agg(F.sum("c").alias("c")))
-
-
-def build(counts: DataFrame, segments: int, bits: int = SEGMENT_BITS) -> DataFrame:
-    """segment, bits: the filter of a stored table of (key, c), all of its rows."""
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"segment": [int(pdf["segment"].iloc[0])], "bits": [build_segment(pdf["key"].to_numpy(), pdf["level"].to_numpy(), bits)]})
-
-    @F.pandas_udf("int")
-    def segment(keys: pd.Series) -> pd.Series:
-        return pd.Series(segment_of(keys.to_numpy(), segments))
-
-    return (counts.select("key", level_of(F.col("c")).alias("level"), segment("key").alias("segment"))
-            .groupBy("segment").applyInPandas(one, "segment int, bits binary"))
-
-
-def probe(asked: DataFrame, table: DataFrame, bits: int = SEGMENT_BITS) -> DataFrame:
+        if n:
+            yield flush()
+
+    def one(group: pa.Table) -> pa.Table:
+        keys, times = (np.frombuffer(b"".join(group[c].to_pylist()), np.int64) for c in ("keys", "times"))
+        keys, at = np.unique(keys, return_inverse=True)
+        # the exponent of a count is its level
+        levels = np.frexp(np.bincount(at, weights=times, minlength=len(keys)))[1]
+        words = pa.table({"word": pa.concat_arrays([x.flatten() for x in group["words"].chunks]), "c": pa.concat_arrays([x.flatten() for x in group["counts"].chunks])})
+        words = words.group_by("word").aggregate([("c", "sum")])
+        bits = 8 * max(128, math.ceil(int(levels.sum()) * BITS_PER_ENTRY / 8))
+        return pa.table({"segment": group["segment"][:1], "bits": pa.array([build_segment(keys, levels, bits)], pa.binary()),
+                         "words": pa.array([words["word"].to_pylist()], pa.list_(pa.string())), "counts": pa.array([words["c_sum"].to_pylist()], pa.list_(pa.int64()))})
+
+    return (texts.select(F.col("text").cast("string"))
+            .mapInArrow(rows, "segment int, keys binary, times binary, words array<string>, counts array<long>")
+            .groupBy("segment").applyInArrow(one, "segment int, bits binary, words array<string>, counts array<long>"))
+
+
+def probe(asked: DataFrame, table: DataFrame) -> DataFrame:
     """chunk, segment, levels (a byte for each key) of rows (chunk, segment, keys). A segment comes
     before the keys sent to it, so a task holds one segment and streams the keys past it."""
     def rows(batches):
@@ -172,7 +183,7 @@ def probe(asked: DataFrame, table: DataFrame, bits: int = SEGMENT_BITS) -> DataF
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(segment)]):
                 keys, first = batch.column(2)[a:b].to_pylist(), batch.column(3)[a].as_py()
                 if first is not None:
-                    at, known = segment[a], Filter(np.frombuffer(first, np.uint8).reshape(1, -1), bits)
+                    at, known = segment[a], Filter(np.frombuffer(first, np.uint8).reshape(1, -1), 8 * len(first))
                     a, keys = a + 1, keys[1:]
                 if not keys:
                     continue
@@ -188,8 +199,17 @@ def probe(asked: DataFrame, table: DataFrame, bits: int = SEGMENT_BITS) -> DataF
             .mapInArrow(rows, "chunk long, segment int, levels binary"))
 
 
-DOC = "doc_id long, held_out boolean, n_tokens long, known long, base double, words array<string>, times array<long>"
-ASKED = f"uid long, {DOC}, chunk long, segment int, keys binary, ends binary, back binary, context binary, word binary, pairs binary"
+ASKED = ("uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, words array<string>, times array<long>, "
+         "chunk long, segment int, keys binary, ends binary, back binary, context binary, word binary, pairs binary, score double")
+
+
+def planes(x: np.ndarray) -> bytes:
+    """32-bit numbers as four runs of bytes, of which the upper ones are nearly all 0 and compress."""
+    return x.astype(np.int32).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def from_planes(x: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(4, -1).T).view(np.int32).ravel()
 
 
 def asked_of(hashes: list[np.ndarray], segments: int):
@@ -216,8 +236,20 @@ def asked_of(hashes: list[np.ndarray], segments: int):
             rank[context[first[of_pair]]], rank[word[first[of_pair]]], np.packbits(pairs))
 
 
+def text_scores(levels: np.ndarray, ends: np.ndarray, back: np.ndarray, context: np.ndarray, word: np.ndarray, pairs: np.ndarray,
+                mass: float, types: int) -> list[float]:
+    """Of each text of a chunk, from the levels of its keys and the places that asked_of gives."""
+    found, pairs = count_at(levels.astype(np.float64)), np.unpackbits(pairs, count=len(levels)).astype(bool)
+    singles = found[~pairs]
+    share = np.minimum(1.0, found[pairs] / np.maximum(1.0, singles[context]))
+    alone = (singles + 0.5) / (mass + 0.5 * (types + 1))
+    each = np.log10((1 - UNIGRAM_SHARE) * share + UNIGRAM_SHARE * alone[word])[back]
+    return [float(each[a:b].sum()) for a, b in zip([0, *ends[:-1]], ends)]
+
+
 def score(docs: DataFrame, held_out: Column, frequent: int = FREQUENT, model_words: int | None = None,
-          segment_bits: int = SEGMENT_BITS, chunk: int = CHUNK) -> DataFrame:
+          segment_chars: int = SEGMENT_CHARS, chunk: int = CHUNK,
+          broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Rows where `held_out` is false or null teach, all rows are scored. A null text is an empty one,
@@ -228,22 +260,22 @@ def score(docs: DataFrame, held_out: Column, frequent: int = FREQUENT, model_wor
     spark = prepare(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
                          F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    grams = stored(gram_counts(source.where(~F.col("held_out"))))
-    counts = grams.where(F.col("word").isNotNull()).select("word", "c")
-    level, single = level_of(F.col("c")), F.col("word").isNotNull()
-    total, types, mass, entries = grams.agg(
-        F.coalesce(F.sum(F.when(single, F.col("c"))), F.lit(0)), F.count("word"),
-        F.coalesce(F.sum(F.when(single, F.pow(F.lit(2.0), level) * 0.75 - 0.5)), F.lit(0.0)),
-        F.coalesce(F.sum(level), F.lit(0))).first()
-    segments = max(1, math.ceil(entries * BITS_PER_ENTRY / segment_bits))
-    table = build(grams, segments, segment_bits)
+    taught = source.where(~F.col("held_out"))
+    segments = 1 + taught.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] // segment_chars
+    table = stored(build(taught, segments))
+    counts = table.select(F.explode(F.arrays_zip("words", "counts")).alias("z")).select(F.col("z.words").alias("word"), F.col("z.counts").alias("c"))
+    total, types, mass = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"),
+                                    F.coalesce(F.sum(F.pow(F.lit(2.0), level_of(F.col("c"))) * 0.75 - 0.5), F.lit(0.0))).first()
+    shipped = None
+    if table.agg(F.coalesce(F.sum(F.length("bits")), F.lit(0))).first()[0] <= broadcast_bytes:
+        shipped = spark.sparkContext.broadcast({r["segment"]: bytes(r["bits"]) for r in table.select("segment", "bits").collect()})
     # a fixed number of words
     top = counts.orderBy(F.desc("c"), "word").limit(frequent).collect()
     box = spark.sparkContext.broadcast({r["word"].encode(): math.log10((r["c"] + 0.5) / (total + 0.5 * (types + 1))) for r in top})
     floor = math.log10(0.5 / (total + 0.5 * (types + 1)))
     schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()),
                         ("base", pa.float64()), ("words", pa.list_(pa.string())), ("times", pa.list_(pa.int64())), ("chunk", pa.int64()),
-                        ("segment", pa.int32()), *((c, pa.binary()) for c in ("keys", "ends", "back", "context", "word", "pairs"))])
+                        ("segment", pa.int32()), *((c, pa.binary()) for c in ("keys", "ends", "back", "context", "word", "pairs")), ("score", pa.float64())])
 
     def made(n, **columns):
         return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
@@ -251,14 +283,21 @@ def score(docs: DataFrame, held_out: Column, frequent: int = FREQUENT, model_wor
     def rows(batches):
         base_of, hasher, held, n, uid = box.value, Hasher(), [], 0, TaskContext.get().partitionId() << 40
         known = base_of.get
+        at_hand = shipped and {k: Filter(np.frombuffer(v, np.uint8).reshape(1, -1), 8 * len(v)) for k, v in shipped.value.items()}
 
         def flush():
-            keys, *places = asked_of(held, segments)
+            keys, ends, back, context, word, pairs = asked_of(held, segments)
             first = uid - len(held)
+            if at_hand is not None:
+                levels = [at_hand[s].levels(k) if s in at_hand else np.zeros(len(k), np.int64) for s, k in keys.items()]
+                yield made(len(held), chunk=pa.array(first + np.arange(len(held))),
+                           score=pa.array(text_scores(np.concatenate(levels), ends, back, context, word, pairs, mass, types), pa.float64()))
+                return
             yield made(len(keys), chunk=pa.array([first] * len(keys), pa.int64()), segment=pa.array(list(keys), pa.int32()),
                        keys=pa.array([k.tobytes() for k in keys.values()], pa.binary()))
             yield made(1, chunk=pa.array([first], pa.int64()),
-                       **{c: pa.array([x.tobytes()], pa.binary()) for c, x in zip(("ends", "back", "context", "word", "pairs"), places)})
+                       ends=pa.array([ends.tobytes()], pa.binary()), pairs=pa.array([pairs.tobytes()], pa.binary()),
+                       **{c: pa.array([planes(x)], pa.binary()) for c, x in (("back", back), ("context", context), ("word", word))})
 
         for batch in batches:
             docs_ = []
@@ -285,27 +324,23 @@ def score(docs: DataFrame, held_out: Column, frequent: int = FREQUENT, model_wor
     def logs(batches):
         for batch in batches:
             for r in batch.to_pylist():
-                found = count_at(np.frombuffer(b"".join(x["levels"] for x in r["found"]), np.uint8).astype(np.float64))
-                pairs = np.unpackbits(np.frombuffer(r["pairs"], np.uint8), count=len(found)).astype(bool)
-                of = {c: np.frombuffer(r[c], np.int32) for c in ("back", "context", "word")}
-                singles = found[~pairs]
-                share = np.minimum(1.0, found[pairs] / np.maximum(1.0, singles[of["context"]]))
-                alone = (singles + 0.5) / (mass + 0.5 * (types + 1))
-                each = np.log10((1 - UNIGRAM_SHARE) * share + UNIGRAM_SHARE * alone[of["word"]])[of["back"]]
-                ends = np.frombuffer(r["ends"], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(r["chunk"] + np.arange(len(ends))),
-                                                  pa.array([float(each[a:b].sum()) for a, b in zip([0, *ends[:-1]], ends)], pa.float64())], ["uid", "score"])
+                levels, ends = np.frombuffer(b"".join(x["levels"] for x in r["found"]), np.uint8), np.frombuffer(r["ends"], np.int64)
+                made_ = text_scores(levels, ends, *(from_planes(r[c]) for c in ("back", "context", "word")), np.frombuffer(r["pairs"], np.uint8), mass, types)
+                yield pa.RecordBatch.from_arrays([pa.array(r["chunk"] + np.arange(len(ends))), pa.array(made_, pa.float64())], ["uid", "score"])
 
     part = stored(source.mapInArrow(rows, ASKED))
-    levels = (probe(part.where(F.col("segment").isNotNull()), table, segment_bits)
-              .groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("segment", "levels"))).alias("found")))
-    chunks = part.where(F.col("ends").isNotNull()).select("chunk", "ends", "back", "context", "word", "pairs").join(levels, "chunk")
-    try:
-        # a chunk is a row of some MB
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
-        scores = stored(chunks.mapInArrow(logs, "uid long, score double"))
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    if shipped is not None:
+        scores = part.where(F.col("score").isNotNull()).select(F.col("chunk").alias("uid"), "score")
+    else:
+        levels = (probe(part.where(F.col("segment").isNotNull()), table.select("segment", "bits"))
+                  .groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("segment", "levels"))).alias("found")))
+        chunks = part.where(F.col("ends").isNotNull()).select("chunk", "ends", "back", "context", "word", "pairs").join(levels, "chunk")
+        try:
+            # a chunk is a row of some MB
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+            scores = stored(chunks.mapInArrow(logs, "uid long, score double"))
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     part = part.where(F.col("uid").isNotNull()).select("uid", "doc_id", "held_out", "n_tokens", "known", "base", "words", "times")
     rare = (part.select("uid", F.explode(F.arrays_zip("words", "times")).alias("z"))
             .select("uid", F.col("z.words").alias("word"), F.col("z.times").alias("times"))

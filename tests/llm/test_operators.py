@@ -304,11 +304,23 @@ def test_bloom_lm_counts_every_word(spark):
     """Words far outside any list of frequent ones keep their own unigrams and bigrams."""
     rows = [(i, " ".join(f"w{i * 37 + j}" for j in range(30)) + (" the end" * (i % 5)), "en", "a") for i in range(40)] + [(100, "w0 w1 w2", "en", "a"), (101, "w2 w0 w1", "en", "a"), (102, None, "en", "a")]
     is_out = lambda i: i >= 100
-    got_ = by_id(bloom_lm.score(table(spark, rows), F.col("doc_id") >= 100, frequent=3, model_words=2))
+    got_ = by_id(bloom_lm.score(table(spark, rows), F.col("doc_id") >= 100, frequent=3, model_words=2, segment_chars=100))
     assert [got_[i]["score"] for i, *_ in rows] == pytest.approx(brute_scores(rows, is_out), rel=0.02)
     assert got_[100]["score"] > got_[101]["score"] + 1
 
 
+def test_bloom_lm_keeps_every_level_in_many_segments(spark):
+    """Bigrams seen once keep their counts however many segments and chunks there are."""
+    rows = [(i, " ".join(f"w{i * 37 + j}" for j in range(30)) + (" the end" * (i % 5)), "en", "a") for i in range(40)] + [(100, "w0 w1 w2", "en", "a")]
+    want = brute_scores(rows, lambda i: i >= 100)
+    held_out, small = F.col("doc_id") >= 100, {"segment_chars": 100, "chunk": 50}
+    got_ = by_id(bloom_lm.score(table(spark, rows), held_out, broadcast_bytes=0, **small))
+    assert [got_[i]["score"] for i, *_ in rows] == pytest.approx(want, rel=0.02)
+    assert got_ == by_id(bloom_lm.score(table(spark, rows), held_out, **small))
+    df = table(spark, rows)
+    assert bloom_lm.build(df, 7).count() == 7
+
+
 def test_filter_counts_never_fall_short():
     keys = np.arange(2000, dtype=np.int64) * 7919
     levels = 1 + np.arange(2000) % 6
