@@ -192,6 +192,16 @@ def test_near_dedup_in_a_crowd(spark):
     assert {i: r["component_id"] for i, r in out.items()} == want
 
 
+def test_pipeline_drops_near_copies_from_similarity_080(spark):
+    import corpus_pipeline
+    words = [f"w{i}" for i in range(100)]
+    # 96 shingles each; a change in the middle costs five: 86 of 106 shared is 0.81
+    changed = lambda *at: " ".join("changed" if i in at else w for i, w in enumerate(words))
+    docs = table(spark, [(1, changed(), "en", "a"), (2, changed(30, 60), "en", "a"), (3, changed(20, 50, 80).replace("w", "v"), "en", "a"), (4, changed(20, 50, 80, 90).replace("w", "v"), "en", "a")])
+    assert sorted(r["doc_id"] for r in got(corpus_pipeline.without_near_copies(spark, docs, ""))) == [1, 3]
+    assert sorted(r["doc_id"] for r in got(near_dedup.one_of_each(docs))) == [1, 2, 3]
+
+
 def py_license_base(text):
     w = re.findall("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
     at = [(k, label) for label, phrase in license_rules.BASE for k in range(len(w)) if w[k:k + len(phrase.split())] == phrase.split()]
