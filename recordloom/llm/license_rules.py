@@ -44,8 +44,8 @@ FAMILIES = (
     ("mit", "mit|expat", "mit"), ("apache-2.0", "apache", "apache 2 0"), ("apache-1.1", "apache software", "apache 1 1"),
     ("gpl-2.0", "(?:gnu )?(?:general public|gpl) (?:license )?(?:version |v )?2", "gpl 2 0(?: only| or later)?"),
     ("gpl-3.0", "(?:gnu )?(?:general public|gpl) (?:license )?(?:version |v )?3", "gpl 3 0(?: only| or later)?"),
-    ("gpl", "gnu general public|gnu gpl", "gpl"), ("lgpl-2.1", "(?:gnu )?lesser general public", "lgpl 2 1(?: only| or later)?"),
-    ("lgpl-3.0", "(?:gnu )?lgpl (?:version |v )?3", "lgpl 3 0(?: only| or later)?"), ("lgpl", "(?:gnu )?(?:lgpl|library general public)", "lgpl"),
+    ("gpl", "gnu general public|gnu gpl", "gpl"), ("lgpl-2.1", "(?:gnu )?(?:lesser general public|lgpl) (?:license )?(?:version |v )?2 1", "lgpl 2 1(?: only| or later)?"),
+    ("lgpl-3.0", "(?:gnu )?lgpl (?:version |v )?3", "lgpl 3 0(?: only| or later)?"), ("lgpl", "(?:gnu )?(?:lgpl|lesser general public|library general public)", "lgpl"),
     ("agpl-3.0", "(?:gnu )?(?:affero general public|agpl)", "agpl 3 0(?: only| or later)?"), ("gfdl", "(?:gnu )?free documentation", "gfdl 1 [123]"),
     ("bsd-2-clause", "(?:simplified|2 clause|two clause|freebsd) bsd|bsd (?:2|two) clause", "bsd 2 clause"),
     ("bsd-3-clause", "(?:new|revised|modified|3 clause|three clause) bsd|bsd (?:3|three) clause", "bsd 3 clause"),
@@ -77,7 +77,7 @@ FAMILIES = (
 #: Words of which any mention of a family, long or short, holds one; other families hold their label's first word.
 NAMED = {
     "mit": "mit|expat", "apache-2.0": "apache", "apache-1.1": "apache", "gpl-2.0": "general public|gpl", "gpl-3.0": "general public|gpl",
-    "gpl": "general public|gpl", "lgpl-2.1": "lesser general public|lgpl", "lgpl": "library general public|lgpl",
+    "gpl": "general public|gpl", "lgpl-2.1": "lesser general public|lgpl", "lgpl": "lesser general public|library general public|lgpl",
     "agpl-3.0": "affero general public|agpl", "gfdl": "free documentation|gfdl", "bsd-2-clause": "bsd", "bsd-3-clause": "bsd",
     "bsd-4-clause": "bsd", "bsd": "bsd|berkeley software distribution", "0bsd": "bsd|0bsd", "isc": "isc|internet systems consortium",
     "mpl-2.0": "mozilla|mpl", "mpl-1.1": "mozilla|mpl", "mpl": "mozilla|mpl", "epl-2.0": "eclipse|epl", "epl-1.0": "eclipse|epl", "epl": "eclipse|epl",
@@ -90,6 +90,22 @@ NAMED = {
     "odbl-1.0": "open database|odbl", "ofl-1.1": "open font|ofl", "sspl-1.0": "server side public|sspl", "busl-1.1": "business source|busl",
     "openrail": "openrail|open rail|open railm|openrailm",
 }
+#: Families with versions: labels, name before or after whose "license" the version stands, whole words
+#: of which any such mention holds one, and a short name that needs no "license" ("" if it would be ambiguous).
+VERSIONED = (
+    (("gpl-2.0", "gpl-3.0"), "(?:gnu )?(?<!lesser )(?<!library )(?<!affero )(?:general public|gpl)", "general public|gpl", "gpl"),
+    (("lgpl-2.1", "lgpl-3.0"), "(?:gnu )?(?:(?:lesser|library) general public|lesser gpl|lgpl)", "lesser general public|library general public|lesser gpl|lgpl", "lgpl"),
+    (("agpl-3.0",), "(?:gnu )?(?:affero general public|affero gpl|agpl)", "affero general public|affero gpl|agpl", "agpl"),
+    (("apache-2.0", "apache-1.1"), "apache(?: software)?", "apache", ""), (("mpl-2.0", "mpl-1.1"), "(?:mozilla public|mpl)", "mozilla public|mpl", "mpl"),
+    (("epl-2.0", "epl-1.0"), "(?:eclipse public|epl)", "eclipse public|epl", "epl"), (("artistic-2.0",), "(?:perl )?artistic", "artistic", ""),
+    (("cddl-1.0",), "(?:common development and distribution|cddl)", "common development|cddl", "cddl"), (("cpl-1.0",), "(?:common public|cpl)", "common public|cpl", "cpl"),
+    (("bsl-1.0",), "boost(?: software)?", "boost", ""), (("cc0-1.0",), "(?:creative commons zero|cc0)", "creative commons zero|cc0", "cc0"),
+    (("eupl-1.2",), "(?:european union public|eupl)", "european union public|eupl", "eupl"), (("osl-3.0",), "(?:open software|osl)", "open software|osl", "osl"),
+    (("afl-3.0",), "(?:academic free|afl)", "academic free|afl", "afl"), (("python-2.0",), "(?:python software foundation|psf)", "python software foundation|psf", ""),
+    (("php-3.01",), "php", "php", ""), (("odbl-1.0",), "(?:open database|odbl)", "open database|odbl", "odbl"), (("ofl-1.1",), "(?:sil )?(?:open font|ofl)", "open font|ofl", "ofl"),
+    (("sspl-1.0",), "(?:server side public|sspl)", "server side public|sspl", "sspl"), (("busl-1.1",), "(?:business source|busl)", "business source|busl", "busl"),
+    (("elastic-2.0",), "elastic", "elastic", ""),
+)
 #: The raw text of a match "... under ..." holds one of these.
 GRANTS = ("licensed", "released", "distributed", "available", "published", "provided")
 #: How a family is mentioned: pattern around its name, keyword, priority, score.
@@ -127,12 +143,33 @@ BODIES = (
 )
 
 
+AT = "(?:version |v ?)?"
+UNDER = "(?:(?:licensed|released|distributed|available|published|provided) under (?:the )?(?:terms of )?(?:the )?)?"
+#: An exact version after or before "license", and with short names, also glued as in gplv2, without it.
+VERSION_FORMS = ("{under}{name} (?:licen[cs]e {at}{exact}|{at}{exact} licen[cs]e)(?: only| or later)?", "{under}(?:gnu )?{short}(?: licen[cs]e)? ?{at}{exact}(?: only| or later)?")
+
+
+def exact(label: str) -> str:
+    """The version of a label. A minor 0 may be left out, if no other minor follows."""
+    major, minor = label.rsplit("-", 1)[1].split(".")
+    return f"(?:{major} 0|{major}(?! [0-9] ))" if minor == "0" else f"{major} {minor}"
+
+
+def other(label: str) -> str:
+    """What follows a name is no version but the label's own."""
+    return f"(?!(?: licen[cs]e)?(?! {AT}{exact(label)}(?= )) {AT}[0-9]{{1,2}}(?= ))"
+
+
 @lru_cache(maxsize=1)
 def signatures() -> tuple[Signature, ...]:
-    """All rules in order: every family in every form, then the sentences, then the base phrases."""
+    """All rules in order: exact versions, every family in every form, the sentences, the base phrases."""
     named = lambda label: tuple(f" {n} " for n in NAMED.get(label, label.split("-")[0]).split("|"))
-    rules = [Signature(label, form.format(name=name, short=short), keyword, priority, score, named(label))
-             for form, keyword, priority, score in FORMS for label, name, short in FAMILIES]
+    rules = [Signature(label, form.format(under=UNDER, name=name, short=short, at=AT, exact=exact(label)), "licen" if form is VERSION_FORMS[0] else short, 2, 0.95,
+                       tuple(f" {n} " for n in words.split("|")) if form is VERSION_FORMS[0] else ())
+             for form in VERSION_FORMS for labels, name, words, short in VERSIONED for label in labels if short or form is VERSION_FORMS[0]]
+    versions = {label for labels, *_ in VERSIONED for label in labels}
+    rules += [Signature(label, form.format(name=f"(?:{name}){other(label)}" if label in versions else name, short=short), keyword, priority, score, named(label))
+              for form, keyword, priority, score in FORMS for label, name, short in FAMILIES]
     rules += [Signature(label, pattern, keyword, 3, 0.85) for label, pattern, keyword in BODIES]
     rules += [Signature(label, phrase, "license", 0, 0.5) for label, phrase in BASE]
     return tuple(rules)
@@ -172,12 +209,15 @@ def scan(docs: DataFrame, rules: Sequence[Signature] | None = None) -> tuple[Dat
     rules = rules or signatures()
     prepare(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keywords = sorted({k for r in rules for k in (GRANTS if r.keyword == "under" else (r.keyword,))})
+    # short names stand inside many other words, so they are looked for at the start of one
+    short = {k for *_, k in VERSIONED if k}
+    starts = sorted(short & {r.keyword for r in rules})
+    keywords = sorted({k for r in rules if r.keyword not in short for k in (GRANTS if r.keyword == "under" else (r.keyword,))})
     keywords = [k for k in keywords if not any(o != k and o in k for o in keywords)]
 
     def gate(t):
         low, opened = F.lower(t), F.lit(False)
-        return bind(low, lambda x: _any([F.contains(x, F.lit(k)) for k in keywords]))
+        return bind(low, lambda x: _any([F.contains(x, F.lit(k)) for k in keywords] + [x.rlike(f"(?:^|{GAPS[:-1]})(?:{'|'.join(starts)})")] * bool(starts)))
 
     def _any(tests):
         out = tests[0]

@@ -221,6 +221,31 @@ def test_licenses(edges, none):
     assert got(license_rules.licenses(none)) == [] and len(license_rules.signatures()) > 200
 
 
+def test_license_versions(spark):
+    """A plain mention of each family and version has that label and no other version's."""
+    lead = {"gpl": ("GNU General Public License", "GPL"), "lgpl": ("GNU Lesser General Public License", "LGPL"), "agpl": ("GNU Affero General Public License", "AGPL"),
+            "mpl": ("Mozilla Public License", "MPL"), "epl": ("Eclipse Public License", "EPL"), "apache": ("Apache License,", ""), "artistic": ("Artistic License", ""),
+            "cddl": ("Common Development and Distribution License", "CDDL"), "cpl": ("Common Public License", "CPL"), "bsl": ("Boost Software License", ""),
+            "cc0": ("CC0 license", "CC0"), "eupl": ("European Union Public Licence", "EUPL"), "osl": ("Open Software License", "OSL"), "afl": ("Academic Free License", "AFL"),
+            "python": ("Python Software Foundation License", ""), "php": ("PHP License", ""), "odbl": ("Open Database License", "ODbL"), "ofl": ("SIL Open Font License", "OFL"),
+            "sspl": ("Server Side Public License", "SSPL"), "busl": ("Business Source License", "BUSL"), "elastic": ("Elastic License", "")}
+    said = []
+    for labels, *_ in license_rules.VERSIONED:
+        for label in labels:
+            family, version = label.rsplit("-", 1)
+            long, short = lead[family]
+            said += [(f"It is {form} here", label) for form in (f"{long} Version {version}", f"{long} v{version}", f"under the terms of the {long} {version}")]
+            said += [(f"It is {form} here", label) for form in (f"{short} {version}", f"{short} v{version}", f"{short}v{version}") if short]
+    said += [("GPL v3", "gpl-3.0"), ("GPLv2", "gpl-2.0"), ("licensed under the GNU General Public License version 2", "gpl-2.0"), ("AGPLv3", "agpl-3.0"),
+             ("Apache License, Version 1.1", "apache-1.1"), ("licensed under the Apache License, Version 1.1", "apache-1.1"), ("the Apache 2.0 license", "apache-2.0"),
+             ("GNU Lesser General Public License version 3", "lgpl-3.0"), ("GNU Lesser General Public License", "lgpl"), ("GNU Lesser General Public License version 2", "lgpl")]
+    out = by_id(license_rules.licenses(table(spark, [(i, t, "en", "a") for i, (t, _) in enumerate(said)])))
+    base = {label for label, _ in license_rules.BASE}
+    for i, (text, label) in enumerate(said):
+        labels = {d["label"] for d in out[i]["detections"]}
+        assert label in labels and not {x for x in labels - {label} if re.search(r"-[0-9.]+$", x)}, (text, labels - base)
+
+
 def test_signature_keywords_are_implied():
     """Every rule that matches a sample sentence of its own form holds its keywords there."""
     for rule in license_rules.signatures():
