@@ -366,6 +366,22 @@ def test_filter_counts_never_fall_short():
     assert (made.levels(keys + 1) > 0).mean() < 0.05
 
 
+def test_telephony_stores_pcm(spark, edges):
+    """The resampled PCM stands in a table of the shared folder, also without with_pcm."""
+    import glob
+    from recordloom.session import shared_dir
+    folder = f"{shared_dir(spark).rstrip('/')}/table-*"
+    before = set(glob.glob(folder))
+    df, rows = edges
+    out = telephony.round_trip(df)
+    assert "pcm" not in out.columns
+    tables = [spark.read.parquet(p) for p in set(glob.glob(folder)) - before]
+    held = [x for x in tables if "pcm" in x.columns]
+    assert len(held) == 1 and held[0].count() == len(rows)
+    sums = sorted(str(zlib.crc32(bytes(r["pcm"]))) for r in held[0].collect())
+    assert sums == sorted(r["feature"].split("pcm=")[1] for r in got(out))
+
+
 def test_telephony(edges, none):
     df, rows = edges
     texts = {i: t for i, t, *_ in rows}
