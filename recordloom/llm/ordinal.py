@@ -15,7 +15,7 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from recordloom.llm.common import prepare
 
@@ -105,6 +105,17 @@ def grade(quality: Column, toxic: Column) -> Column:
     return F.when(quality == 0, F.lit(0)).when((quality == 1) & (toxic == 1), F.lit(1)).when(quality == 1, F.lit(2))
 
 
+def _bounded(texts: DataFrame, chosen: DataFrame, sample: int) -> DataFrame:
+    """doc_id, grade, text: at most `sample` rows of distinct texts of rated documents."""
+    # copies fall in the tasks before the shuffle, by a digest in place of the text
+    distinct = (texts.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")
+                .withColumn("_d", F.sha2(F.coalesce("text", F.lit("")), 256)).groupBy("doc_id", "_d").agg(F.first("text").alias("text")))
+    # a document needs no more than `sample` texts; Spark limits a rank before the shuffle
+    ranked = distinct.withColumn("_at", F.row_number().over(W.partitionBy("doc_id").orderBy("_d"))).where(F.col("_at") <= sample)
+    return (ranked.join(F.broadcast(chosen), "doc_id").orderBy("_at", F.xxhash64("doc_id", F.lit("sample")), "doc_id", "grade", "nth").limit(sample)
+            .select("doc_id", "grade", "text"))
+
+
 def train(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, sample: int = SAMPLE,
           buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray] | None:
     """Fit on `ratings` (doc_id, grade); several ratings of a document count as several rows.
@@ -112,6 +123,10 @@ def train(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, sample: int =
     The sample is the first `sample` ratings in hashed order, so it is the same in every run and no
     source or label is favoured. It is small by its bound, so it is broadcast to the documents and
     fitted in one task; only the weights that are not zero reach the driver. None without ratings.
+
+    Copies of a document's text are one row for each of its ratings, and of the rows that result the
+    first `sample` are fitted: by the rank of the text in its rating, then in hashed order, so that a
+    document with many texts does not displace others. The bound thus holds for what the task gets.
     """
     prepare(docs.sparkSession)
     chosen = (ratings.where(F.col("grade").isNotNull() & F.col("doc_id").isNotNull())
@@ -119,6 +134,9 @@ def train(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, sample: int =
               .orderBy(F.xxhash64("doc_id", F.lit("sample")), "doc_id", "grade").limit(sample))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
+    # a rating keeps its number among equal ones, so that several of a document stay several rows
+    chosen = chosen.groupBy("doc_id", "grade").agg(F.count("*").alias("_n")).select("doc_id", "grade", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))).alias("nth"))
+
     def hashed(batches):
         for batch in batches:
             rows = [features(t, buckets).tolist() for t in batch.column(2).to_pylist()]
@@ -130,8 +148,7 @@ def train(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, sample: int =
         at = np.flatnonzero(w)
         return pd.DataFrame({"at": [at], "w": [w[at]], "b": [b]})
 
-    rated = (texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "grade", "text")
-             .mapInArrow(hashed, "doc_id long, grade int, x array<int>"))
+    rated = _bounded(texts, chosen, sample).mapInArrow(hashed, "doc_id long, grade int, x array<int>")
     model = rated.groupBy(F.lit(0).alias("all")).applyInPandas(one, "at array<int>, w array<double>, b array<double>").collect()
     if not model:
         return None

@@ -366,6 +366,18 @@ def test_filter_counts_never_fall_short():
     assert (made.levels(keys + 1) > 0).mean() < 0.05
 
 
+def test_ordinal_bounds_the_rows_of_a_hot_document(spark, monkeypatch):
+    """A rated doc_id that repeats sends one row of each distinct text, and no more than the sample in all."""
+    rows = [(1, f"text {i % 40}", "en", "a") for i in range(400)] + [(i, f"other {i}", "en", "a") for i in range(2, 8)]
+    docs, ratings = table(spark, rows), spark.createDataFrame([(i, i % 3) for i in range(1, 8)] + [(2, 2)], "doc_id long, grade int")
+    seen = []
+    whole = ordinal._bounded
+    monkeypatch.setattr(ordinal, "_bounded", lambda *a: seen.append(whole(*a)) or seen[-1])
+    assert ordinal.train(docs, ratings, sample=20) is not None
+    sent = [(r["doc_id"], r["text"]) for r in got(seen[0])]
+    assert len(sent) == 20 and len(set(sent)) == 19 and {i for i, _ in sent} == set(range(1, 8))
+
+
 def test_telephony_stores_pcm(spark, edges):
     """The resampled PCM stands in a table of the shared folder, also without with_pcm."""
     import glob
