@@ -10,13 +10,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
-#: Texts may be long, so Arrow batches are kept small in rows.
+#: Texts may be long, so Arrow batches are kept small in rows and in bytes (one longer text is a batch of its own).
 ARROW_ROWS = 256
+ARROW_BYTES = 16 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Ship the package to Python workers and bound the rows of an Arrow batch."""
+    """Ship the package to Python workers and bound the rows and bytes of an Arrow batch."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     context = spark.sparkContext
     if not getattr(context, "_recordloom_shipped", False):
         root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))

@@ -7,8 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from recordloom.llm import blob_ledger, bloom_lm, divergence, license_rules, mixing, near_dedup, ordinal, sharding, telephony, trie_bpe
-from recordloom.llm.common import documents
+from recordloom.llm import (blob_ledger, bloom_lm, divergence, hard_negatives, language_id, license_rules, mixing, near_dedup, ordinal,
+                            periodic_runs, sharding, telephony, trie_bpe)
+from recordloom.llm.common import documents, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -94,6 +95,43 @@ def op8(spark, sf_dir):
     return bloom_lm.score(documents(spark, sf_dir), held_out)
 
 
+@query("op11_language_id")
+def op11(spark, sf_dir):
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    return language_id.identify(documents(spark, sf_dir), held_out)
+
+
+@query("op12_periodic_runs")
+def op12(spark, sf_dir):
+    return periodic_runs.digest(documents(spark, sf_dir))
+
+
+_HARD_NEGATIVES_SQL = """
+with rows as (
+    select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+        list_transform(embedding, lambda c: cast(floor(256 * cast(c as double)) as bigint)) as x, row_number() over (order by vec_id) as row
+    from embeddings
+    where label is not null and embedding is not null and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0),
+pairs as (
+    select a.row as anchor, a.vec_id as anchor_id, b.vec_id as other_id, a.label = b.label as same,
+        cast(list_sum(list_transform(list_zip(a.x, b.x), lambda p: p[1] * p[2])) as bigint) as score, b.row as other
+    from rows a join rows b on a.vec_id % 50 = 0 and a.row <> b.row),
+positives as (
+    select *, row_number() over (partition by anchor order by score desc, other_id) as place from pairs where same
+    qualify place <= 5)
+select p.anchor_id, p.other_id as positive_id,
+    cast(row_number() over (partition by p.anchor, p.place order by n.score desc, n.other_id) as int) as rank,
+    n.other_id as negative_id, p.score as positive_score, n.score as negative_score
+from positives p join pairs n on n.anchor = p.anchor and not n.same and 50 * p.score <= 100 * n.score and 100 * n.score <= 95 * p.score
+qualify rank <= 3"""
+
+
+@query("op13_hard_negatives", _HARD_NEGATIVES_SQL)
+def op13(spark, sf_dir):
+    vectors = hard_negatives.whole_numbers(prepare(spark).read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return hard_negatives.mine(vectors, F.col("vec_id") % 50 == 0)
+
+
 @query("pipeline")
 def pipeline(spark, sf_dir):
     import corpus_pipeline
