@@ -1,5 +1,7 @@
 """Ingest, mining, defence, growth, bundles, audit and file sources."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from recordloom import fixed_values as fv
@@ -7,7 +9,7 @@ from recordloom.functions import text as tx
 from recordloom.operators import audit, budget, bundle, defence, growth, ingest, merkle, mining, quorum, retrieval
 from recordloom.operators.blocks import positions
 from recordloom.session import shared_dir, spread, stored
-from recordloom.sources import files as fs, logs
+from recordloom.sources import files as fs, logs, ranges
 from recordloom.workload.integrity_queries import WITNESSES
 from recordloom.workload.logs_sql import CONV, EVENTS, EVENTS_LINKED, FILES, GOV, LINK, CR, defaults_values, merkle_levels
 from recordloom.workload.registry import query
@@ -711,26 +713,64 @@ def _(spark, sf):
 
 
 # --- files --------------------------------------------------------------------------------------
-def file_tree(spark, sf):
-    """Documents written as one text file per source and language."""
-    root = f"{shared_dir(spark).rstrip('/')}/tree-{abs(hash((sf, spark.sparkContext.applicationId)))}"
-    d = spark.read.parquet(f"{sf}/documents.parquet").select("source", "lang", "text")
-    d.repartition("source", "lang").write.mode("overwrite").partitionBy("source", "lang").text(root)
+#: Documents of neighbouring ids that share a file.
+FILE_DOCS = 4096
+PART = f"doc_id div {FILE_DOCS}"
+
+
+def file_tree(spark, sf, *folders):
+    """Documents written as text files of a bounded number of them, by folder and in order of their id."""
+    root = f"{shared_dir(spark).rstrip('/')}/tree-{uuid.uuid4().hex}"
+    d = spark.read.parquet(f"{sf}/documents.parquet").select(*folders, F.expr(PART).alias("part"), "doc_id", "text")
+    keys = [*folders, "part"]
+    d.repartition(*keys).sortWithinPartitions(*keys, "doc_id").drop("doc_id").write.partitionBy(*keys).text(root)
     return root
 
 
-@query("s05_volume_survey", """select count(distinct (source, lang)) as files, sum(strlen(text)+1)::bigint as bytes, false as over_threshold from documents where source<>'src3'""")
+def _folder(path):
+    return F.regexp_replace(path, "/[^/]+$", "").alias("folder")
+
+
+_IN = f"'source=' || source || '/lang=' || lang || '/part=' || (doc_id // {FILE_DOCS})"
+
+
+@query("s05_volume_survey", f"""select count(distinct {_IN}) as files, sum(strlen(text)+1)::bigint as bytes, false as over_threshold from documents where source<>'src3'""")
+def _(spark, sf):
+    return fs.volume_survey(spark, file_tree(spark, sf, "source", "lang"), [".txt"], ["source=src3"])
+
+
+@query("s04_numbered_files", f"""select folder, row_number() over (order by encode(split_part(folder,'/',1)), encode(split_part(folder,'/',2)), encode(split_part(folder,'/',3))) as file_index from (select distinct {_IN} as folder from documents)""")
 def _(spark, sf):
-    return fs.volume_survey(spark, file_tree(spark, sf), [".txt"], ["source=src3"])
+    found = fs.numbered_files(spark, file_tree(spark, sf, "source", "lang"), [".txt"])
+    return found.select(_folder("relative_path"), "file_index")
 
 
-@query("s04_numbered_files", """select 'source=' || source || '/lang=' || lang as folder, row_number() over (order by encode('source=' || source), encode('lang=' || lang)) as file_index from (select distinct source, lang from documents)""")
+@query("s06_extracted_text", f"""select {_IN} as folder, sum(length(text)+1)::int as chars, 'utf8' as method, false as truncated from documents group by 1""")
 def _(spark, sf):
-    found = fs.numbered_files(spark, file_tree(spark, sf), [".txt"])
-    return found.select(F.regexp_replace("relative_path", "/[^/]+$", "").alias("folder"), "file_index")
+    out = fs.extract_text(fs.scan_files(spark, file_tree(spark, sf, "source", "lang"), [".txt"]))
+    return out.select(_folder("relative_path"), F.length("text").alias("chars"), "method", "truncated")
+
+
+_T = fv.CHUNK_TOKENS
+_ENDS = r"\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}"
 
 
-@query("s06_extracted_text", """select 'source=' || source || '/lang=' || lang as folder, sum(length(text)+1)::int as chars, 'utf8' as method, false as truncated from documents group by source, lang""")
+@query("r08_ranged_chunks", f"""with recursive f as (select 'source=' || source || '/part=' || (doc_id // {FILE_DOCS}) as folder, string_agg(text || chr(10), '' order by doc_id) as body from documents group by 1),
+x as (select folder, regexp_extract_all(body, '[^{_ENDS}]*(?:\r\n|[{_ENDS}])') as parts from f),
+l as (select folder, unnest(parts) as line, generate_subscripts(parts, 1) as n from x),
+ln as (select folder, n, length(line)::bigint as len, length(line)//4 > {_T["max"]} as wide, (sum(length(line)) over (partition by folder order by n))::bigint as upto from l),
+r as (select folder, n, case when wide then (len+{4 * _T["max"] - 1})//{4 * _T["max"]} else 1 end as k, case when wide then 0 else len end as open from ln where n=1
+ union all select ln.folder, ln.n, r.k + case when wide then (len+{4 * _T["max"] - 1})//{4 * _T["max"]} when r.open>0 and r.open+len < {4 * (_T["target"] + 1)} then 0 else 1 end,
+  case when wide then 0 when r.open>0 and r.open+len < {4 * (_T["target"] + 1)} then r.open+len else len end from r join ln on ln.folder=r.folder and ln.n=r.n+1),
+p as (select folder, r.k as c, upto-len as a, upto as z, n from r join ln using (folder, n) where not wide
+ union all select folder, c, a, least(a+{4 * _T["max"]}, upto), n from (select folder, n, upto, r.k-((len+{4 * _T["max"] - 1})//{4 * _T["max"]})+1+i as c, upto-len+i*{4 * _T["max"]} as a
+  from r join ln using (folder, n), unnest(range((len+{4 * _T["max"] - 1})//{4 * _T["max"]})) t(i) where wide)),
+c as (select folder, c, min(a) as a, max(z) as z, min(n) as n1, max(n) as n2, max(c) over (partition by folder) as last from p group by folder, c),
+t as (select folder, max(last) as last, bool_and(case when c=last then greatest(1,(z-a)//4) < {_T["min"]} else true end) and max(last)>1 and (max(z)-min(case when c>=last-1 then a end))//4 <= {_T["max"]} as joins from c group by folder),
+m as (select folder, case when joins and c.c=c.last then c.c-1 else c.c end as chunk_index, t.last - (case when joins then 1 else 0 end) as chunk_of, a, z, n1, n2 from c join t using (folder)),
+g as (select folder, chunk_index, chunk_of, min(a) as a, max(z) as z, min(n1) as line_start, max(n2) as line_end from m group by all)
+select folder, chunk_index, chunk_of, line_start, line_end, md5(substring(body, (a+1)::bigint, (z-a)::bigint)) as digest from g join f using (folder)""")
 def _(spark, sf):
-    out = fs.extract_text(fs.scan_files(spark, file_tree(spark, sf), [".txt"]))
-    return out.select(F.regexp_replace("relative_path", "/[^/]+$", "").alias("folder"), F.length("text").alias("chars"), "method", "truncated")
+    """Files of thousands of documents, cut by tasks that each read 64 KB of them."""
+    out = ranges.chunk_files(spark, file_tree(spark, sf, "source"), [".txt"], range_bytes=1 << 16)
+    return out.select(_folder("file"), "chunk_index", "chunk_of", "line_start", "line_end", F.md5("content").alias("digest"))
