@@ -64,7 +64,7 @@ def stored(df: DataFrame) -> DataFrame:
     Unlike a cache it outlives its executors, and each branch reads only its columns.
     """
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -76,3 +76,13 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that `stored` wrote, once everything made from them is written down itself."""
+    for df in tables:
+        spark, base = df.sparkSession, shared_dir(df.sparkSession).rstrip("/")
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/table-" in folder and folder.split("/table-")[0].endswith(base.split(":", 1)[-1]):
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
