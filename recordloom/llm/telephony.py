@@ -181,32 +181,14 @@ def read_media(media: DataFrame, pcm_rate: int = PCM_RATE, with_pcm: bool = True
     return media.mapInArrow(rows, schema)
 
 
-def measure(table: DataFrame, pcm_rate: int = PCM_RATE) -> DataFrame:
-    """Columns of a stored PCM table (with `codec` and `pcm`), `codec` replaced by the feature of the
-    samples read back. Null samples give a null feature."""
-    order = [c for c in table.columns if c not in ("codec", "pcm")]
+def round_trip(docs: DataFrame, pcm_rate: int = PCM_RATE) -> DataFrame:
+    """Texts stored as a media table in the shared folder, read back, decoded and resampled.
 
-    def rows(batches):
-        for batch in batches:
-            made = [None if p is None else features(c, np.frombuffer(p, "<i2"), pcm_rate)
-                    for c, p in zip(batch.column("codec").to_pylist(), batch.column("pcm").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(n) for n in order] + [pa.array(made, pa.string()), batch.column("pcm")], [*order, "feature", "pcm"])
-
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema.fields if f.name in order] + ["feature string", "pcm binary"])
-    return table.mapInArrow(rows, schema)
-
-
-def round_trip(docs: DataFrame, pcm_rate: int = PCM_RATE, with_pcm: bool = False) -> DataFrame:
-    """Texts stored as a media table in the shared folder, read back, decoded and resampled; the PCM
-    is stored as a table beside it, and the features are measured on what is read back from there.
-
-    doc_id, n_bytes, media_bytes, media_sha256, payload_bytes, payload_sha256, tail_crc32, feature,
-    and the stored `pcm` if asked for.
+    doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, pcm: one row per input
+    row. The samples leave as a column, so they are stored once, where the caller writes the result, and
+    features are measured on them. A null text is an empty one (64 zero bytes), repeated rows give equal
+    values, an empty table gives an empty one, other columns are ignored. The media table is compressed.
     """
     table = stored(store_texts(docs))
-    seen = table.select("doc_id", "n_bytes", F.length("media").cast("long").alias("media_bytes"),
-                        F.sha2("media", 256).alias("media_sha256"), "media")
-    # a feature begins with its codec, which the samples alone do not tell
-    samples = stored(read_media(seen, pcm_rate).withColumn("codec", F.substring_index("feature", ";", 1)).drop("feature"))
-    out = measure(samples, pcm_rate)
-    return out if with_pcm else out.drop("pcm")
+    seen = table.select("doc_id", "n_bytes", F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media")
+    return read_media(seen, pcm_rate).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm")

@@ -7,8 +7,12 @@ by side if merging by rank would not have joined anything across their border. S
 a prefix is worked out once, for all words that share it, and a word's ids are read off by
 stepping back from its node.
 
-Trie and memo live in the Python worker, across its batches, and are emptied at a fixed number of
-entries: memory is bounded, results do not depend on it.
+The entries that end a prefix are found by walking back from its last byte through a trie of the
+reversed vocabulary, shortest first, without cutting out a substring; at most one of them may follow.
+
+Trie and memo live in the Python worker, across its batches. The memos of chunks and words have a young and an old half: entries met
+again move to the young one, and when that is full the old one goes, so frequent ones stay. The
+trie is emptied at a fixed number of nodes. Memory is bounded, results do not depend on it.
 """
 
 from __future__ import annotations
@@ -28,8 +32,10 @@ from recordloom.llm.common import prepare
 
 #: Fixed value: the word pattern of the vocabulary family.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-MOST_NODES = 1_000_000
-MOST_CHUNKS = 400_000
+MOST_NODES = 400_000
+#: Entries in one half of the memos of chunks and of words.
+MOST_CHUNKS = 150_000
+MOST_BORDERS = 400_000
 #: White space beside a blank: only then may a blank not begin a word of its own.
 UNEVEN = regex.compile(r"\s | \s")
 
@@ -94,12 +100,31 @@ class TrieEncoder:
         self.size = [len(t) for t in births]
         self.halves: list[tuple[int, int] | None] = [None] * 256 + [(self.rank[a], self.rank[b]) for a, b in model["merges"]]
         self.joined = {pair: r for r, pair in enumerate(self.halves) if pair}
-        self.longest = max(self.size)
+        self.back, self.token_at = self.reversed_trie(births)
         self.text_of = {ids[t]: t for t in births} | {i: s.encode() for s, i in self.special.items()}
         self.border: dict[int, bool] = {}
-        self.memo: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.coded: dict[str, bytes] = {}
+        self.coded_before: dict[str, bytes] = {}
         self.clear()
 
+    @staticmethod
+    def reversed_trie(births: list[bytes]) -> tuple[dict[int, int], list[int]]:
+        """Steps (node << 8 | byte -> node) from the end of a token backwards, and the token that ends at each node or -1."""
+        step, token_at = {}, [-1]
+        for rank, token in enumerate(births):
+            node = 0
+            for byte in reversed(token):
+                key = node << 8 | byte
+                node = step.get(key, -1)
+                if node < 0:
+                    step[key] = node = len(token_at)
+                    token_at.append(-1)
+            if token_at[node] < 0:
+                token_at[node] = rank
+        return step, token_at
+
     def clear(self) -> None:
         self.child: dict[int, int] = {}
         self.last = [-1]
@@ -113,7 +138,7 @@ class TrieEncoder:
         key = left << 20 | right
         known = self.border.get(key)
         if known is None:
-            if len(self.border) > MOST_CHUNKS:
+            if len(self.border) > MOST_BORDERS:
                 self.border.clear()
             known = self.border[key] = self._may_meet(left, right)
         return known
@@ -136,16 +161,24 @@ class TrieEncoder:
 
     def encode_word(self, word: bytes) -> list[int]:
         """Ids of one word; adds the word's path to the trie."""
-        rank, last, child, longest = self.rank, self.last, self.child, self.longest
+        last, child, back, token_at, border = self.last, self.child, self.back, self.token_at, self.border
         path, node = [0], 0
         for end, byte in enumerate(word, 1):
             key = node << 8 | byte
             node = child.get(key)
             if node is None:
-                for begin in range(end - longest if end > longest else 0, end):
-                    token = rank.get(word[begin:end])
-                    if token is not None and (not begin or self.may_meet(last[path[begin]], token)):
-                        break
+                begin, tail = end, 0
+                while True:
+                    begin -= 1
+                    tail = back[tail << 8 | word[begin]]
+                    token = token_at[tail]
+                    if token >= 0:
+                        if not begin:
+                            break
+                        before = last[path[begin]]
+                        fits = border.get(before << 20 | token)
+                        if fits or fits is None and self.may_meet(before, token):
+                            break
                 child[key] = node = len(last)
                 last.append(token)
             path.append(node)
@@ -165,10 +198,15 @@ class TrieEncoder:
     def encode_chunk(self, chunk: str) -> bytes:
         if len(self.last) > self.most_nodes:
             self.clear()
-        ids = array("i")
+        if len(self.coded) > MOST_CHUNKS:
+            self.coded_before, self.coded = self.coded, {}
+        coded, before, out = self.coded, self.coded_before, []
         for word in self.words(chunk):
-            ids.extend(self.encode_word(word.encode()))
-        return ids.tobytes()
+            ids = coded.get(word)
+            if ids is None:
+                ids = coded[word] = before.get(word) or array("i", self.encode_word(word.encode())).tobytes()
+            out.append(ids)
+        return b"".join(out)
 
     def encode(self, text: str) -> bytes:
         """The ids as packed 32-bit numbers.
@@ -186,12 +224,13 @@ class TrieEncoder:
                 continue
             first, *rest = piece.split(" ")
             out.append(self.encode_chunk(first))
-            if len(self.memo) > MOST_CHUNKS:
-                self.memo.clear()
-            memo = self.memo
-            for chunk in sorted(set(rest).difference(memo)):  # sorted: the trie is walked depth first
-                memo[chunk] = self.encode_chunk(" " + chunk)
-            out.append(b"".join(map(memo.__getitem__, rest)))
+            if len(self.young) > MOST_CHUNKS:
+                self.old, self.young = self.young, {}
+            young, old = self.young, self.old
+            for chunk in sorted(set(rest).difference(young)):  # sorted: the trie is walked depth first
+                known = old.get(chunk)
+                young[chunk] = self.encode_chunk(" " + chunk) if known is None else known
+            out.append(b"".join(map(young.__getitem__, rest)))
         return b"".join(out)
 
     def decode(self, ids: list[int]) -> str:
