@@ -179,7 +179,9 @@ def span_text(found: Column) -> Column:
 def redact(docs: DataFrame, mask: str = "[SECRET]", rules: Sequence[Rule] = RULES) -> DataFrame:
     """The documents with every span found replaced by a mask; all columns stay, n_chars follows.
 
-    Texts without findings are unchanged, null texts too. Spans that overlap or touch are masked once.
+    Texts without findings are unchanged, null texts too. Spans that overlap or touch are masked once. Repeated
+    rows stay repeated and are masked alike, a null doc_id makes no difference, an empty table gives an empty one,
+    and columns of any names are kept.
     """
     ledger = BlobLedger(docs.sparkSession)
     ledger.scan(docs.select("doc_id", "text"), rules=rules)
@@ -190,16 +192,17 @@ def redact(docs: DataFrame, mask: str = "[SECRET]", rules: Sequence[Rule] = RULE
               .withColumn("_run", F.sum("_new").over(W.partitionBy("blob").orderBy("start", "end").rowsBetween(W.unboundedPreceding, 0)))
               .groupBy("blob", "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
               .groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_spans")))
-    text = F.col("_text")
+    # rows travel in a struct, so that no column of theirs can meet one of these names
+    body = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
+    text = F.col("body")
     pieces = F.transform(F.col("_spans"), lambda s, i: F.concat(
         F.substring(text, (F.coalesce(F.get("_spans", i - 1)["end"], F.lit(0)) + 1).cast("int"),
                     (s["start"] - F.coalesce(F.get("_spans", i - 1)["end"], F.lit(0))).cast("int")), F.lit(mask)))
     rest = F.substring(text, (F.element_at("_spans", -1)["end"] + 1).cast("int"), F.length(text))
-    names = docs.columns
-    joined = (docs.withColumn("_text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-              .withColumn("_blob", F.sha2("_text", 256)).join(merged.withColumnRenamed("blob", "_blob"), "_blob", "left"))
-    masked = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.concat(F.array_join(pieces, ""), rest))
-    out = joined.withColumn("text", masked)
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*names)
+    rows = docs.select(F.struct(*docs.columns).alias("row")).select("row", body.alias("body"))
+    joined = rows.withColumn("blob", F.sha2("body", 256)).join(merged, "blob", "left")
+    found = F.col("_spans").isNotNull()
+    masked = joined.select("row", found.alias("found"), F.when(found, F.concat(F.array_join(pieces, ""), rest)).alias("masked"))
+    new = {"text": F.col("masked"), "n_chars": F.length("masked").cast("long")}
+    return masked.select(*[F.when(F.col("found"), new[c]).otherwise(F.col("row")[c]).alias(c) if c in new else F.col("row")[c].alias(c)
+                           for c in docs.columns])

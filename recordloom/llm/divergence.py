@@ -142,7 +142,7 @@ def references(found: DataFrame, n_hits: int, min_chars: int = MIN_CHARS, min_wo
 def judge(docs: DataFrame, common: Mapping[str, Sequence[str]] = COMMON, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS,
           most_class: float = MOST_CLASS_DISTANCE, most_word: float = MOST_WORD_DISTANCE) -> DataFrame:
     """One row per input row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    base_failed, class_distance, word_distance, kept.
+    base_failed, kept, class_distance, word_distance.
 
     A null text has no words and so fails the base rules. Documents under the guards, and those of
     a language without a reference, have null distances and are not rejected by them. Null or
@@ -162,4 +162,5 @@ def judge(docs: DataFrame, common: Mapping[str, Sequence[str]] = COMMON, min_cha
         F.when(long_enough, distance(F.col("classes").cast("array<double>"), F.col("_class_ref"))).alias("class_distance"),
         F.when(long_enough, distance(F.col("hits").cast("array<double>"), F.col("_word_ref"))).alias("word_distance"))
     near = (F.coalesce(F.col("class_distance"), F.lit(0.0)) <= most_class) & (F.coalesce(F.col("word_distance"), F.lit(0.0)) <= most_word)
-    return measured.withColumn("kept", ~F.col("base_failed") & near)
+    distances = ["class_distance", "word_distance"]
+    return measured.select(*[c for c in measured.columns if c not in distances], (~F.col("base_failed") & near).alias("kept"), *distances)

@@ -164,23 +164,36 @@ def plan_mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: int = CAP
 
 def mix_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: int = CAP, blocks: int = BLOCKS,
                   shards: int = SHARDS, seed: str = "mix") -> DataFrame:
-    """The mix as documents: every row as often as it is drawn, with all its columns. A row finds its
-    draws by its hash, so texts are not shuffled to be mixed."""
+    """The mix as documents: every row as often as it is drawn, with all its columns, dealt to the shards
+    and shuffled inside each.
+
+    A row finds its draws by its hash; then its copies go to their shards, a shard in sixteen parts so that
+    none is gathered, and each part is sorted by a key of document and copy, which is its local shuffle. Null texts have
+    size 0 and are drawn as the plan says, repeated rows fare alike, an empty table gives an empty one.
+    """
     prepare(docs.sparkSession)
     dealt = _deal(stored(_sized(docs, blocks, seed)), weights, cap, blocks, shards, seed)
     placed = docs.select(F.struct(*docs.columns).alias("row")).select("row", *_place("row", blocks, seed))
-    return placed.join(dealt, ["_key", "_block"]).select("row", F.explode(_draws())).select("row.*")
+    drawn = placed.join(dealt, ["_key", "_block"]).select("row", F.explode(_draws()).alias("_d"))
+    return _shuffled(drawn.select("row", F.col("_d.shard").alias("shard"), sort_key("row.doc_id", "_d.copy", seed).alias("sort_key"))).select("row.*")
+
+
+def sort_key(doc_id: str, copy: str, seed: str) -> Column:
+    return F.xxhash64(doc_id, copy, F.lit(f"{seed}/local"))
+
+
+def _shuffled(rows: DataFrame, parts: int = 16) -> DataFrame:
+    return rows.repartition("shard", F.pmod("sort_key", F.lit(parts))).sortWithinPartitions("shard", "sort_key")
 
 
 def mixed(plan: DataFrame, seed: str = "mix") -> DataFrame:
     """The mix itself: one row per copy taken, with its shard and its sort key inside the shard."""
     return (plan.select("doc_id", "source", "size", F.explode("draws").alias("_d"))
             .select("doc_id", "source", "size", F.col("_d.copy").alias("copy"), F.col("_d.shard").alias("shard"),
-                    F.xxhash64("doc_id", "_d.copy", F.lit(f"{seed}/local")).alias("sort_key")))
+                    sort_key("doc_id", "_d.copy", seed).alias("sort_key")))
 
 
 def write_mix(rows: DataFrame, path: str) -> None:
     """Files by shard, each shuffled inside by its sort key. Hot shards are not gathered: every
     task sorts and writes its own part of each shard."""
-    (rows.repartition("shard", F.pmod("sort_key", F.lit(16))).sortWithinPartitions("shard", "sort_key")
-     .write.partitionBy("shard").parquet(path))
+    _shuffled(rows).write.partitionBy("shard").parquet(path)

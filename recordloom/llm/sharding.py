@@ -60,19 +60,19 @@ def place(df: DataFrame, key: str, shards: Sequence[str] | Mapping[str, int] = S
 
     The key is hashed as text; null is hashed as a text that no number can have ("null"), so
     it has a place too. Equal keys get equal places, repeated rows stay repeated, an empty
-    table gives an empty one, and only the key column is read.
+    table gives an empty one, and only the key column is read. A key column of the name of a result's
+    column stands first and keeps its values, beside the result's column of that name.
     """
     names = lookup_table(shards, size)
     # a literal of bounded length, unfolded on the executors' side: no rows go through Python
     slots = (df.sparkSession.range(1)
              .select(F.posexplode(F.split(F.lit("\n".join(names)), "\n")).alias("slot", "shard")))
     hashed = F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit("null"))), 1, 15), 16, 10)
-    return (df.select(F.col(key), hashed.cast("long").alias("key_hash"))
-            .withColumn("slot", F.expr(f"cast(key_hash % {size} as int)"))
-            .join(F.broadcast(slots), "slot")
-            .select(key, "key_hash", F.col("slot").cast("long").alias("slot"), "shard"))
-
-
+    # the key travels in a struct, so it may have any name; the result then has two columns of it
+    placed = (df.select(F.struct(F.col(key).alias("k")).alias("_key"), hashed.cast("long").alias("key_hash"))
+              .withColumn("slot", F.expr(f"cast(key_hash % {size} as int)"))
+              .join(F.broadcast(slots), "slot"))
+    return placed.select(F.col("_key.k").alias(key), "key_hash", F.col("slot").cast("long").alias("slot"), "shard")
 
 
 def moved(before: Sequence[str], after: Sequence[str]) -> float:

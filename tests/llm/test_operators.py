@@ -378,26 +378,37 @@ def test_ordinal_bounds_the_rows_of_a_hot_document(spark, monkeypatch):
     assert len(sent) == 20 and len(set(sent)) == 19 and {i for i, _ in sent} == set(range(1, 8))
 
 
-def test_telephony_stores_pcm(spark, edges):
-    """The resampled PCM stands in a table of the shared folder, also without with_pcm."""
-    import glob
-    from recordloom.session import shared_dir
-    folder = f"{shared_dir(spark).rstrip('/')}/table-*"
-    before = set(glob.glob(folder))
+def test_telephony_stores_pcm(spark, edges, tmp_path):
+    """The resampled PCM leaves as the last column and is stored with the result; features are those of the stored samples."""
     df, rows = edges
     out = telephony.round_trip(df)
-    assert "pcm" not in out.columns
-    tables = [spark.read.parquet(p) for p in set(glob.glob(folder)) - before]
-    held = [x for x in tables if "pcm" in x.columns]
-    assert len(held) == 1 and held[0].count() == len(rows)
-    sums = sorted(str(zlib.crc32(bytes(r["pcm"]))) for r in held[0].collect())
-    assert sums == sorted(r["feature"].split("pcm=")[1] for r in got(out))
+    assert out.columns == ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm"]
+    out.write.parquet(str(tmp_path / "out"))
+    held = got(spark.read.parquet(str(tmp_path / "out")))
+    assert len(held) == len(rows)
+    for r in held:
+        pcm, codec = np.frombuffer(r["pcm"], "<i2"), r["feature"].split(";")[0]
+        assert telephony.features(codec, pcm, telephony.PCM_RATE) == r["feature"]
+        wide = [int(x) for x in pcm]
+        assert f"peak={max(map(abs, wide))}" in r["feature"] and f"n={len(wide)}" in r["feature"] and r["feature"].endswith(f"pcm={zlib.crc32(bytes(r['pcm']))}")
+        assert f"rms={math.isqrt(sum(x * x for x in wide) // len(wide))};" in r["feature"]
+        assert f"zc={sum((x < 0) != (y < 0) for x, y in zip(wide, wide[1:]))};" in r["feature"]
+
+
+def test_resample_against_plain_code():
+    pcm = np.array([0, 100, -300, 32767, -32768, 5], np.int16)
+    plain = []
+    for k in range(len(pcm) * 16 // 8):
+        at, part = divmod(k * 8, 16)
+        following = int(pcm[min(at + 1, len(pcm) - 1)])
+        plain.append((int(pcm[at]) * (16 - part) + following * part) // 16)
+    assert telephony.resample(pcm, 8, 16).tolist() == plain
 
 
 def test_telephony(edges, none):
     df, rows = edges
     texts = {i: t for i, t, *_ in rows}
-    out = got(telephony.round_trip(df, with_pcm=True))
+    out = got(telephony.round_trip(df))
     assert len(out) == len(rows)
     for r in out:
         n, payload = telephony.payload_of(texts[r["doc_id"]])
@@ -462,3 +473,41 @@ def test_occupancy_never_drops_a_link(spark):
     verdict = {r["i"]: r["p"] for r in df.select("i", near_dedup.possible("sx", "sy", "nx", "ny", 85).alias("p")).collect()}
     assert all(verdict[i] for i in range(400) if exact[i]) and any(exact)
     assert sum(not v for v in verdict.values()) > 50
+
+
+CLASH = "doc_id long, text string, n_chars long, _text string, _blob string, _spans string, row string, body string, blob string, found string, masked string"
+
+
+def test_redaction_of_clashing_columns(spark):
+    """Columns named like those used inside come through, and no unmasked text gets into one."""
+    rows = [(1, "x token: abcdefghijk y", 22, *"abcdefgh"), (1, "x token: abcdefghijk y", 22, *"abcdefgh"), (None, None, None, *"abcdefgh"), (2, "plain", 5, *"abcdefgh")]
+    out = got(blob_ledger.redact(spark.createDataFrame(rows, CLASH)))
+    assert sorted(map(str, (tuple(r.values()) for r in out))) == sorted(map(str, [
+        (1, "x [SECRET] y", 12, *"abcdefgh"), (1, "x [SECRET] y", 12, *"abcdefgh"), (None, None, None, *"abcdefgh"), (2, "plain", 5, *"abcdefgh")]))
+
+
+@pytest.mark.parametrize("name", ["slot", "shard", "key_hash", "_key", "id"])
+def test_placement_by_a_key_of_any_name(spark, name):
+    df = spark.createDataFrame([(k, "x") for k in ("a", "b", None)], f"`{name}` string, other string")
+    out = sharding.place(df, name)
+    assert out.columns == [name, "key_hash", "slot", "shard"]
+    plain = sharding.place(df.withColumnRenamed(name, "plain"), "plain")
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, map(tuple, plain.collect())))
+
+
+def test_mix_is_shuffled_inside_its_shards(spark):
+    rows = [(i, f"w{i} " * (1 + i % 5), "en", f"s{i % 3}") for i in range(300)]
+    df = table(spark, rows)
+    plan = mixing.mixed(mixing.plan_mix(df, shards=4)).collect()
+    parts = mixing.mix_documents(df, shards=4).withColumn("part", F.spark_partition_id()).collect()
+    assert sorted(r["doc_id"] for r in parts) == sorted(r["doc_id"] for r in plan)
+    place, often = {}, Counter(r["doc_id"] for r in plan)
+    for r in plan:
+        place[r["doc_id"]] = (r["shard"], r["sort_key"])
+    by_part = defaultdict(list)
+    for r in parts:
+        by_part[r["part"]].append(r["doc_id"])
+    for ids in by_part.values():
+        once = [place[i] for i in ids if often[i] == 1]
+        assert once == sorted(once)
+    assert any(ids != sorted(ids) for ids in by_part.values())
