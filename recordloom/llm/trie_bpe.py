@@ -1,25 +1,25 @@
-"""Byte-level BPE by walking a trie of the distinct words.
+"""Byte-level BPE by walking the trie of the distinct words depth first.
 
-A text is cut into words by the vocabulary's pattern. Distinct words enter a trie of bytes, depth
-first, and every node keeps the last token of its prefix's encoding: the one vocabulary entry t that
-ends the prefix and may follow the last token of the prefix without t. Two tokens may stand side
-by side if merging by rank would not have joined anything across their border. So the encoding of
-a prefix is worked out once, for all words that share it, and a word's ids are read off by
-stepping back from its node.
+Texts are cut into words by the vocabulary's pattern. The new words of many texts are sorted, which is the depth-first
+order of their trie: the path to a word keeps the stretch that it shares with the word before. Each node on
+the path holds the last token of its prefix's encoding: the one vocabulary entry t that ends the prefix and
+may follow the last token of the prefix without t. Two tokens may stand side by side if merging by rank would
+not have joined anything across their border. So the encoding of a prefix is worked out once for all words that
+share it, and a word's ids are read off by stepping back from its node.
 
 The entries that end a prefix are found by walking back from its last byte through a trie of the
 reversed vocabulary, shortest first, without cutting out a substring; at most one of them may follow.
 
-Trie and memo live in the Python worker, across its batches. The memos of chunks and words have a young and an old half: entries met
-again move to the young one, and when that is full the old one goes, so frequent ones stay. The
-trie is emptied at a fixed number of nodes. Memory is bounded, results do not depend on it.
+Finished words and chunks (words between blanks) are remembered in the Python worker, across its batches. Both memos have a
+young and an old half: entries met again move to the young one, and when that is full the old one goes, so
+frequent ones stay. Memory is bounded, results do not depend on it.
 """
 
 from __future__ import annotations
 
 import json
 from array import array
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -32,7 +32,8 @@ from recordloom.llm.common import prepare
 
 #: Fixed value: the word pattern of the vocabulary family.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-MOST_NODES = 400_000
+#: Characters of texts that are encoded together.
+TOGETHER = 4 << 20
 #: Entries in one half of the memos of chunks and of words.
 MOST_CHUNKS = 150_000
 MOST_BORDERS = 400_000
@@ -85,8 +86,8 @@ def odd_letters(raw: str) -> str:
 class TrieEncoder:
     """Words to ids, with shared prefixes encoded once."""
 
-    def __init__(self, model: dict, most_nodes: int = MOST_NODES):
-        self.most_nodes = most_nodes
+    def __init__(self, model: dict, most_chunks: int = MOST_CHUNKS):
+        self.most_chunks = most_chunks
         self.special = model["special"]
         self.cut = Tokenizer.from_str(model["raw"]).pre_tokenizer
         self.words_of = regex.compile(PATTERN).findall
@@ -101,13 +102,13 @@ class TrieEncoder:
         self.halves: list[tuple[int, int] | None] = [None] * 256 + [(self.rank[a], self.rank[b]) for a, b in model["merges"]]
         self.joined = {pair: r for r, pair in enumerate(self.halves) if pair}
         self.back, self.token_at = self.reversed_trie(births)
-        self.text_of = {ids[t]: t for t in births} | {i: s.encode() for s, i in self.special.items()}
+        texts = {ids[t]: t for t in births} | {i: s.encode() for s, i in self.special.items()}
+        self.texts = pa.array([texts.get(i, b"") for i in range(max(texts) + 1)], pa.binary())
         self.border: dict[int, bool] = {}
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.coded: dict[str, bytes] = {}
         self.coded_before: dict[str, bytes] = {}
-        self.clear()
 
     @staticmethod
     def reversed_trie(births: list[bytes]) -> tuple[dict[int, int], list[int]]:
@@ -125,10 +126,6 @@ class TrieEncoder:
                 token_at[node] = rank
         return step, token_at
 
-    def clear(self) -> None:
-        self.child: dict[int, int] = {}
-        self.last = [-1]
-
     def may_meet(self, left: int, right: int) -> bool:
         """Whether merging by rank leaves the border between two finished tokens alone.
 
@@ -159,15 +156,20 @@ class TrieEncoder:
             else:
                 bound, right = right + 1, b[0]
 
-    def encode_word(self, word: bytes) -> list[int]:
-        """Ids of one word; adds the word's path to the trie."""
-        last, child, back, token_at, border = self.last, self.child, self.back, self.token_at, self.border
-        path, node = [0], 0
-        for end, byte in enumerate(word, 1):
-            key = node << 8 | byte
-            node = child.get(key)
-            if node is None:
-                begin, tail = end, 0
+    def encode_words(self, words: list[bytes]) -> Iterator[bytes]:
+        """The packed ids of sorted words: a walk of their trie, depth first."""
+        back, token_at, border, size, id_of = self.back, self.token_at, self.border, self.size, self.id_of
+        last: list[int] = [-1]  # of the prefixes on the path to the current word
+        before = b""
+        for word in words:
+            shared = 0
+            for x, y in zip(before, word):
+                if x != y:
+                    break
+                shared += 1
+            del last[shared + 1:]
+            for end in range(shared, len(word)):
+                begin, tail = end + 1, 0
                 while True:
                     begin -= 1
                     tail = back[tail << 8 | word[begin]]
@@ -175,67 +177,88 @@ class TrieEncoder:
                     if token >= 0:
                         if not begin:
                             break
-                        before = last[path[begin]]
-                        fits = border.get(before << 20 | token)
-                        if fits or fits is None and self.may_meet(before, token):
+                        left = last[begin]
+                        fits = border.get(left << 20 | token)
+                        if fits or fits is None and self.may_meet(left, token):
                             break
-                child[key] = node = len(last)
                 last.append(token)
-            path.append(node)
-        out, end = [], len(word)
-        while end:
-            token = last[path[end]]
-            out.append(self.id_of[token])
-            end -= self.size[token]
-        out.reverse()
-        return out
+            before = word
+            ids, end = array("i"), len(word)
+            while end:
+                token = last[end]
+                ids.append(id_of[token])
+                end -= size[token]
+            ids.reverse()
+            yield ids.tobytes()
 
     def words(self, text: str) -> list[str]:
         if self.odd is not None and not text.isascii() and self.odd.search(text):
             return [text[a:b] for _, (a, b) in self.cut.pre_tokenize_str(text)]
         return self.words_of(text)
 
-    def encode_chunk(self, chunk: str) -> bytes:
-        if len(self.last) > self.most_nodes:
-            self.clear()
-        if len(self.coded) > MOST_CHUNKS:
-            self.coded_before, self.coded = self.coded, {}
-        coded, before, out = self.coded, self.coded_before, []
-        for word in self.words(chunk):
-            ids = coded.get(word)
-            if ids is None:
-                ids = coded[word] = before.get(word) or array("i", self.encode_word(word.encode())).tobytes()
-            out.append(ids)
-        return b"".join(out)
-
-    def encode(self, text: str) -> bytes:
-        """The ids as packed 32-bit numbers.
+    def encode_all(self, texts: Sequence[str]) -> list[bytes]:
+        """The ids of each text as packed 32-bit numbers.
 
         A blank between two other characters always begins a word, so an even text is cut at its
         blanks first; chunks already seen are not cut into words again.
         """
-        out = []
-        for i, piece in enumerate(self.marks.split(text) if self.marks else [text]):
-            if i % 2:
-                out.append(array("i", [self.special[piece]]).tobytes())
-                continue
-            if UNEVEN.search(piece):
-                out.append(self.encode_chunk(piece))
-                continue
-            first, *rest = piece.split(" ")
-            out.append(self.encode_chunk(first))
-            if len(self.young) > MOST_CHUNKS:
-                self.old, self.young = self.young, {}
-            young, old = self.young, self.old
-            for chunk in sorted(set(rest).difference(young)):  # sorted: the trie is walked depth first
-                known = old.get(chunk)
-                young[chunk] = self.encode_chunk(" " + chunk) if known is None else known
-            out.append(b"".join(map(young.__getitem__, rest)))
-        return b"".join(out)
+        if len(self.young) > self.most_chunks:
+            self.old, self.young = self.young, {}
+        if len(self.coded) > self.most_chunks:
+            self.coded_before, self.coded = self.coded, {}
+        young, old, coded, coded_before = self.young, self.old, self.coded, self.coded_before
+        parts: list[list] = []  # of each text: packed ids, lists of words, or (first words, chunks)
+        fresh: dict[str, list[str]] = {}
+        new: set[str] = set()
+        for text in texts:
+            made: list = []
+            for i, piece in enumerate(self.marks.split(text) if self.marks else [text]):
+                if i % 2:
+                    made.append(array("i", [self.special[piece]]).tobytes())
+                    continue
+                even = not UNEVEN.search(piece)
+                first, *rest = piece.split(" ") if even else (piece,)
+                words = self.words(first)
+                new.update(words)
+                made += [words, tuple(rest)]
+                for chunk in set(rest).difference(young):
+                    known = old.get(chunk)
+                    if known is not None:
+                        young[chunk] = known
+                    elif chunk not in fresh:
+                        fresh[chunk] = words = self.words(" " + chunk)
+                        new.update(words)
+            parts.append(made)
+        todo = {}
+        for word in new.difference(coded):
+            known = coded_before.get(word)
+            if known is None:
+                todo[word.encode()] = word
+            else:
+                coded[word] = known
+        order = sorted(todo)
+        for raw, ids in zip(order, self.encode_words(order)):
+            coded[todo[raw]] = ids
+        for chunk, words in fresh.items():
+            young[chunk] = b"".join(map(coded.__getitem__, words))
+        return [b"".join([p if isinstance(p, bytes) else b"".join(map((young if isinstance(p, tuple) else coded).__getitem__, p)) for p in made])
+                for made in parts]
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_all([text])[0]
+
+    def decode_all(self, lists: pa.ListArray) -> list[str | None]:
+        """Bytes of each list's tokens in order, broken UTF-8 replaced; null stays null."""
+        flat = self.texts.take(lists.flatten())
+        ends = np.frombuffer(flat.buffers()[1], np.int32)[flat.offset:flat.offset + len(flat) + 1]
+        body = memoryview(flat.buffers()[2] or b"")
+        sizes = np.diff(lists.offsets.to_numpy())
+        sizes[np.asarray(lists.is_null())] = 0
+        at = ends[np.concatenate([[0], np.cumsum(sizes)])].tolist()
+        return [str(body[a:b], "utf-8", "replace") if known else None for a, b, known in zip(at, at[1:], lists.is_valid().to_pylist())]
 
     def decode(self, ids: list[int]) -> str:
-        """Bytes of the tokens in order, broken UTF-8 replaced."""
-        return b"".join(map(self.text_of.__getitem__, ids)).decode("utf-8", "replace")
+        return self.decode_all(pa.array([ids], pa.list_(pa.int32())))[0]
 
 
 _CODERS: dict[int, TrieEncoder] = {}
@@ -263,11 +286,26 @@ def encode(docs: DataFrame, path: str, keep: Sequence[str] = ("doc_id",)) -> Dat
 
     def rows(batches):
         coder = coder_for(box.value)
+        held, chars = [], 0
+
+        def flush():
+            """Many batches at once: their new words share one walk."""
+            packed = coder.encode_all([t for _, texts in held for t in texts])
+            at = 0
+            for batch, texts in held:
+                own = packed[at:at + len(texts)]
+                at += len(texts)
+                ends = np.cumsum([0] + [len(p) // 4 for p in own]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(own), np.int32)))
+                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), ids], [*names, "ids"])
         for batch in batches:
-            packed = [coder.encode(t or "") for t in batch.column("_body").to_pylist()]
-            ends = np.cumsum([0] + [len(p) // 4 for p in packed]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), np.int32)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), ids], [*names, "ids"])
+            texts = [t or "" for t in batch.column("_body").to_pylist()]
+            held.append((batch, texts))
+            chars += sum(map(len, texts))
+            if chars > TOGETHER:
+                yield from flush()
+                held, chars = [], 0
+        yield from flush()
 
     kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema.fields[:-1])
     return source.mapInArrow(rows, f"{kept}ids array<int>")
@@ -282,7 +320,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     def rows(batches):
         coder = coder_for(box.value)
         for batch in batches:
-            texts = [None if i is None else coder.decode(i) for i in batch.column("ids").to_pylist()]
+            texts = coder.decode_all(batch.column("ids"))
             yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + [pa.array(texts, pa.string())], [*names, "decoded"])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields if f.name != "decoded")

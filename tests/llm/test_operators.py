@@ -271,7 +271,7 @@ def test_trie_bpe(edges, none):
 
 def test_trie_is_emptied_without_changing_ids():
     model = trie_bpe.load(VOCABULARY, cutting=False)
-    small, large = trie_bpe.TrieEncoder(model, most_nodes=5), trie_bpe.TrieEncoder(model)
+    small, large = trie_bpe.TrieEncoder(model, most_chunks=5), trie_bpe.TrieEncoder(model)
     for text in (PROSE, "aaaaaaaaaaaa bananas  bananarama\n\n!!!???", "éclair日本語 \t x"):
         assert small.encode(text) == large.encode(text)
 
