@@ -60,16 +60,18 @@ def work_shortfall() -> Column:
                                       != F.repeat(F.lit("0"), wanted)), F.lit(False))
 
 
+def own_failure(writer: str | None = None) -> Column:
+    """The first reason for which a record fails by itself, whatever stands before it; null if none."""
+    foreign = F.lit(False) if writer is None else F.col("writer") != writer
+    return (F.when(foreign, "unexpected pubkey").when(_content_bad(), "content_hash mismatch")
+            .when(_record_bad(), "record_hash mismatch").when(work_shortfall(), "proof-of-work below target"))
+
+
 def failures(log: DataFrame, writer: str | None = None, span: int = SPAN) -> DataFrame:
     """Every failing record with the first reason that applies to it."""
-    foreign = F.lit(False) if writer is None else F.col("writer") != writer
     # digests are taken before the shuffle of the look-back, which then moves no content
-    narrow = log.select(
-        "chain_id", "idx", "prior_hash", "record_hash", foreign.alias("_w"), _content_bad().alias("_c"),
-        _record_bad().alias("_r"), work_shortfall().alias("_p"))
-    reason = (F.when(_gap(), "index gap").when(_broken_link(), "prior_hash mismatch")
-              .when(F.col("_w"), "unexpected pubkey").when(F.col("_c"), "content_hash mismatch")
-              .when(F.col("_r"), "record_hash mismatch").when(F.col("_p"), "proof-of-work below target"))
+    narrow = log.select("chain_id", "idx", "prior_hash", "record_hash", own_failure(writer).alias("_own"))
+    reason = F.when(_gap(), "index gap").when(_broken_link(), "prior_hash mismatch").otherwise(F.col("_own"))
     return with_previous(narrow, span).select("chain_id", "idx", reason.alias("reason")).where("reason is not null")
 
 

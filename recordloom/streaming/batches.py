@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from recordloom.operators import ingest, integrity, merkle, mining
+from recordloom.operators import ingest, mining
 from recordloom.operators.governance import supersedes_links
 from recordloom.operators.log import blob_entries
 
@@ -41,38 +41,6 @@ def _start(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint
             .trigger(availableNow=True).start())
 
 
-def verify_stream(stream: DataFrame, out: str, state_dir: str, checkpoint: str, writer: str | None = None) -> StreamingQuery:
-    """Failures of newly arrived records; the head of every chain is carried over."""
-    spark = stream.sparkSession
-    heads = Versions(spark, f"{state_dir}/heads", stream.schema)
-
-    def work(batch: DataFrame, n: int) -> None:
-        old = heads.before(n)
-        rows = batch.select(*stream.columns).unionByName(old)
-        seen = old.select("chain_id", "idx")
-        bad = integrity.failures(rows, writer).join(seen, ["chain_id", "idx"], "left_anti")
-        bad.write.mode("overwrite").parquet(f"{out}/v={n}")
-        newest = rows.groupBy("chain_id").agg(F.max_by(F.struct(*stream.columns), "idx").alias("r")).select("r.*")
-        heads.write(n, newest)
-    return _start(stream, work, checkpoint)
-
-
-def seal_stream(stream: DataFrame, out: str, state_dir: str, checkpoint: str, size: int = 64) -> StreamingQuery:
-    """Seals complete runs; what is left of each chain (under one run) waits in the state table."""
-    spark = stream.sparkSession
-    pending = Versions(spark, f"{state_dir}/pending", "chain_id long, idx long, record_hash string")
-
-    def work(batch: DataFrame, n: int) -> None:
-        rows = pending.before(n).unionByName(batch.select("chain_id", "idx", "record_hash"))
-        base = rows.groupBy("chain_id").agg((F.min("idx") - 1).alias("last_idx"))
-        sealed = merkle.seal_batches(rows, base, size, full_only=True)
-        sealed.write.mode("overwrite").parquet(f"{out}/v={n}")
-        done = spark.read.parquet(f"{out}/v={n}").groupBy("chain_id").agg(F.max("last_idx").alias("_done"))
-        left = rows.join(done, "chain_id", "left").where(F.col("_done").isNull() | (F.col("idx") > F.col("_done")))
-        pending.write(n, left)
-    return _start(stream, work, checkpoint)
-
-
 def index_stream(stream: DataFrame, embed, out: str, state_dir: str, checkpoint: str) -> StreamingQuery:
     """Embeds records without chunk rows. `embed` maps a text column to a vector, or null on
     failure; failed records wait in the state table and are tried again with the next batch."""

@@ -1,10 +1,14 @@
+import uuid
+
 from pyspark.sql import functions as F
 
 from recordloom.functions.hashing import hmac_sha256
 from recordloom.operators import governance, integrity, merkle, quorum, semantic, stats
 from recordloom.operators.blocks import positions
+from recordloom.session import shared_dir, stored
 from recordloom.sources import logs
-from recordloom.workload.logs_sql import CONV_LINKED, EVENTS, EVENTS_LINKED, GOV, merkle_levels
+from recordloom.sources.guarded import GuardedLog
+from recordloom.workload.logs_sql import CONV_LINKED, EVENTS, EVENTS_LINKED, GOV, defaults_values, merkle_levels
 from recordloom.workload.registry import query
 
 
@@ -368,3 +372,39 @@ select o.chain_id, o.idx, o.rec_type, o.content_json as original, correction_idx
 from nw join lg o using (chain_id, idx) join lg c on c.chain_id=nw.chain_id and c.idx=correction_idx""")
 def _(spark, sf):
     return governance.corrections(logs.unlinked(logs.events_rows(spark, sf)))
+
+
+# --- guarded appends --------------------------------------------------------------------------
+def _guarded_sql() -> str:
+    def judged(name, parity, log, count):
+        return f"""
+{name}j as (select r.*, case when r.rec_type='revision' and b.event_id is null then 'no such record' when r.rec_type='revision' and z.zone is not null then 'protected zone: ' || z.zone end as reason
+  from r left join {log} b on b.chain_id=r.chain_id and b.idx=r.target left join z on z.event_id=b.event_id where o>=10 and k%2={parity}),
+{name}a as (select chain_id, event_id, n + row_number() over (partition by chain_id order by o)-1 as idx from {name}j join {count} using (chain_id) where reason is null)"""
+    return EVENTS + ",\n" + defaults_values() + """,
+z as (select event_id, case when rec_type in ('genesis','system_prompt','principle') then rec_type when coalesce(lg.exposure, d_exposure, 'private')='summary' then 'summary-exposure record' end as zone from lg left join df using (rec_type)),
+r as (select chain_id, event_id, idx as o, k, rec_type, case when rec_type='revision' then idx-1-k%8 end as target from lg),
+l0 as (select chain_id, event_id, o as idx from r where o<10),
+n0 as (select chain_id, count(*) as n from l0 group by 1),""" + judged("a", 0, "l0", "n0") + """,
+l1 as (select * from l0 union all select * from aa),
+n1 as (select chain_id, count(*) as n from l1 group by 1),""" + judged("b", 1, "l1", "n1") + """
+select chain_id, event_id, idx, cast(null as varchar) as reason from l1 union all select chain_id, event_id, idx, null from ba
+union all select chain_id, event_id, null, reason from aj where reason is not null union all select chain_id, event_id, null, reason from bj where reason is not null"""
+
+
+@query("c16_guarded_append", _guarded_sql())
+def _(spark, sf):
+    """Two writers prepare on the same version; the second loses, and is judged and linked on the first one's heads."""
+    rows = stored(logs.events_rows(spark, sf).withColumn("k", F.get_json_object("content_json", "$.k").cast("long")).withColumn(
+        "target", F.when(F.col("rec_type") == "revision", F.col("seq") - 1 - F.pmod("k", F.lit(8)))))
+    table = GuardedLog(spark, f"{shared_dir(spark).rstrip('/')}/guarded-{uuid.uuid4().hex}")
+    table.append(rows.where("seq < 10").withColumn("target", F.lit(None).cast("long")))
+    first, second = rows.where("seq >= 10 and k % 2 = 0"), rows.where("seq >= 10 and k % 2 = 1")
+    early, late = table.prepare(first), table.prepare(second)
+    if not table.publish(early) or table.publish(late):
+        raise RuntimeError("one of two writers on one version must win")
+    table.drop(late)
+    table.append(second)
+    event = F.get_json_object("content_json", "$.event_id").cast("long").alias("event_id")
+    taken = table.read().select("chain_id", event, "idx", F.lit(None).cast("string").alias("reason"))
+    return taken.unionByName(table.rejects().select("chain_id", event, F.lit(None).cast("long").alias("idx"), "reason"))

@@ -9,7 +9,7 @@ from recordloom.functions.chunking import chunk_table_function
 from recordloom.operators import audit, bundle, mining, quorum
 from recordloom.session import shared_dir, stored
 from recordloom.sources import files as fs, logs
-from recordloom.streaming import batches, stateful
+from recordloom.streaming import batches, keyed, stateful
 from recordloom.workload.integrity_queries import HEADS, RUNS, TAMPERED, WITNESSES, tampered
 from recordloom.workload.logs_sql import CONV, EVENTS, GOV, merkle_levels
 from recordloom.workload.corpus_queries import _OM, DATA_DOMAINS, KEY, _BN, doc_log, exported, faculty_rows, mined
@@ -52,14 +52,14 @@ select chain_id, idx, case when idx<>coalesce(prev_idx+1,0) then 'index gap' whe
 where idx<>coalesce(prev_idx+1,0) or prior_hash<>coalesce(prev_hash,repeat('0',64)) or forged""")
 def _(spark, sf):
     stream = arriving(spark, tampered(spark, sf))
-    return job(spark, lambda o, s, c: batches.verify_stream(stream, o, s, c)).select("chain_id", "idx", "reason")
+    return drained(spark, keyed.verify_stream(stream))
 
 
 @query("r03_seal_stream", RUNS + ",\n" + merkle_levels("lv", "rk", 6) + """
 select chain_id, first_idx, last_idx, t6.h as root_hash from bt join t6 using (rk) where leaves=64""")
 def _(spark, sf):
-    stream = arriving(spark, logs.events_log(spark, sf).select("chain_id", "idx", "record_hash"))
-    return job(spark, lambda o, s, c: batches.seal_stream(stream, o, s, c)).select("chain_id", "first_idx", "last_idx", "root_hash")
+    stream = arriving(spark, logs.events_log(spark, sf).select("chain_id", "idx", "record_hash", "ts_ms"))
+    return drained(spark, keyed.seal_stream(stream)).select("chain_id", "first_idx", "last_idx", "root_hash")
 
 
 @query("r04_index_stream", CONV + " select chain_id, idx, 64 as dim from lg")
