@@ -44,8 +44,8 @@ def test_seal_stream_equals_batch(spark, make_rows, tmp_path):
 
 def test_late_and_repeated_records(spark, make_rows, tmp_path):
     """Parts in the wrong order and twice give what the log in order gives; a timer judges a hole that stays."""
-    rows = sample(make_rows, 20).where("chain_id = 1 and idx <> 13").toPandas()
-    schema = sample(make_rows, 2).schema
+    log = logs.append(make_rows([(1, i, "observation", "{}", False, 1_000_000 + 1000 * i) for i in range(20)]))
+    rows, schema = log.where("idx <> 13").toPandas(), log.schema
 
     def arrive(low, high):
         spark.createDataFrame(rows[(rows.idx >= low) & (rows.idx < high)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
