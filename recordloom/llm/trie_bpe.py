@@ -33,10 +33,10 @@ from recordloom.llm.common import prepare
 #: Fixed value: the word pattern of the vocabulary family.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters of texts that are encoded together.
-TOGETHER = 4 << 20
+TOGETHER = 2 << 20
 #: Entries in one half of the memos of chunks and of words.
-MOST_CHUNKS = 150_000
-MOST_BORDERS = 400_000
+MOST_CHUNKS = 100_000
+MOST_BORDERS = 200_000
 #: White space beside a blank: only then may a blank not begin a word of its own.
 UNEVEN = regex.compile(r"\s | \s")
 
@@ -102,8 +102,6 @@ class TrieEncoder:
         self.halves: list[tuple[int, int] | None] = [None] * 256 + [(self.rank[a], self.rank[b]) for a, b in model["merges"]]
         self.joined = {pair: r for r, pair in enumerate(self.halves) if pair}
         self.back, self.token_at = self.reversed_trie(births)
-        texts = {ids[t]: t for t in births} | {i: s.encode() for s, i in self.special.items()}
-        self.texts = pa.array([texts.get(i, b"") for i in range(max(texts) + 1)], pa.binary())
         self.border: dict[int, bool] = {}
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -247,6 +245,14 @@ class TrieEncoder:
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
 
+
+class Decoder:
+    """Ids to text. Held apart from the encoder, whose tables a decoding worker has no use for."""
+
+    def __init__(self, model: dict):
+        texts = {i: t for t, i in model["ids"].items()} | {i: s.encode() for s, i in model["special"].items()}
+        self.texts = pa.array([texts.get(i, b"") for i in range(max(texts) + 1)], pa.binary())
+
     def decode_all(self, lists: pa.ListArray) -> list[str | None]:
         """Bytes of each list's tokens in order, broken UTF-8 replaced; null stays null."""
         flat = self.texts.take(lists.flatten())
@@ -261,14 +267,14 @@ class TrieEncoder:
         return self.decode_all(pa.array([ids], pa.list_(pa.int32())))[0]
 
 
-_CODERS: dict[int, TrieEncoder] = {}
+_CODERS: dict[tuple, TrieEncoder | Decoder] = {}
 
 
-def coder_for(model: dict) -> TrieEncoder:
-    """One encoder for each vocabulary in a Python worker, kept from task to task."""
-    key = hash((model["raw"], model["odd"]))
+def coder_for(model: dict, kind: type):
+    """One encoder or decoder for each vocabulary in a Python worker, kept from task to task."""
+    key = kind, hash((model["raw"], model["odd"]))
     if key not in _CODERS:
-        _CODERS[key] = TrieEncoder(model)
+        _CODERS[key] = kind(model)
     return _CODERS[key]
 
 
@@ -285,7 +291,7 @@ def encode(docs: DataFrame, path: str, keep: Sequence[str] = ("doc_id",)) -> Dat
     names = list(keep)
 
     def rows(batches):
-        coder = coder_for(box.value)
+        coder = coder_for(box.value, TrieEncoder)
         held, chars = [], 0
 
         def flush():
@@ -314,11 +320,12 @@ def encode(docs: DataFrame, path: str, keep: Sequence[str] = ("doc_id",)) -> Dat
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """Adds `decoded` to a frame that has `ids`; null ids give null."""
     spark = prepare(encoded.sparkSession)
-    box = spark.sparkContext.broadcast(load(path, cutting=False))
+    model = load(path, cutting=False)
+    box = spark.sparkContext.broadcast({**model, "merges": []})
     names = [c for c in encoded.columns if c != "decoded"]
 
     def rows(batches):
-        coder = coder_for(box.value)
+        coder = coder_for(box.value, Decoder)
         for batch in batches:
             texts = coder.decode_all(batch.column("ids"))
             yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + [pa.array(texts, pa.string())], [*names, "decoded"])
