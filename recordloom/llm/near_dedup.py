@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from recordloom.llm.common import prepare
-from recordloom.session import stored
+from recordloom.session import discard, stored
 
 SHINGLE = 5
 BINS = 192
@@ -41,6 +41,8 @@ PERCENT = 85
 GROWTH = 64
 #: Bits of a set's occupancy map, see `possible`.
 MAP_BITS = 256
+#: Bits of the map of documents whose sets are wanted (8 MB whatever their number; a full one lets all pass).
+WANTED_BITS = 1 << 26
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -54,7 +56,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Hasher:
     """Shingle sets of texts. Word hashes are kept between texts, up to a bound."""
 
-    def __init__(self, shingle: int = SHINGLE, most_words: int = 500_000):
+    def __init__(self, shingle: int = SHINGLE, most_words: int = 100_000):
         self.shingle, self.most_words = shingle, most_words
         self.known: dict[bytes, int] = {}
 
@@ -157,17 +159,38 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def shingle_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and its whole set."""
+def _slot(doc_id: str) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(WANTED_BITS))
+
+
+def wanted_map(ids: DataFrame) -> np.ndarray:
+    """A bit for the hash of each doc_id, in bytes. Parts of it are made in the tasks; its size is fixed."""
+    out = np.zeros(WANTED_BITS // 8, np.uint8)
+    parts = (ids.select((_slot("doc_id") + 1).alias("at"))
+             .groupBy(F.bitmap_bucket_number("at").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")))
+    for r in parts.collect():
+        bits = np.frombuffer(r["bits"], np.uint8)
+        out[(r["part"] - 1) * len(bits):r["part"] * len(bits)] = bits
+    return out
+
+
+def shingle_sets(docs: DataFrame, shingle: int = SHINGLE, wanted: np.ndarray | None = None) -> DataFrame:
+    """doc_id and its whole set. With a `wanted` map, of the documents in it alone (and the few that share their bits),
+    so that no text is moved to find them."""
+    box = None if wanted is None else docs.sparkSession.sparkContext.broadcast(wanted)
+
     def rows(batches):
         hasher = Hasher(shingle)
         for batch in batches:
+            if box is not None:
+                at = batch.column(2).to_numpy()
+                batch = batch.filter(pa.array(box.value[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1))
             sets = [hasher.shingles(t).view(np.int64) for t in batch.column(1).to_pylist()]
             ends = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])))],
                 ["doc_id", "members"])
-    return _texts(docs).mapInArrow(rows, "doc_id long, members array<long>")
+    return _texts(docs).where("doc_id is not null").withColumn("at", _slot("doc_id")).mapInArrow(rows, "doc_id long, members array<long>")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -228,8 +251,8 @@ def link(docs: DataFrame, bins: int = BINS, band: int = BAND, percent: int = PER
     rank = members.groupBy("doc_id").agg(F.sum("size").alias("mates"))
     members = stored(members.join(rank, "doc_id").select("key", "doc_id", "n", (-F.col("mates")).alias("mates")))
     involved = members.select("doc_id").distinct()
-    sets = stored(shingle_sets(_texts(docs).join(involved, "doc_id", "left_semi"), shingle))
-
+    near = shingle_sets(docs, shingle, wanted_map(involved))
+    sets = stored(near.join(involved, "doc_id", "left_semi"))
     sketches = stored(reps.join(involved, "doc_id", "left_semi").select("doc_id", "keys", "slots"))
 
     def offered(centers: DataFrame, crowd: DataFrame, once: bool) -> DataFrame:
@@ -237,16 +260,19 @@ def link(docs: DataFrame, bins: int = BINS, band: int = BAND, percent: int = PER
         that shares several buckets is offered only in the one of least key: a bucket stays open as
         long as it holds two components, so no pair misses its turn there. ra and rb are the roots."""
         def side(rows: DataFrame, end: str) -> DataFrame:
-            return rows.join(sketches, "doc_id").select(
-                "key", F.col("doc_id").alias(end), F.col("n").alias(f"_n{end}"), F.col("root").alias(f"_r{end}"),
-                F.col("slots").alias(f"_s{end}"), *([F.col("keys").alias(f"_k{end}")] if once else []))
+            return rows.join(sketches.select("doc_id", "slots"), "doc_id").select(
+                "key", F.col("doc_id").alias(end), F.col("n").alias(f"_n{end}"), F.col("root").alias(f"_r{end}"), F.col("slots").alias(f"_s{end}"))
         pairs = (side(centers, "x").join(side(crowd, "y"), "key").where("_rx <> _ry")
                  .where(F.least("_nx", "_ny") * 100 >= F.greatest("_nx", "_ny") * percent)
                  .where(possible("_sx", "_sy", "_nx", "_ny", percent)))
+        pairs = pairs.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.least("_rx", "_ry").alias("ra"),
+                              F.greatest("_rx", "_ry").alias("rb")).agg(F.min("key").alias("key"))
         if once:
-            pairs = pairs.where(F.array_min(F.array_intersect("_kx", "_ky")) == F.col("key"))
-        return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"),
-                            F.least("_rx", "_ry").alias("ra"), F.greatest("_rx", "_ry").alias("rb")).distinct()
+            # band keys are met by the few pairs that are left, not by every row of every bucket
+            for end in ("a", "b"):
+                pairs = pairs.join(sketches.select(F.col("doc_id").alias(end), F.col("keys").alias(f"_k{end}")), end)
+            pairs = pairs.where(F.array_min(F.array_intersect("_ka", "_kb")) == F.col("key"))
+        return pairs.select("a", "b", "ra", "rb")
 
     # each round's links join components of the round before, so only roots are linked anew
     ties = stored(ties)
@@ -254,11 +280,12 @@ def link(docs: DataFrame, bins: int = BINS, band: int = BAND, percent: int = PER
     current = members.withColumn("root", F.col("doc_id"))
     for roots in merges:
         current = moved(current, roots, "root")
-    take = 1
+    take, spent = 1, []
     while True:
         # the buckets that still hold more than one component, and their next centers
         mixed = current.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count("*").alias("_left")).where("_lo <> _hi")
         open_rows = stored(current.join(mixed.select("key"), "key", "left_semi"))
+        discard(*spent)  # tables of the round before, of which nothing more is read
         if open_rows.isEmpty():
             break
         if take == 1:
@@ -276,6 +303,7 @@ def link(docs: DataFrame, bins: int = BINS, band: int = BAND, percent: int = PER
         if not found.isEmpty():
             merges.append(components(found))
             current = moved(current, merges[-1], "root")
+        spent = [open_rows, first]
         take *= GROWTH
     by_class = classes.select("digest", F.col("rep").alias("component_id"))
     for roots in merges:
