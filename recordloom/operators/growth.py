@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from recordloom import fixed_values as fv
 from recordloom.functions import signals as sg, text as tx
+from recordloom.operators.setjoin import by_overlap, match_registry, similar_sets
 
 
 def name_tokens(text: Column, stop: Sequence[str] = fv.STOPWORDS) -> Column:
@@ -30,27 +31,16 @@ def with_tokens(registry: DataFrame, stop: Sequence[str] = fv.STOPWORDS) -> Data
 def faculty_gap(inputs: DataFrame, registry: DataFrame, key: str = "input_id", stop: Sequence[str] = fv.STOPWORDS) -> DataFrame:
     """How far a registry (with tokens) covers each input (key, text): coverage, dissonance 0..255,
     uncovered words and the five faculties that share most words."""
-    words = inputs.select(key, name_tokens(F.col("text"), stop).alias("_ws"))
-    said = words.select(key, F.explode("_ws").alias("word"))
-    known = registry.select("id", "name", "kind", F.explode("tokens").alias("word"))
-    shared = said.join(known, "word")
-    covered = shared.select(key, "word").distinct()
-    counts = covered.groupBy(key).agg(F.count("*").alias("_covered"))
-    open_ = (said.join(covered, [key, "word"], "left_anti").groupBy(key)
-             .agg(F.collect_list("word").alias("_u")))  # words of one input
-    acts = shared.groupBy(key, "id", "name", "kind").agg(F.count("*").alias("matched"))
-    place = F.row_number().over(W.partitionBy(key).orderBy(F.desc("matched"), "kind", "id"))
-    top = (acts.withColumn("_p", place).where("_p <= 5").groupBy(key).agg(F.transform(
-        F.sort_array(F.collect_list(F.struct("_p", "id", "name", "kind", "matched"))),
-        lambda s: s.dropFields("_p")).alias("top_activated")))
-    n = F.size("_ws")
-    ratio = F.when(n == 0, 1.0).otherwise(F.coalesce("_covered", F.lit(0)) / n)
-    by_length = F.transform(F.sort_array(F.transform("_u", lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w")))), lambda s: s["w"])
-    none = F.array().cast("array<string>")
-    return (words.join(counts, key, "left").join(open_, key, "left").join(top, key, "left").select(
+    met = match_registry(inputs.select(key, name_tokens(F.col("text"), stop).alias("words")), key, registry, 5)
+    n, covered = F.size("words"), F.size("covered")
+    ratio = F.when(n == 0, 1.0).otherwise(covered / n)
+    rest = F.array_except("words", "covered")
+    by_length = F.transform(F.sort_array(F.transform(rest, lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w")))), lambda s: s["w"])
+    top = F.transform("hits", lambda h: F.struct(h["id"].alias("id"), h["name"].alias("name"), h["kind"].alias("kind"), h["matched"].alias("matched")))
+    return met.select(
         key, n.alias("n_words"), F.round(ratio, 3).alias("coverage_ratio"),
         F.greatest(F.lit(0), F.least(F.lit(255), F.bround((1 - ratio) * 255))).cast("int").alias("dissonance"),
-        F.coalesce(by_length, none).alias("uncovered"), "top_activated"))
+        by_length.alias("uncovered"), F.when(F.size("hits") > 0, top).alias("top_activated"))
 
 
 def propose_faculties(gaps: DataFrame, inputs: DataFrame, registry: DataFrame, key: str = "input_id",
@@ -94,10 +84,8 @@ def match_emergent(proposals: DataFrame, emergent: DataFrame, key: str = "input_
     p = proposals.select(key, "name", "parents", "seed_terms")
     by_name = p.join(e, F.col("name") == F.col("_n")).select(key, "eid", "ordinal")
     by_parents = p.where(F.size("parents") > 0).join(e, F.col("parents") == F.col("_p")).select(key, "eid", "ordinal")
-    terms = p.select(key, F.size("seed_terms").alias("_a"), F.explode("seed_terms").alias("t"))
-    theirs = e.select("eid", "ordinal", F.size("_s").alias("_b"), F.explode("_s").alias("t"))
-    by_terms = (terms.join(theirs, "t").groupBy(key, "eid", "ordinal", "_a", "_b").agg(F.count("*").alias("_i"))
-                .where(F.col("_i") / (F.col("_a") + F.col("_b") - F.col("_i")) >= 0.5).select(key, "eid", "ordinal"))
+    alike = similar_sets(p.select(F.col(key).alias("l"), F.col("seed_terms").alias("words")), e.select(F.col("eid").alias("r"), F.col("_s").alias("words")))
+    by_terms = alike.join(e.select("eid", "ordinal"), F.col("r") == F.col("eid")).select(F.col("l").alias(key), "eid", "ordinal")
     return (by_name.unionByName(by_parents).unionByName(by_terms).groupBy(key)
             .agg(F.min_by("eid", "ordinal").alias("eid")))
 
@@ -124,13 +112,9 @@ def grow(proposals: DataFrame, emergent: DataFrame, key: str = "input_id") -> Da
 
 def lens_ranking(queries: DataFrame, registry: DataFrame, k: int, key: str = "query_id") -> DataFrame:
     """Faculties by shared words plus overlap ratio; only those that share a word are ranked."""
-    q = queries.select(key, F.array_distinct(tx.tokenize(F.col("text"))).alias("_w"))
-    said = q.select(key, F.size("_w").alias("_nq"), F.explode("_w").alias("word"))
-    known = registry.select("kind", "id", F.size("tokens").alias("_nt"), F.explode("tokens").alias("word"))
-    pairs = said.join(known, "word").groupBy(key, "kind", "id", "_nq", "_nt").agg(F.count("*").alias("_i"))
-    scored = pairs.withColumn("score", F.col("_i") + F.col("_i") / (F.col("_nq") + F.col("_nt") - F.col("_i")))
-    place = F.row_number().over(W.partitionBy(key).orderBy(F.desc("score"), "kind", "id"))
-    return scored.withColumn("rank", place).where(F.col("rank") <= k).select(key, "kind", "id", "score", "rank")
+    q = queries.select(key, F.array_distinct(tx.tokenize(F.col("text"))).alias("words"))
+    ranked = match_registry(q, key, registry, k, by_overlap).select(key, F.posexplode("hits").alias("_p", "h"))
+    return ranked.select(key, "h.kind", "h.id", "h.score", (F.col("_p") + 1).alias("rank"))
 
 
 # --- pattern detectors -----------------------------------------------------------------

@@ -530,7 +530,22 @@ def _(spark, sf):
     return growth.propose_faculties(growth.faculty_gap(i, reg), i, reg).select("input_id", "origin", "dissonance")
 
 
-@query("c15_faculty_growth")
+@query("c15_faculty_growth", _GP + f""",
+us as (select doc_id, list(w order by p) as u from un group by 1),
+p0 as (select gp.doc_id, round_even((1-ratio)*255,0)::int as ds, a.id as ia, b.id as ib, a.kind as ka, b.kind as kb, coalesce(a.m>=2 and b.m>=2,false) and round_even((1-ratio)*255,0)<{fv.SPROUT_AT} as fuse,
+ list_has_any(ws, {list(fv.REASON_VERBS)}) as reasons, coalesce(u, []) as u, list_filter(coalesce(u, []), lambda w: length(w)>=4) as lu
+ from gp join iw0 using (doc_id) left join us using (doc_id) left join ac a on a.doc_id=gp.doc_id and a.p=1 left join ac b on b.doc_id=gp.doc_id and b.p=2),
+p1 as (select *, case when len(lu)>0 then lu[1:6] else u[1:6] end as sd, case when fuse then case when ka='sense' and kb='sense' then 'sense' else 'modality' end when reasons then 'modality' else 'sense' end as kind from p0 where ds>{fv.DISSONANCE_FLOOR}),
+pp as (select doc_id, kind, case when fuse then 'Faculty ' || substr(ia,6) || ' × Faculty ' || substr(ib,6) || ' Fusion' else case when len(sd)>0 then array_to_string(list_transform(sd[1:2], lambda w: upper(w[1]) || w[2:]),'-') else 'Novel' end
+  || case when kind='sense' then ' Sensing' else ' Reasoning' end end as name, case when fuse then [ia, ib] else [] end as parents, case when fuse then [] else sd end as seeds from p1),
+em as (select name, arg_min(kind, doc_id) as kind, arg_min(parents, doc_id) as parents, arg_min(seeds, doc_id) as seeds, min(doc_id) as o from pp where doc_id%5=0 group by 1),
+hit as (select pp.doc_id, arg_min('E' || o, o) as eid from pp join em on pp.name=em.name or (len(pp.parents)>0 and pp.parents=em.parents) or (len(list_intersect(pp.seeds, em.seeds))>0
+  and 2*len(list_intersect(pp.seeds, em.seeds)) >= len(pp.seeds)+len(em.seeds)-len(list_intersect(pp.seeds, em.seeds))) group by 1),
+sn as (select eid, count(*) as more from hit group by 1),
+gr as (select 'E' || o as eid, name, kind, 1+coalesce(more,0) as recurrence, more is not null as touched, 'emergent' as status from em left join sn on sn.eid='E' || o
+ union all select null, name, arg_min(kind, doc_id), count(*), true, 'new' from pp where doc_id not in (select doc_id from hit) group by name)
+select eid, name, kind, recurrence, case when not touched then 'kept' when recurrence>={fv.PROMOTE_AT} then 'promoted' when status='new' then 'born' else 'recurrence' end as action,
+ case when touched and recurrence>={fv.PROMOTE_AT} then 'promoted' else 'emergent' end as status from gr""")
 def _(spark, sf):
     reg, i = stored(faculty_rows(spark, sf)), stored(inputs(spark, sf))
     prop = stored(growth.propose_faculties(growth.faculty_gap(i, reg), i, reg))
