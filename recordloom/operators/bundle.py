@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from recordloom.functions.hashing import canonical_json, hmac_sha256, record_message_parts
 from recordloom.operators.merkle import merkle_roots
-from recordloom.operators.blocks import SPAN, global_positions, positions
+from recordloom.operators.blocks import SPAN, positions
 from recordloom.operators.meta import resolve_meta
+from recordloom.session import stored
 
 VERSION = 2
 STRENGTH = ["known", "user_context", "inferred", "speculative", "disputed"]
@@ -118,18 +119,50 @@ def demote(epistemic: Column) -> Column:
     return F.when(epistemic.isin("speculative", "disputed"), epistemic).otherwise("inferred")
 
 
+#: Imported records go to so many chains, numbered from here on.
+IMPORT_CHAINS, IMPORT_BASE = 4096, 1 << 40
+
+
 def imported_ids(log: DataFrame) -> DataFrame:
+    """Bundle ids that a log holds, for a ledger that was lost."""
     return (log.where("rec_type = 'imported_capsule'")
             .select(F.get_json_object("content_json", "$.bundle_id").alias("bundle_id")).distinct())
 
 
-def import_bundle(log: DataFrame, headers: DataFrame, records: DataFrame, key_hex: str, chain_id: int,
-                  ts_ms: int) -> DataFrame:
-    """Rows to append to one chain from all bundles that verify and were not imported before."""
+def record_imports(ids: DataFrame, path: str) -> None:
+    """Add bundle ids to the ledger of imports, in folders by their first byte."""
+    ids.select("bundle_id", F.substring("bundle_id", 1, 2).alias("part")).write.mode("append").partitionBy("part").parquet(path)
+
+
+def known_imports(spark, path: str) -> DataFrame:
+    """The ledger; a join on `part` and `bundle_id` reads only the folders of the asked ids."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    schema = "bundle_id string, part string"
+    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+
+
+def import_chain(bundle_id: Column, chains: int = IMPORT_CHAINS, base: int = IMPORT_BASE) -> Column:
+    """The chain of a bundle: by its id, so that the bundles of one origin spread and a bundle stays together."""
+    return F.lit(base) + F.pmod(F.conv(F.substring(bundle_id, 1, 15), 16, 10).cast("long"), F.lit(chains))
+
+
+def import_bundle(headers: DataFrame, records: DataFrame, key_hex: str, known: DataFrame, ts_ms: int,
+                  chains: int = IMPORT_CHAINS, base: int = IMPORT_BASE) -> tuple[DataFrame, DataFrame]:
+    """(rows to append, ids for the ledger) of all bundles that verify and are not in the ledger `known`.
+
+    Each bundle goes to one of `chains` chains, those of a chain in order of their ids. The places of its records
+    follow from the counts of the bundles before, so only headers are ranked and no record meets
+    another; linking then runs chain by chain in as many tasks.
+    """
     good = verify_bundle(headers, records, key_hex).where("ok").select("bundle_key")
-    mine = log.where(F.col("chain_id") == chain_id)
-    fresh = headers.join(good, "bundle_key", "left_semi").join(imported_ids(mine), "bundle_id", "left_anti")
-    rows = records.join(fresh.select("bundle_key", "bundle_id", "origin"), "bundle_key")
+    part = F.substring("bundle_id", 1, 2).alias("part")
+    fresh = (headers.join(good, "bundle_key", "left_semi").dropDuplicates(["bundle_id"]).select("bundle_key", "bundle_id", part, "origin", "record_count")
+             .join(known.select("part", "bundle_id"), ["part", "bundle_id"], "left_anti"))
+    before = W.partitionBy("chain_id").orderBy("bundle_id").rowsBetween(W.unboundedPreceding, -1)  # one row per bundle
+    placed = stored(fresh.withColumn("chain_id", import_chain(F.col("bundle_id"), chains, base))
+                    .withColumn("_start", F.coalesce(F.sum("record_count").over(before), F.lit(0))))
+    rows = records.join(placed.select("bundle_key", "bundle_id", "origin", "chain_id", "_start"), "bundle_key")
     meta = F.concat(F.lit('{"confidence":0.6,"epistemic_class":"'), demote(F.col("epistemic_class")),
                     F.lit('","exposure":"private","salience":0.35,"schema_version":3,"source":"peer_agent"}'))
     content = F.concat(
@@ -137,12 +170,11 @@ def import_bundle(log: DataFrame, headers: DataFrame, records: DataFrame, key_he
         F.lit(',"origin":"'), F.col("origin"), F.lit('","origin_index":'), F.col("idx").cast("string"),
         F.lit(',"origin_record_hash":"'), F.col("record_hash"), F.lit('","origin_redacted":'), F.col("redacted").cast("string"),
         F.lit(',"origin_type":"'), F.col("rec_type"), F.lit('"}'))
-    places = global_positions(rows.select("bundle_key", "pos"), ["bundle_key", "pos"], "_n")  # narrow rows only
-    placed = rows.join(places, ["bundle_key", "pos"]).withColumn("seq", (F.col("_n") - 1).cast("long"))
-    return placed.select(
-        F.lit(chain_id).cast("long").alias("chain_id"), "seq", F.lit(ts_ms).cast("long").alias("ts_ms"),
+    out = rows.select(
+        "chain_id", (F.col("_start") + F.col("pos")).cast("long").alias("seq"), F.lit(ts_ms).cast("long").alias("ts_ms"),
         F.lit("imported_capsule").alias("rec_type"), content.alias("content_json"),
         F.array().cast("array<string>").alias("refs"), F.lit("w0").alias("writer"), F.lit(False).alias("cites_prior"))
+    return out, placed.select("bundle_id")
 
 
 def write_bundle(headers: DataFrame, records: DataFrame, path: str) -> None:

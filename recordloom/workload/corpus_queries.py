@@ -675,15 +675,25 @@ def _(spark, sf):
     return bundle.verify_bundle(*damaged(spark, sf), KEY).select("bundle_key", "ok", "message")
 
 
-@query("c11_j11_imported_bundles")
-def _(spark, sf):
+@query("c11_j11_imported_bundles", _BN + ",\nlv as (select bundle_key, pos, record_hash as h from bx),\n" + merkle_levels("lv", "bundle_key", 8) + f""",
+c as (select bundle_key, count(*) as n, max(case when pos=1 and ex<>'summary' then idx end) as second, any_value((chain_id//1048576)%6) as m from bx group by 1),
+ok as (select bundle_key, c.n, sha256('{{"created_at":1700000000000,"format_version":2,"merkle_root":"' || h || '","note":"n","origin":"' || split_part(bundle_key,':',2) || '","record_count":' || c.n || ',"title":"t"}}') as bundle_id
+  from c join t8 using (bundle_key) where not ((m=1 and second is not null) or m=2 or m=3)),
+pl as (select *, {bundle.IMPORT_BASE} + cast('0x' || substr(bundle_id,1,15) as bigint) % {bundle.IMPORT_CHAINS} as chain from ok),
+st as (select *, coalesce(sum(n) over (partition by chain order by bundle_key not like '%:w1', bundle_id rows between unbounded preceding and 1 preceding),0)::bigint as start from pl)
+select chain as chain_id, start+pos as idx, 'imported_capsule' as rec_type, record_hash as origin_record_hash, 'inferred' as epistemic_class from bx join st using (bundle_key)""")
+def _(spark, sf):
+    """Some bundles first, then all of them: what the ledger knows is not imported again."""
     headers, records = damaged(spark, sf)
-    target = stored(logs.conversation_log(spark, sf))
-    first = stored(logs.append(bundle.import_bundle(target, headers.where("bundle_key like '%:w1'"), records, KEY, 0, 1_700_000_000_001), logs.heads(target)))
-    again = bundle.import_bundle(target.unionByName(first), headers, records, KEY, 0, 1_700_000_000_002)
-    rows = logs.append(again, logs.heads(target.unionByName(first)))
-    return first.unionByName(rows).select("chain_id", "idx", "rec_type", F.get_json_object("content_json", "$.origin_record_hash").alias("origin_record_hash"),
-                                          F.get_json_object("content_json", "$._meta.epistemic_class").alias("epistemic_class"))
+    ledger = f"{shared_dir(spark).rstrip('/')}/imports-{uuid.uuid4().hex}"
+    target = None
+    for n, some in enumerate((headers.where("bundle_key like '%:w1'"), headers), 1):
+        rows, ids = bundle.import_bundle(some, records, KEY, bundle.known_imports(spark, ledger), 1_700_000_000_000 + n)
+        linked = stored(logs.append(rows, None if target is None else logs.heads(target)))
+        bundle.record_imports(ids, ledger)
+        target = linked if target is None else target.unionByName(linked)
+    return target.select("chain_id", "idx", "rec_type", F.get_json_object("content_json", "$.origin_record_hash").alias("origin_record_hash"),
+                         F.get_json_object("content_json", "$._meta.epistemic_class").alias("epistemic_class"))
 
 
 # --- audit ----------------------------------------------------------------------------------------

@@ -123,13 +123,19 @@ def test_bundle_round_trip(make_rows, spark, tmp_path):
     bundle.write_bundle(headers, records, str(tmp_path / "b"))
     h2, r2 = bundle.read_bundle(spark, str(tmp_path / "b"))
     assert bundle.verify_bundle(h2, r2, KEY).first()["ok"]
+    ledger = str(tmp_path / "ledger")
+    rows, ids = bundle.import_bundle(h2, r2, KEY, bundle.known_imports(spark, ledger), 77, base=9, chains=1)
     target = logs.append(make_rows([(9, 0, "genesis", "{}")]))
-    new = logs.append(bundle.import_bundle(target, h2, r2, KEY, 9, 77), logs.heads(target))
+    new = logs.append(rows, logs.heads(target))
     got = rows_of(new, "idx")
-    assert [r["idx"] for r in got] == [1, 2, 3] and {r["rec_type"] for r in got} == {"imported_capsule"}
+    assert [r["idx"] for r in got] == [1, 2, 3] and {r["chain_id"] for r in got} == {9} and {r["rec_type"] for r in got} == {"imported_capsule"}
     meta = json.loads(got[0]["content_json"])["_meta"]
     assert (meta["epistemic_class"], meta["exposure"], meta["salience"], meta["confidence"]) == ("inferred", "private", 0.35, 0.6)
-    assert bundle.import_bundle(target.unionByName(new), h2, r2, KEY, 9, 78).count() == 0
+    bundle.record_imports(ids, ledger)
+    assert bundle.import_bundle(h2, r2, KEY, bundle.known_imports(spark, ledger), 78)[0].count() == 0
+    assert rows_of(bundle.imported_ids(new)) == rows_of(ids)
+    wide = bundle.import_bundle(h2, r2, KEY, bundle.known_imports(spark, ledger + "-new"), 78)[0].select("chain_id").distinct().collect()
+    assert len(wide) == 1 and bundle.IMPORT_BASE <= wide[0][0] < bundle.IMPORT_BASE + bundle.IMPORT_CHAINS
 
 
 @pytest.mark.parametrize("harm,message", [
