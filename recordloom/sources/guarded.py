@@ -33,16 +33,22 @@ class Attempt:
     base: int
     name: str
 
+    @classmethod
+    def new(cls, base: int) -> Attempt:
+        return cls(base, uuid.uuid4().hex)
 
-class GuardedLog:
-    """The table under `path`, a folder that all executors share and whose file system creates a file at most once."""
+
+class Commits:
+    """Folders of rows that count from the moment a manifest names them. `path` is a folder that all executors share, in a file
+    system that creates a file at most once."""
+
+    #: Tables that an attempt writes, each into a folder of the attempt's name.
+    kinds: tuple[str, ...] = ()
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
         self._manifests = f"{self.path}/manifest"
 
-    # -- files ------------------------------------------------------------------------------
-
     def _file(self, name: str):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
         return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
@@ -62,6 +68,29 @@ class GuardedLog:
         folders = [f"{self.path}/{kind}/{name}" for _, name in self.attempts(version)]
         return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
 
+    def publish(self, attempt: Attempt) -> bool:
+        """Make a prepared batch the next version; false if that version exists already."""
+        path, files = self._file(f"{self._manifests}/{attempt.base + 1}")
+        try:
+            out = files.create(path, False)
+        except Exception as e:  # the JVM's own error: the file exists
+            if "FileAlreadyExists" in str(e) or files.exists(path):
+                return False
+            raise
+        out.write(f"{attempt.base + 1}-{attempt.name}\n".encode())
+        out.close()
+        return True
+
+    def drop(self, attempt: Attempt) -> None:
+        for kind in self.kinds:
+            path, files = self._file(f"{self.path}/{kind}/{attempt.name}")
+            files.delete(path, True)
+
+
+class GuardedLog(Commits):
+    """The log table: rows of records, heads of the chains that each commit touched, and rejects."""
+    kinds = ("judged", "rejects", "data", "heads")
+
     def read(self, version: int | None = None) -> DataFrame:
         return self._table("data", logs.LOG_SCHEMA, version)
 
@@ -96,7 +125,8 @@ class GuardedLog:
 
     def prepare(self, rows: DataFrame, insist: bool = False) -> Attempt:
         """Judge, link and write a batch on the newest version; it is not part of the log yet."""
-        base, name = self.version(), uuid.uuid4().hex
+        attempt = Attempt.new(self.version())
+        base, name = attempt.base, attempt.name
         judged = self.judge(rows, base, insist)
         judged.write.parquet(f"{self.path}/judged/{name}")  # judged once, however often it is read below
         judged = self.spark.read.schema(judged.schema).parquet(f"{self.path}/judged/{name}")
@@ -106,25 +136,7 @@ class GuardedLog:
         logs.append(kept, self.heads(base)).write.parquet(f"{self.path}/data/{name}")
         linked = self.spark.read.schema(logs.LOG_SCHEMA).parquet(f"{self.path}/data/{name}")
         linked.groupBy("chain_id").agg(F.max_by(F.struct("idx", "record_hash"), "idx").alias("h")).select("chain_id", "h.*").write.parquet(f"{self.path}/heads/{name}")
-        return Attempt(base, name)
-
-    def publish(self, attempt: Attempt) -> bool:
-        """Make a prepared batch the next version; false if that version exists already."""
-        path, files = self._file(f"{self._manifests}/{attempt.base + 1}")
-        try:
-            out = files.create(path, False)
-        except Exception as e:  # the JVM's own error: the file exists
-            if "FileAlreadyExists" in str(e) or files.exists(path):
-                return False
-            raise
-        out.write(f"{attempt.base + 1}-{attempt.name}\n".encode())
-        out.close()
-        return True
-
-    def drop(self, attempt: Attempt) -> None:
-        for kind in ("judged", "rejects", "data", "heads"):
-            path, files = self._file(f"{self.path}/{kind}/{attempt.name}")
-            files.delete(path, True)
+        return attempt
 
     def append(self, rows: DataFrame, insist: bool = False, tries: int = TRIES) -> int:
         """Append a batch; after a lost race it is judged and linked anew on the winner's heads. The new version."""

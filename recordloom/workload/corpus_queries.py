@@ -10,6 +10,7 @@ from recordloom.operators import audit, budget, bundle, defence, growth, ingest,
 from recordloom.operators.blocks import positions
 from recordloom.session import shared_dir, spread, stored
 from recordloom.sources import files as fs, logs, ranges
+from recordloom.sources.resume import TaskIngest
 from recordloom.workload.integrity_queries import WITNESSES
 from recordloom.workload.logs_sql import CONV, EVENTS, EVENTS_LINKED, FILES, GOV, LINK, CR, defaults_values, merkle_levels
 from recordloom.workload.registry import query
@@ -696,6 +697,24 @@ def _(spark, sf):
                          F.get_json_object("content_json", "$._meta.epistemic_class").alias("epistemic_class"))
 
 
+@query("c17_resume_reports", f"""with {FR},
+m as (select * from (values ('broken', 32, -1), ('resumed', 1000000000, -1), ('changed', 1000000000, 7)) t(moment, upto, harm)),
+x as (select moment, chain_id, file_index, file_index < upto as sealed, coalesce(file_index%10=harm, false) and file_index<upto as changed from fr, m)
+select moment, chain_id, count(*) as files, count(*) filter (sealed) as sealed, count(*) filter (changed) as changed, min(file_index) filter (not sealed) as next_file, 0::bigint as incoherent,
+ case when count(*) filter (changed)>0 then 'changed' when count(*) filter (not sealed)=0 then 'complete' else 'resumable' end as status from x group by moment, chain_id""")
+def _(spark, sf):
+    """An ingest that breaks off in its third wave, and what is left after it was resumed."""
+    files = stored(file_rows(spark, sf).drop("doc_id"))
+    job = TaskIngest(spark, f"{shared_dir(spark).rstrip('/')}/ingest-{uuid.uuid4().hex}", wave=16)
+    job.run(files, waves=2)
+    job.prepare(files)  # written, never published
+    out = stored(job.report(files).withColumn("moment", F.lit("broken")))
+    job.wave = 65536
+    job.run(files)
+    edited = files.withColumn("text", F.when(F.pmod("file_index", F.lit(10)) == 7, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    return out.unionByName(job.report(files).withColumn("moment", F.lit("resumed"))).unionByName(job.report(edited).withColumn("moment", F.lit("changed")))
+
+
 # --- audit ----------------------------------------------------------------------------------------
 DATA_DOMAINS = {"Articles": ["the", "der", "die", "la", "le"], "Links": ["and", "und", "et", "of", "de"], "Rare": ["thth", "thon", "rewh"]}
 
