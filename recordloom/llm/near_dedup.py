@@ -260,19 +260,17 @@ def link(docs: DataFrame, bins: int = BINS, band: int = BAND, percent: int = PER
         that shares several buckets is offered only in the one of least key: a bucket stays open as
         long as it holds two components, so no pair misses its turn there. ra and rb are the roots."""
         def side(rows: DataFrame, end: str) -> DataFrame:
-            return rows.join(sketches.select("doc_id", "slots"), "doc_id").select(
-                "key", F.col("doc_id").alias(end), F.col("n").alias(f"_n{end}"), F.col("root").alias(f"_r{end}"), F.col("slots").alias(f"_s{end}"))
+            return rows.join(sketches, "doc_id").select(
+                "key", F.col("doc_id").alias(end), F.col("n").alias(f"_n{end}"), F.col("root").alias(f"_r{end}"),
+                F.col("slots").alias(f"_s{end}"), *([F.col("keys").alias(f"_k{end}")] if once else []))
         pairs = (side(centers, "x").join(side(crowd, "y"), "key").where("_rx <> _ry")
                  .where(F.least("_nx", "_ny") * 100 >= F.greatest("_nx", "_ny") * percent)
                  .where(possible("_sx", "_sy", "_nx", "_ny", percent)))
-        pairs = pairs.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.least("_rx", "_ry").alias("ra"),
-                              F.greatest("_rx", "_ry").alias("rb")).agg(F.min("key").alias("key"))
         if once:
-            # band keys are met by the few pairs that are left, not by every row of every bucket
-            for end in ("a", "b"):
-                pairs = pairs.join(sketches.select(F.col("doc_id").alias(end), F.col("keys").alias(f"_k{end}")), end)
-            pairs = pairs.where(F.array_min(F.array_intersect("_ka", "_kb")) == F.col("key"))
-        return pairs.select("a", "b", "ra", "rb")
+            # tested inside the join: a pair that shares many buckets leaves it once
+            pairs = pairs.where(F.array_min(F.array_intersect("_kx", "_ky")) == F.col("key"))
+        return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"),
+                            F.least("_rx", "_ry").alias("ra"), F.greatest("_rx", "_ry").alias("rb")).distinct()
 
     # each round's links join components of the round before, so only roots are linked anew
     ties = stored(ties)
