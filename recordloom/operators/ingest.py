@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from recordloom import fixed_values as fv
@@ -31,15 +33,27 @@ def file_facts(files: DataFrame) -> DataFrame:
         n.alias("redaction_count"), (n > 0).alias("redacted"), masked.alias("sealed_text"), finding.alias("finding"))
 
 
+def text_labels(content: Column) -> Column:
+    """What a block is labelled with by default: keywords, an excerpt, entities and salience."""
+    return F.struct(tx.keywords(content, 6, fv.STOPWORDS).alias("keywords"), tx.excerpt(content, 24).alias("excerpt"),
+                    tx.entities(content, 6).alias("entities"), tx.salience(content).alias("salience"))
+
+
 def blocks(files: DataFrame, start: int = 0, target: int = fv.CHUNK_TOKENS["target"],
-           least: int = fv.CHUNK_TOKENS["min"], most: int = fv.CHUNK_TOKENS["max"]) -> DataFrame:
-    """Blocks of the files' chunks with their place in each chain and the running task state."""
+           least: int = fv.CHUNK_TOKENS["min"], most: int = fv.CHUNK_TOKENS["max"],
+           labeller: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Blocks of the files' chunks with their place in each chain and the running task state.
+
+    A `labeller` (such as `text_labels`, or a caller's own) turns the content column into the column
+    `labels`, sealed with each block.
+    """
     facts = file_facts(files)
     keyed = facts.select(F.struct("chain_id", "file_index").alias("_k"), "sealed_text")
     pieces = chunk_lines(keyed.select(F.to_json("_k").alias("_key"), "sealed_text"), "_key", "sealed_text", target, least, most)
     pieces = pieces.withColumn("_k", F.from_json("_key", "chain_id long, file_index long")).select(
         "_k.*", "chunk_index", "chunk_of", "line_start", "line_end", "content",
-        F.sha2("content", 256).alias("content_hash"), tx.approx_tokens(F.col("content")).alias("approx_tokens"))
+        F.sha2("content", 256).alias("content_hash"), tx.approx_tokens(F.col("content")).alias("approx_tokens"),
+        *([] if labeller is None else [labeller(F.col("content")).alias("labels")]))
     placed = positions(pieces, ["chain_id"], F.expr("file_index div 256"), ["file_index", "chunk_index"], "idx")
     placed = placed.withColumn("idx", F.col("idx") + start)
     state = running_sum(placed, ["chain_id"], F.expr(f"idx div {SPAN}"), ["idx"], {
@@ -154,15 +168,20 @@ def _grams(text: Column, n: Column) -> Column:
 def resolve_names(hints: DataFrame, registry: DataFrame) -> DataFrame:
     """Match name fragments: exact (no case), ambiguous (fragment of a name or objective) or not_found.
 
-    A fragment can only lie inside a text that has the fragment's first one to three
-    letters, so candidates come from an equi-join on those letters, then are verified.
+    A fragment can only lie inside a text that has all of the fragment's letter triples (all of it, if shorter), so it looks
+    under its rarest triple, by a count over the registry, and what stands there is verified. A triple that
+    most names begin with is thus asked for only by fragments that have no other.
     """
     h = hints.select("hint", F.lower(F.trim("hint")).alias("_h")).distinct()
     r = registry.select("name", F.lower("name").alias("_n"), F.lower(F.coalesce("objective", F.lit(""))).alias("_o"))
     exact = h.join(r, F.col("_h") == F.col("_n")).groupBy("hint").agg(F.min("name").alias("exact_name"))
-    seed = h.where("_h <> ''").withColumn("_g", F.substring("_h", 1, 3))
     grams = r.withColumn("_g", F.explode(F.array_distinct(F.concat(*[
         _grams(F.col(c), F.lit(n)) for c in ("_n", "_o") for n in (1, 2, 3)]))))
+    often = grams.groupBy("_g").agg(F.count("*").alias("_often"))
+    own = h.where("_h <> ''").withColumn("_g", F.explode(_grams(F.col("_h"), F.least(F.lit(3), F.length("_h")))))
+    # a triple that no text has rules the fragment out
+    seed = (own.join(often, "_g", "left").groupBy("hint", "_h")
+            .agg(F.min(F.struct(F.coalesce("_often", F.lit(0)).alias("n"), "_g")).alias("s")).select("hint", "_h", F.col("s._g").alias("_g")))
     fuzzy = (seed.join(grams, "_g").where(F.contains("_n", F.col("_h")) | F.contains("_o", F.col("_h")))
              .groupBy("hint").agg(F.count("*").alias("candidates")))
     return (h.select("hint").join(exact, "hint", "left").join(fuzzy, "hint", "left").select(

@@ -74,10 +74,48 @@ def mine_stream(stream: DataFrame, out: str, state_dir: str, checkpoint: str, lo
     return _start(stream, work, checkpoint)
 
 
+SIGHTING = "chain_id long, target long, origin boolean, seen long"
+_MARKS = "chain_id long, high long"
+
+
+def _sightings(rows: DataFrame) -> DataFrame:
+    """Per proposal: whether it is among the rows, and how often it recurs in them."""
+    origin = F.col("rec_type") == "proposal"
+    target = F.when(origin, F.col("idx")).otherwise(F.get_json_object("content_json", "$.recurs_proposal_index").cast("long"))
+    hits = rows.where(F.col("rec_type").isin("proposal", "proposal_recurrence")).select("chain_id", target.alias("target"), origin.alias("origin"))
+    return hits.where("target is not null").groupBy("chain_id", "target").agg(F.max("origin").alias("origin"), F.count_if(~F.col("origin")).alias("seen"))
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
+def backfill_indexes(log: DataFrame, out: str) -> None:
+    """Build the link tables from a log that has none yet. Each chain's last record is its high-water mark; a stream
+    that starts afterwards skips what lies at or below it."""
+    supersedes_links(log).write.mode("overwrite").parquet(f"{out}/supersedes/v=-1")
+    blob_entries(log).write.mode("overwrite").parquet(f"{out}/blobs/v=-1")
+    _sightings(log).write.mode("overwrite").parquet(f"{out}/recurrence/v=-1")
+    log.groupBy("chain_id").agg(F.max("idx").alias("high")).write.mode("overwrite").parquet(f"{out}/marks")
+
+
 def side_index_stream(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Keeps the derived link tables in step with appends: supersedes and blobs. Both are
-    plain projections of new rows, so each batch only adds its own part."""
+    """Keeps the derived link tables in step with appends: supersedes, blobs and recurrences. Each batch adds its own part
+    only (counts as increments by proposal), and overwrites it if it is run again, so nothing counts twice."""
     def work(batch: DataFrame, n: int) -> None:
-        supersedes_links(batch).write.mode("overwrite").parquet(f"{out}/supersedes/v={n}")
-        blob_entries(batch).write.mode("overwrite").parquet(f"{out}/blobs/v={n}")
+        rows, spark = batch, batch.sparkSession
+        if _there(spark, f"{out}/marks"):
+            marks = spark.read.schema(_MARKS).parquet(f"{out}/marks")
+            rows = batch.join(marks, "chain_id", "left").where(F.col("high").isNull() | (F.col("idx") > F.col("high"))).drop("high")
+        supersedes_links(rows).write.mode("overwrite").parquet(f"{out}/supersedes/v={n}")
+        blob_entries(rows).write.mode("overwrite").parquet(f"{out}/blobs/v={n}")
+        _sightings(rows).write.mode("overwrite").parquet(f"{out}/recurrence/v={n}")
     return _start(stream, work, checkpoint)
+
+
+def recurrence_index(spark: SparkSession, out: str) -> DataFrame:
+    """chain_id, idx, sightings of every proposal, from the increments kept on append."""
+    parts = spark.read.schema(SIGHTING).parquet(f"{out}/recurrence/v=*")
+    return (parts.groupBy("chain_id", "target").agg(F.max("origin").alias("origin"), F.sum("seen").alias("seen")).where("origin")
+            .select("chain_id", F.col("target").alias("idx"), (F.col("seen") + 1).alias("sightings")))

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ["integrity_queries", "signals_queries", "log_queries", "retrieval_queries", "corpus_queries", "streaming_queries"]
+_MODULES = ["integrity_queries", "signals_queries", "log_queries", "retrieval_queries", "corpus_queries", "streaming_queries", "extension_queries"]
 
 
 def load():

@@ -11,7 +11,7 @@ from recordloom.session import shared_dir, stored
 from recordloom.sources import files as fs, logs
 from recordloom.streaming import batches, keyed, stateful
 from recordloom.workload.integrity_queries import HEADS, RUNS, TAMPERED, WITNESSES, tampered
-from recordloom.workload.logs_sql import CONV, EVENTS, GOV, merkle_levels
+from recordloom.workload.logs_sql import CONV, EVENTS, FILES, GOV, merkle_levels
 from recordloom.workload.corpus_queries import _OM, DATA_DOMAINS, KEY, _BN, doc_log, exported, faculty_rows, mined
 from recordloom.workload.registry import query
 from recordloom.workload.signals_queries import TOK
@@ -86,6 +86,24 @@ def _(spark, sf):
     return spark.read.parquet(f"{at}/out/supersedes/v=*").select("chain_id", "revision_idx", "superseded_idx")
 
 
+@query("r06_recurrence_index", GOV + " select chain_id, idx, sightings from rc")
+def _(spark, sf):
+    """Counts kept on append: the log's beginning is backfilled, then the whole log arrives, its beginning again."""
+    log = logs.unlinked(logs.governance_rows(spark, sf))
+    at = scratch(spark)
+    batches.backfill_indexes(log.where("idx < 10"), f"{at}/out")
+    batches.side_index_stream(arriving(spark, log), f"{at}/out", f"{at}/cp").awaitTermination()
+    return batches.recurrence_index(spark, f"{at}/out")
+
+
+@query("r06_blob_index", FILES + " select chain_id, sha, max(idx) as idx, arg_max(filename, idx) as filename from lg group by 1,2")
+def _(spark, sf):
+    at = scratch(spark)
+    batches.side_index_stream(arriving(spark, logs.unlinked(logs.file_rows(spark, sf))), f"{at}/out", f"{at}/cp").awaitTermination()
+    kept = spark.read.parquet(f"{at}/out/blobs/v=*")
+    return kept.groupBy("chain_id", "sha").agg(F.max("idx").alias("idx"), F.max_by("filename", "idx").alias("filename"))
+
+
 @query("r07_deduplicated_stream", "select distinct user_id%50 as op, event_type from events")
 def _(spark, sf):
     at = scratch(spark)
