@@ -127,14 +127,14 @@ def cut_points(ends: np.ndarray, target: int, least: int, most: int) -> np.ndarr
 
 def chunk_lines(df: DataFrame, key: str, text: str, target: int = CHUNK_TOKENS["target"],
                 least: int = CHUNK_TOKENS["min"], most: int = CHUNK_TOKENS["max"]) -> DataFrame:
-    """Line-aware chunks: key, chunk_index (from 1), chunk_of, line_start, line_end, content.
+    """Line-aware chunks: key, chunk_index (from 1), chunk_of, line_start, line_end, tokens_upto (of the chunks so far), content.
 
     Two passes: the cuts come from line offsets alone, then slices leave in batches of
     CHUNKS_PER_BATCH, so beside the text only its offsets and one batch are held. A null or empty
     text gives one empty chunk.
     """
     key_type = df.schema[key].dataType
-    schema = f"{key} {key_type.simpleString()}, chunk_index int, chunk_of int, line_start int, line_end int, content string"
+    schema = f"{key} {key_type.simpleString()}, chunk_index int, chunk_of int, line_start int, line_end int, tokens_upto long, content string"
 
     def run(batches):
         for batch in batches:
@@ -146,14 +146,15 @@ def chunk_lines(df: DataFrame, key: str, text: str, target: int = CHUNK_TOKENS["
                 first = np.searchsorted(ends, cuts[:-1], "right") + 1
                 last = np.searchsorted(ends, cuts[1:], "left") + 1
                 n = len(first)
+                upto = np.cumsum(np.maximum(1, np.diff(cuts) // 4))
                 for lo in range(0, n, CHUNKS_PER_BATCH):
                     hi = min(lo + CHUNKS_PER_BATCH, n)
                     yield pa.RecordBatch.from_arrays([
                         pa.array([k.as_py()] * (hi - lo), kind), pa.array(np.arange(lo + 1, hi + 1), pa.int32()),
                         pa.array(np.full(hi - lo, n), pa.int32()), pa.array(first[lo:hi], pa.int32()),
-                        pa.array(last[lo:hi], pa.int32()),
+                        pa.array(last[lo:hi], pa.int32()), pa.array(upto[lo:hi], pa.int64()),
                         pa.array([body[i:j] for i, j in zip(cuts[lo:hi], cuts[lo + 1:hi + 1])], pa.string())],
-                        names=[key, "chunk_index", "chunk_of", "line_start", "line_end", "content"])
+                        names=[key, "chunk_index", "chunk_of", "line_start", "line_end", "tokens_upto", "content"])
     return df.select(key, text).mapInArrow(run, schema)
 
 

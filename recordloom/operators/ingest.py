@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from recordloom import fixed_values as fv
 from recordloom.functions import text as tx
 from recordloom.functions.chunking import chunk_lines
-from recordloom.operators.blocks import SPAN, positions, running_sum, with_preceding
+from recordloom.operators.blocks import SPAN, running_sum, with_preceding
+from recordloom.session import stored
 
 FINDINGS = 6
 
@@ -50,16 +51,21 @@ def blocks(files: DataFrame, start: int = 0, target: int = fv.CHUNK_TOKENS["targ
     facts = file_facts(files)
     keyed = facts.select(F.struct("chain_id", "file_index").alias("_k"), "sealed_text")
     pieces = chunk_lines(keyed.select(F.to_json("_k").alias("_key"), "sealed_text"), "_key", "sealed_text", target, least, most)
-    pieces = pieces.withColumn("_k", F.from_json("_key", "chain_id long, file_index long")).select(
-        "_k.*", "chunk_index", "chunk_of", "line_start", "line_end", "content",
+    pieces = stored(pieces.withColumn("_k", F.from_json("_key", "chain_id long, file_index long")).select(
+        "_k.*", "chunk_index", "chunk_of", "line_start", "line_end", "tokens_upto", "content"))
+    # one row per file is numbered and summed, without any text; the chunks then only look up their file's row
+    ends = pieces.where("chunk_index = chunk_of").select("chain_id", "file_index", F.col("chunk_of").cast("long").alias("_n"), F.col("tokens_upto").alias("_t"))
+    sums = running_sum(ends, ["chain_id"], F.expr(f"file_index div {SPAN}"), ["file_index"], {"_chunks": F.col("_n"), "_tokens": F.col("_t"), "_files": F.lit(1)})
+    per_file = sums.select("chain_id", "file_index", (F.col("_chunks") - F.col("_n")).alias("_chunks"), (F.col("_tokens") - F.col("_t")).alias("_tokens"), (F.col("_files") - 1).alias("_files")).join(
+        facts.drop("sealed_text"), ["chain_id", "file_index"])
+    sealed = F.col("_chunks") + F.col("chunk_index")
+    return pieces.join(per_file, ["chain_id", "file_index"]).select(
+        "chain_id", "file_index", "chunk_index", "chunk_of", "line_start", "line_end", "content",
         F.sha2("content", 256).alias("content_hash"), tx.approx_tokens(F.col("content")).alias("approx_tokens"),
-        *([] if labeller is None else [labeller(F.col("content")).alias("labels")]))
-    placed = positions(pieces, ["chain_id"], F.expr("file_index div 256"), ["file_index", "chunk_index"], "idx")
-    placed = placed.withColumn("idx", F.col("idx") + start)
-    state = running_sum(placed, ["chain_id"], F.expr(f"idx div {SPAN}"), ["idx"], {
-        "chunks_sealed": F.lit(1), "approx_tokens_ingested": F.col("approx_tokens"),
-        "items_done": (F.col("chunk_index") == F.col("chunk_of")).cast("int")})
-    return state.join(facts.drop("sealed_text"), ["chain_id", "file_index"])
+        *([] if labeller is None else [labeller(F.col("content")).alias("labels")]),
+        (F.lit(start) + sealed - 1).cast("long").alias("idx"), sealed.cast("long").alias("chunks_sealed"), (F.col("_tokens") + F.col("tokens_upto")).alias("approx_tokens_ingested"),
+        (F.col("_files") + (F.col("chunk_index") == F.col("chunk_of")).cast("int")).cast("long").alias("items_done"),
+        *[c for c in facts.columns if c not in ("chain_id", "file_index", "sealed_text")])
 
 
 def task_findings(files: DataFrame) -> DataFrame:

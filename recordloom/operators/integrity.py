@@ -67,20 +67,25 @@ def own_failure(writer: str | None = None) -> Column:
             .when(_record_bad(), "record_hash mismatch").when(work_shortfall(), "proof-of-work below target"))
 
 
-def failures(log: DataFrame, writer: str | None = None, span: int = SPAN) -> DataFrame:
-    """Every failing record with the first reason that applies to it."""
+def _judged(log: DataFrame, writer: str | None, span: int) -> DataFrame:
+    """chain_id, idx, reason (null: none) of every record."""
     # digests are taken before the shuffle of the look-back, which then moves no content
     narrow = log.select("chain_id", "idx", "prior_hash", "record_hash", own_failure(writer).alias("_own"))
     reason = F.when(_gap(), "index gap").when(_broken_link(), "prior_hash mismatch").otherwise(F.col("_own"))
-    return with_previous(narrow, span).select("chain_id", "idx", reason.alias("reason")).where("reason is not null")
+    return with_previous(narrow, span).select("chain_id", "idx", reason.alias("reason"))
+
+
+def failures(log: DataFrame, writer: str | None = None, span: int = SPAN) -> DataFrame:
+    """Every failing record with the first reason that applies to it."""
+    return _judged(log, writer, span).where("reason is not null")
 
 
 def verify_log(log: DataFrame, writer: str | None = None, span: int = SPAN) -> DataFrame:
-    """One row per chain: record count, verdict, first bad index and its reason."""
-    first = failures(log, writer, span).groupBy("chain_id").agg(
-        F.min("idx").alias("first_bad"), F.min_by("reason", "idx").alias("reason"))
-    counts = log.groupBy("chain_id").agg(F.count("*").alias("n"))
+    """One row per chain: record count, verdict, first bad index and its reason. One aggregate over the judged records."""
+    bad = F.col("reason").isNotNull()
+    per = _judged(log, writer, span).groupBy("chain_id").agg(
+        F.count("*").alias("n"), F.min(F.when(bad, F.struct("idx", "reason"))).alias("f"))
+    per = per.select("chain_id", "n", F.col("f.idx").alias("first_bad"), F.col("f.reason").alias("reason"))
     message = F.when(F.col("first_bad").isNull(), F.format_string("chain ok (%d records)", "n")).otherwise(
         F.concat("reason", F.lit(" at index "), F.col("first_bad").cast("string")))
-    return counts.join(first, "chain_id", "left").select(
-        "chain_id", "n", F.col("first_bad").isNull().alias("ok"), "first_bad", "reason", message.alias("message"))
+    return per.select("chain_id", "n", F.col("first_bad").isNull().alias("ok"), "first_bad", "reason", message.alias("message"))
