@@ -62,15 +62,34 @@ def _earlier(table: Versions, n: int) -> DataFrame:
     return table.spark.read.schema(table.schema).parquet(*[f"{table.path}/v={i}" for i in range(n)])
 
 
+TOPICS = "chain_id long, signature string, batch long"
+
+
 def mine_stream(stream: DataFrame, out: str, state_dir: str, checkpoint: str, lookback: int = 500, **rules) -> StreamingQuery:
-    """Mines each chain's new tail plus `lookback` earlier records, which the state table keeps."""
+    """Mines the chains that a micro-batch brings, over their new records and `lookback` earlier ones.
+
+    The loop is closed: topics proposed by earlier batches are state, so a topic that comes up again is a recurrence and
+    not a second proposal. Each batch adds its own records and topics under its number and reads those of smaller
+    numbers, so a batch that is run again changes nothing, and nothing is rewritten.
+    """
     spark = stream.sparkSession
-    tail = Versions(spark, f"{state_dir}/tail", stream.schema)
+    tail, topics = Versions(spark, f"{state_dir}/tail", stream.schema), Versions(spark, f"{state_dir}/topics", TOPICS)
 
     def work(batch: DataFrame, n: int) -> None:
-        rows = tail.before(n).unionByName(batch.select(*stream.columns))
-        tail.write(n, mining.scan_window(rows, None, lookback))
-        mining.mine(rows, **rules).write.mode("overwrite").parquet(f"{out}/v={n}")
+        tail.write(n, batch)
+        fresh = spark.read.schema(tail.schema).parquet(f"{tail.path}/v={n}")
+        rows, known = fresh, spark.createDataFrame([], TOPICS)
+        if n > 0:
+            chains = fresh.groupBy("chain_id").agg(F.min("idx").alias("_first"))
+            old = _earlier(tail, n).join(chains, "chain_id").where(F.col("idx") >= F.col("_first") - lookback)
+            rows = old.select(*tail.schema.names).unionByName(fresh)
+            known = _earlier(topics, n)
+        found = mining.mine(rows, **rules)
+        told = known.groupBy("chain_id", "signature").agg(F.min("batch").alias("_since"))
+        found = found.join(told, ["chain_id", "signature"], "left").withColumns({
+            "decision": F.when(F.col("_since").isNotNull(), "recurrence").otherwise(F.col("decision")), "batch": F.lit(n).cast("long")}).drop("_since")
+        found.write.mode("overwrite").parquet(f"{out}/v={n}")
+        topics.write(n, spark.read.schema(found.schema).parquet(f"{out}/v={n}").where("decision = 'proposal'").select("chain_id", "signature", "batch").distinct())
     return _start(stream, work, checkpoint)
 
 

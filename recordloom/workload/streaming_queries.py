@@ -12,7 +12,7 @@ from recordloom.sources import files as fs, logs
 from recordloom.streaming import batches, keyed, stateful
 from recordloom.workload.integrity_queries import HEADS, RUNS, TAMPERED, WITNESSES, tampered
 from recordloom.workload.logs_sql import CONV, EVENTS, FILES, GOV, merkle_levels
-from recordloom.workload.corpus_queries import _OM, DATA_DOMAINS, KEY, _BN, doc_log, exported, faculty_rows, mined
+from recordloom.workload.corpus_queries import _BN, _MN, _OM, CONFUSE_WORDS, DATA_DOMAINS, FAIL_WORDS, KEY, doc_log, exported, faculty_rows, mined
 from recordloom.workload.registry import query
 from recordloom.workload.signals_queries import TOK
 
@@ -86,6 +86,24 @@ def _(spark, sf):
     return spark.read.parquet(f"{at}/out/supersedes/v=*").select("chain_id", "revision_idx", "superseded_idx")
 
 
+@query("r01_mine_stream", _MN + """,
+al as (select trigger, chain_id, signature, idx from ev union all select 'contradiction', chain_id, 'contradiction-handling', idx from mn where disputed),
+bt as (select *, case when idx<40 then 0 when idx<80 then 1 else 2 end as b, row_number() over (partition by trigger, chain_id, signature order by idx) as i from al),
+lb as (select chain_id, max(case when idx<40 then 0 when idx<80 then 1 else 2 end) as last from mn group by 1),
+tp as (select trigger, chain_id, signature, count(*) as hits, max(b) filter (i=3) as since from bt group by all having count(*)>=3)
+select trigger, chain_id, signature, hits, case when since=last then 'proposal' else 'recurrence' end as decision from tp join lb using (chain_id)""")
+def _(spark, sf):
+    """A log that arrives in three parts, each a micro-batch: in the end every topic has the hits of mining the whole log at once."""
+    log, at = stored(mined(spark, sf)), scratch(spark)
+    for low, high in ((0, 40), (40, 80), (80, 1 << 60)):
+        log.where((F.col("idx") >= low) & (F.col("idx") < high)).write.mode("append").parquet(f"{at}/in")
+        stream = spark.readStream.schema(log.schema).parquet(f"{at}/in")
+        batches.mine_stream(stream, f"{at}/out", f"{at}/state", f"{at}/cp", lookback=1 << 40, known=["elle", "aux"],
+                            failure_markers=FAIL_WORDS, confusion_markers=CONFUSE_WORDS).awaitTermination()
+    found = spark.read.parquet(f"{at}/out/v=*").where("trigger <> 'output_mode'")
+    return found.groupBy("trigger", "chain_id", "signature").agg(F.max_by(F.struct("hits", "decision"), "batch").alias("r")).select("trigger", "chain_id", "signature", "r.*")
+
+
 @query("r06_recurrence_index", GOV + " select chain_id, idx, sightings from rc")
 def _(spark, sf):
     """Counts kept on append: the log's beginning is backfilled, then the whole log arrives, its beginning again."""
