@@ -6,10 +6,10 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from recordloom.functions import quality, signals as sg, text as tx, vectors
-from recordloom.operators import bundle, ingest
+from recordloom.operators import bundle, ingest, knn, retrieval
 from recordloom.plans.recall import recall_paths
 from recordloom.session import shared_dir
-from recordloom.sources import logs
+from recordloom.sources import files as fs, logs
 from recordloom.sources.vector_store import IdentityMismatch, VectorStore
 from recordloom.workload.corpus_queries import _BN, _PATH, KEY, asks, doc_blocks, exported, file_rows
 from recordloom.workload.registry import query
@@ -123,3 +123,32 @@ def _(spark, sf):
     out = seen("first", 32, first).unionByName(seen("extended", 32, whole)).unionByName(seen("rebuilt", 16)).unionByName(seen("old reader", 32, whole))
     told = spark.createDataFrame([("other space", 16, None, 0, refused)], "stage string, dim int, chain_id long, records long, refused boolean")
     return out.unionByName(told)
+
+
+@query("s09_registry_documents", """select case when item_id%2=0 then 'sense' else 'modality' end as kind, 'data:' || item_id as id, 'Faculty ' || item_id as name, text as function,
+ case when item_id%3=0 then 'general' else 'c' || (item_id%4) end as category from benchmark""")
+def _(spark, sf):
+    """Registries written as JSON documents of at most 64 entries and read back; an entry without a category is a general one."""
+    at = f"{shared_dir(spark).rstrip('/')}/registry-{uuid.uuid4().hex}"
+    n = F.col("item_id")
+    entry = F.struct(n.alias("id"), F.concat(F.lit("Faculty "), n.cast("string")).alias("name"), F.col("text").alias("function"),
+                     F.when(n % 3 != 0, F.concat(F.lit("c"), F.pmod(n, F.lit(4)).cast("string"))).alias("category"))
+    docs = (spark.read.parquet(f"{sf}/benchmark.parquet").groupBy(F.when(n % 2 == 0, "sense").otherwise("modality").alias("kind"), F.expr("item_id div 64").alias("part"))
+            .agg(F.collect_list(entry).alias("faculties")))
+    docs.select("kind", "part", F.to_json(F.struct("faculties")).alias("value")).repartition("kind", "part").write.partitionBy("kind", "part").text(at)
+    both = [fs.read_registry(spark, f"{at}/kind={kind}", "faculties", kind) for kind in ("modality", "sense")]
+    return both[0].unionByName(both[1])
+
+
+@query("j16_excerpts", """
+with m as (select conv_id, turn, (length(text)%10)/10.0 as sim from conversations where length(text)%3=0 qualify row_number() over (partition by conv_id order by sim desc, turn)<=3),
+nb as (select distinct m.conv_id, c.turn from m join conversations c on c.conv_id=m.conv_id and abs(c.turn-m.turn)=1)
+select conv_id as chain_id, turn as chunk_index, 'matched' as tag from m union all
+select conv_id, turn, 'context' from nb where not exists (select 1 from m where m.conv_id=nb.conv_id and m.turn=nb.turn)""")
+def _(spark, sf):
+    """The three best chunks of each record with a neighbour on each side."""
+    t = spark.read.parquet(f"{sf}/conversations.parquet").select(
+        F.col("conv_id").alias("chain_id"), F.lit(0).cast("long").alias("idx"), F.col("turn").alias("chunk_index"), F.length("text").alias("n"))
+    pairs_ = t.where(F.col("n") % 3 == 0).select(F.lit("q").alias("query_id"), "chain_id", "idx", "chunk_index", (F.pmod("n", F.lit(10)) / 10).alias("sim"))
+    near = retrieval.excerpt_chunks(t.drop("n"), knn.top_chunks(pairs_, 3).drop("place"))
+    return near.select("chain_id", "chunk_index", "tag")
