@@ -176,20 +176,23 @@ def resolve_names(hints: DataFrame, registry: DataFrame) -> DataFrame:
 
     A fragment can only lie inside a text that has all of the fragment's letter triples (all of it, if shorter), so it looks
     under its rarest triple, by a count over the registry, and what stands there is verified. A triple that
-    most names begin with is thus asked for only by fragments that have no other.
+    most names begin with is thus asked for only by fragments that have no other. Entries of equal texts are
+    met once with their number. The fragments' triples are written down first, so that Spark knows their size and
+    brings few of them to the registry: it then moves counts only, never a row for each triple of a text.
     """
-    h = hints.select("hint", F.lower(F.trim("hint")).alias("_h")).distinct()
-    r = registry.select("name", F.lower("name").alias("_n"), F.lower(F.coalesce("objective", F.lit(""))).alias("_o"))
+    h = stored(hints.select("hint", F.lower(F.trim("hint")).alias("_h")).distinct())
+    r = stored(registry.select("name", F.lower("name").alias("_n"), F.lower(F.coalesce("objective", F.lit(""))).alias("_o"))
+               .groupBy("_n", "_o").agg(F.min("name").alias("name"), F.count("*").alias("_many")))
     exact = h.join(r, F.col("_h") == F.col("_n")).groupBy("hint").agg(F.min("name").alias("exact_name"))
+    own = stored(h.where("_h <> ''").withColumn("_g", F.explode(_grams(F.col("_h"), F.least(F.lit(3), F.length("_h"))))))
     grams = r.withColumn("_g", F.explode(F.array_distinct(F.concat(*[
         _grams(F.col(c), F.lit(n)) for c in ("_n", "_o") for n in (1, 2, 3)]))))
-    often = grams.groupBy("_g").agg(F.count("*").alias("_often"))
-    own = h.where("_h <> ''").withColumn("_g", F.explode(_grams(F.col("_h"), F.least(F.lit(3), F.length("_h")))))
+    often = grams.join(own.select("_g").distinct(), "_g", "left_semi").groupBy("_g").agg(F.sum("_many").alias("_often"))
     # a triple that no text has rules the fragment out
-    seed = (own.join(often, "_g", "left").groupBy("hint", "_h")
-            .agg(F.min(F.struct(F.coalesce("_often", F.lit(0)).alias("n"), "_g")).alias("s")).select("hint", "_h", F.col("s._g").alias("_g")))
-    fuzzy = (seed.join(grams, "_g").where(F.contains("_n", F.col("_h")) | F.contains("_o", F.col("_h")))
-             .groupBy("hint").agg(F.count("*").alias("candidates")))
+    seed = stored(own.join(often, "_g", "left").groupBy("hint", "_h")
+                  .agg(F.min(F.struct(F.coalesce("_often", F.lit(0)).alias("n"), "_g")).alias("s")).select("hint", "_h", F.col("s._g").alias("_g")))
+    fuzzy = (grams.join(seed, "_g").where(F.contains("_n", F.col("_h")) | F.contains("_o", F.col("_h")))
+             .groupBy("hint").agg(F.sum("_many").alias("candidates")))
     return (h.select("hint").join(exact, "hint", "left").join(fuzzy, "hint", "left").select(
         "hint", F.when(F.col("exact_name").isNotNull(), "exact").when(F.col("candidates") > 0, "ambiguous")
         .otherwise("not_found").alias("status"), "exact_name",

@@ -236,3 +236,12 @@ def test_payload_text(spark):
              ("[" * 200 + '"deep"' + "]" * 200, "deep"), (json.dumps({"t": ["w" * 10] * 3000}), " ".join(["w" * 10] * 3000))]
     df = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(cases)], "id int, c string")
     assert [r["t"] for r in rows_of(df.select("id", lg.payload_text("c").alias("t")), "id")] == [t for _, t in cases]
+
+
+def test_names_are_met_by_few_triples(spark):
+    """Entries of equal texts count each; the registry's triples are not shuffled along with its texts."""
+    names = spark.range(400).select(F.concat(F.lit("Large Ring "), (F.col("id") % 50).cast("string")).alias("name"), F.lit("Brand#1").alias("objective"))
+    out = ingest.resolve_names(spark.createDataFrame([("ring 7",), ("brand#",), ("LARGE RING 3",), ("none",)], "hint string"), names)
+    got = {r["hint"]: (r["status"], r["candidates"]) for r in out.collect()}
+    assert got == {"ring 7": ("ambiguous", 8), "brand#": ("ambiguous", 400), "LARGE RING 3": ("exact", 1), "none": ("not_found", 0)}
+    assert "hashpartitioning(_g" not in out._jdf.queryExecution().executedPlan().toString()
