@@ -31,6 +31,8 @@ from recordloom.session import shared_dir
 from recordloom.sources.files import _quote
 
 RANGE_BYTES = 64 << 20
+#: Tasks for each core, at most; a task reads several ranges, one after the other.
+TASKS_PER_CORE = 8
 #: States of up to so many ranges (about 100 bytes each) are broadcast; more are joined and the lines sorted.
 BROADCAST_RANGES = 100_000
 LINES_PER_BATCH = 8192
@@ -125,6 +127,8 @@ def _session(spark: SparkSession, range_bytes: int) -> SparkSession:
         own.conf.set("spark.checkpoint.dir", shared_dir(spark))
     own.conf.set("spark.sql.files.maxPartitionBytes", str(range_bytes))
     own.conf.set("spark.sql.files.minPartitionNum", "1")  # else splits follow the executors at hand
+    # splits stay as they are, but small ones share tasks: a task for each would cost more than its lines
+    own.conf.set("spark.sql.files.maxPartitionNum", str(TASKS_PER_CORE * spark.sparkContext.defaultParallelism))
     own.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(LINES_PER_BATCH))
     return own
 
@@ -309,7 +313,7 @@ def chunk_files(spark: SparkSession, root: str, exts: Sequence[str] | None = Non
                 range_bytes: int = RANGE_BYTES, broadcast_ranges: int = BROADCAST_RANGES) -> DataFrame:
     """file (path below `root`), chunk_index (from 1), chunk_of, line_start, line_end, content of every text file.
 
-    A task reads `range_bytes` of a file, twice, and holds one open chunk and the line lengths of its range. An empty
+    A task reads ranges of `range_bytes` of a file, twice, and holds one open chunk and the line lengths of one range. An empty
     file has no line and gives no chunk, a last line need not have a terminator, and a file that changes
     between the readings raises an error. A single line must fit into a row (2 GB).
     """

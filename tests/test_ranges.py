@@ -65,3 +65,14 @@ def test_summary_equals_line_by_line():
         import numpy as np
         rule.apply(b, rule.summary(np.array(inside, np.int64)))
         assert a == b, (before, inside)
+
+
+def test_small_ranges_share_tasks(spark, tree):
+    root, texts = tree
+    lines = ranges._lines(ranges._session(spark, 101), root, [".txt"], [])
+    most = ranges.TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    assert lines.select("file", "block").distinct().count() > 2 * most >= lines.rdd.getNumPartitions()
+    rule = {"target": 64, "least": 20, "most": 96}
+    order = lambda df: sorted(tuple(r) for r in df.select("file", "chunk_index", "content").collect())
+    fine, coarse = (ranges.chunk_files(spark, root, [".txt"], range_bytes=n, **rule) for n in (101, 1 << 20))
+    assert order(fine) == order(coarse)
