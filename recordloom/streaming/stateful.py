@@ -6,8 +6,11 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from recordloom.streaming.keyed import BUCKETS, Pages, chain_of, in_buckets, use_keyed_state
+
 FRAME = 10
 
 
@@ -35,26 +38,55 @@ def cadence_stream(stream: DataFrame, every: int, mark_type: str = "reflection",
         step, "chain_id long, idx long, turns long", "turns long", "append", GroupStateTimeout.NoTimeout))
 
 
-def escalation_stream(stream: DataFrame, threshold: int = 3) -> DataFrame:
+class Escalate(StatefulProcessor):
+    """State: of each proposal sighted how often it recurred, and whether it was proposed (1) and told (2)."""
+    output = ("chain_id", "idx", "sightings")
+
+    def __init__(self, threshold: int):
+        self.threshold = threshold
+
+    def init(self, handle) -> None:
+        self.pages = Pages(handle)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        brought: dict[tuple, list] = {}
+        for part in rows:
+            for page, chain, target, origin in part[["page", "chain", "target", "origin"]].itertuples(index=False):
+                one = brought.setdefault((page, chain, int(target)), [0, 0])
+                if origin:
+                    one[1] = 1
+                else:
+                    one[0] += 1
+        fired = []
+        for (page, chain, target), (seen, mark) in brought.items():
+            name = f"{chain}/{target}"
+            before, marks = self.pages.page(page).get(name, (0, 0))
+            seen, marks = before + seen, marks | mark
+            if marks == 1 and seen + 1 >= self.threshold:
+                marks = 3
+                fired.append((chain_of(chain), target, seen + 1))
+            self.pages.put(page, name, [seen, marks])
+        self.pages.write()
+        if fired:
+            yield pd.DataFrame(fired, columns=list(self.output))
+
+    def close(self) -> None:
+        pass
+
+
+def escalation_stream(stream: DataFrame, threshold: int = 3, buckets: int = BUCKETS) -> DataFrame:
     """Emits each proposal once, when its sightings first reach the threshold.
 
-    State is per proposal, so a chain with many proposals spreads over tasks.
+    State is per proposal, and proposals are dealt to buckets, so a chain with many of them spreads over tasks and
+    no call, frame or round trip to the store is made for a proposal.
     """
+    use_keyed_state(stream.sparkSession)
     c = F.from_json("content_json", "recurs_proposal_index bigint")
     hits = (stream.where(F.col("rec_type").isin("proposal", "proposal_recurrence"))
             .select("chain_id", F.when(F.col("rec_type") == "proposal", F.col("idx")).otherwise(c["recurs_proposal_index"]).alias("target"),
                     (F.col("rec_type") == "proposal").alias("origin")).where("target is not null"))
-
-    def step(key, parts, state: GroupState):
-        exists, seen, told = state.get if state.exists else (False, 0, False)
-        for part in parts:
-            exists = exists or bool(part["origin"].any())
-            seen += int((~part["origin"]).sum())
-        now = exists and not told and seen + 1 >= threshold
-        state.update((exists, seen, told or now))
-        yield pd.DataFrame([(key[0], key[1], seen + 1)] if now else [], columns=["chain_id", "idx", "sightings"])
-    return hits.groupBy("chain_id", "target").applyInPandasWithState(
-        step, "chain_id long, idx long, sightings long", "origin boolean, seen long, told boolean", "append", GroupStateTimeout.NoTimeout)
+    return (in_buckets(hits, buckets, "chain_id", "target").groupBy("bucket")
+            .transformWithStateInPandas(Escalate(threshold), "chain_id long, idx long, sightings long", "Append", "None"))
 
 
 def frame_stream(stream: DataFrame, key: str, order: str, text: str, reach: int = FRAME) -> DataFrame:

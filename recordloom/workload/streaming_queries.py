@@ -23,14 +23,17 @@ def scratch(spark):
 
 def arriving(spark, log, cuts=(20, 40)):
     """A log as a stream: records below the first cut, then up to the second, then the rest.
-    All records of a chain in one part lie in one file, so a file is a consistent batch."""
-    at = scratch(spark)
+    All records of a chain in one part lie in one file, and a part has a file for each core, read as one batch."""
+    at, cores = scratch(spark), max(2, spark.sparkContext.defaultParallelism)
     kept = stored(log)
     edges = [(-1, cuts[0]), (cuts[0], cuts[1]), (cuts[1], 1 << 60)]
+    files = 0
     for low, high in edges:
         part = kept.where((F.col("idx") >= max(low, 0)) & (F.col("idx") < high))
-        part.repartition(2, "chain_id").write.mode("append").parquet(at)
-    return spark.readStream.schema(kept.schema).option("maxFilesPerTrigger", 2).parquet(at)
+        part.repartition(cores, "chain_id").write.mode("append").parquet(at)
+        # few chains fill fewer files
+        files = files or len(spark.read.schema(kept.schema).parquet(at).inputFiles())
+    return spark.readStream.schema(kept.schema).option("maxFilesPerTrigger", files).parquet(at)
 
 
 def drained(spark, stream):

@@ -64,6 +64,27 @@ def test_late_and_repeated_records(spark, make_rows, tmp_path):
     assert [(r["idx"], r["reason"]) for r in out] == [(14, "index gap")]
 
 
+def test_chains_share_buckets_and_pages(spark, make_rows, tmp_path):
+    """Many chains in few groups: parts in any order, holes and a chain without an id give what the batch operators give."""
+    chains = [*range(40), 1 << 60]
+    log = logs.append(make_rows([(c, i, "observation", "{}", False, 1000 * i) for c in chains for i in range(9)])).where("idx <> 4 or chain_id % 3 <> 0")
+    cols = ["chain_id", "first_idx", "last_idx", "root_hash"]
+    stream = feed(spark, log, tmp_path / "in", 3)
+    got = drain(keyed.verify_stream(stream, buckets=2), tmp_path / "a")
+    assert rows_of(got, "chain_id", "idx") == rows_of(integrity.failures(log), "chain_id", "idx") and got.count() == 14
+    got = drain(keyed.seal_stream(stream, size=8, buckets=2), tmp_path / "b").select(*cols)
+    assert rows_of(got, *cols) == rows_of(merkle.seal_batches(log, None, 8, full_only=True).select(*cols), *cols)
+    rows = [(c, 0, "proposal", "{}") for c in chains] + [(c, i, "proposal_recurrence", '{"recurs_proposal_index":0}') for c in chains for i in range(1, 2 + c % 4)]
+    named = logs.unlinked(make_rows(rows)).withColumn("chain_id", F.when(F.col("chain_id") != 3, F.col("chain_id")))
+    query = stateful.escalation_stream(feed(spark, named, tmp_path / "in2", 3), buckets=2).writeStream.format("parquet").option(
+        "path", str(tmp_path / "c")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = [(r["chain_id"], r["idx"]) for r in spark.read.parquet(str(tmp_path / "c")).collect()]
+    assert sorted(got, key=str) == sorted([(None if c == 3 else c, 0) for c in chains if c % 4 > 0], key=str)
+    # state is kept by page and not by chain or proposal
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 2 * keyed.PAGES
+
+
 def test_spine_roots_equal_pairing_layer_by_layer():
     import hashlib
     for n in range(1, 70):
