@@ -15,6 +15,8 @@
    lie in one component gets further centers, GROWTH times as many each round, each paired with
    members of other components, until no such pair is left untried: pairs inside one component
    cannot change it, so nothing is lost and nothing is capped. Most buckets need one or two rounds.
+   After the first round only shingles held in two components count: they bound the
+   intersection of each pair, so noisy copies below the threshold are not sent to be confirmed.
 
 Sets and texts are never gathered: only the documents in candidate pairs are hashed again for the
 confirming join. Equal keys are split by adaptive skew joins, and rows are pre-aggregated.
@@ -41,6 +43,8 @@ PERCENT = 85
 GROWTH = 64
 #: Bits of a set's occupancy map, see `possible`.
 MAP_BITS = 256
+#: The same for the few documents that go on after the first round, see `reachable`.
+NEXT_BITS = 1024
 #: Bits of the map of documents whose sets are wanted (8 MB whatever their number; a full one lets all pass).
 WANTED_BITS = 1 << 26
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -120,13 +124,15 @@ def occupancy(hashes: np.ndarray, size: int = MAP_BITS) -> np.ndarray:
     return np.packbits(met).view(np.int64)
 
 
-def possible(map_x: str, map_y: str, n_x: str, n_y: str, percent: int, size: int = MAP_BITS) -> Column:
+def possible(map_x: str, map_y: str, n_x: str, n_y: str, percent: int, size: int = MAP_BITS,
+             left_x: str | None = None, left_y: str | None = None) -> Column:
     """False only for sets that cannot be similar enough: each slot that one set fills and the other
-    does not holds at least one hash of its own, which bounds the intersection from above."""
+    does not holds at least one hash of its own, which bounds the intersection from above. With `left`,
+    the maps are of so many hashes of each set, and those alone can be in the intersection."""
     def alone(one: str, other: str) -> Column:
         return reduce(Column.__add__, [F.bit_count(F.get(one, F.lit(i)).bitwiseAND(F.bitwise_not(F.get(other, F.lit(i)))))
                                        for i in range(size // 64)]).cast("long")
-    most = F.least(F.col(n_x) - alone(map_x, map_y), F.col(n_y) - alone(map_y, map_x))
+    most = F.least(F.col(left_x or n_x) - alone(map_x, map_y), F.col(left_y or n_y) - alone(map_y, map_x))
     return most * (100 + percent) >= (F.col(n_x) + F.col(n_y)) * percent
 
 
@@ -229,6 +235,29 @@ def moved(rows: DataFrame, roots: DataFrame, label: str) -> DataFrame:
             .withColumn(label, F.coalesce("_root", label)).drop("_node", "_root"))
 
 
+def open_buckets(rows: DataFrame) -> DataFrame:
+    """Rows (key, root, ...) of the buckets that hold more than one component."""
+    mixed = rows.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo <> _hi")
+    return rows.join(mixed.select("key"), "key", "left_semi")
+
+
+def reachable(rows: DataFrame, sets: DataFrame, percent: int, size: int = NEXT_BITS) -> DataFrame:
+    """doc_id, n, left, slots of the sets of documents in `rows` that may yet be similar to one of another root.
+
+    A shingle that the documents of a single root hold is in no intersection with another root's. `left` counts
+    the others, of which a link needs `percent` of the set, and `slots` is their occupancy map. A document's
+    sets are told apart, since maps of two must not be mixed.
+    """
+    each = (sets.join(rows.select("doc_id", "root").distinct(), "doc_id")
+            .select("doc_id", "root", F.xxhash64("members").alias("_set"), F.size("members").cast("long").alias("n"), F.explode("members").alias("shingle")))
+    met = each.groupBy("shingle").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo <> _hi").select("shingle")
+    slot = F.pmod(F.xxhash64("shingle"), F.lit(size))
+    word, bit = F.shiftright(slot, 6), F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(63).cast("int"))
+    left = (each.drop("root").join(met, "shingle", "left_semi").groupBy("doc_id", "_set", "n")
+            .agg(F.count("*").alias("left"), F.array(*[F.bit_or(F.when(word == i, bit).otherwise(F.lit(0).cast("long"))) for i in range(size // 64)]).alias("slots")))
+    return left.where(F.col("left") * 100 >= F.col("n") * percent).drop("_set")
+
+
 def link(docs: DataFrame, bins: int = BINS, band: int = BAND, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
@@ -255,18 +284,22 @@ def link(docs: DataFrame, bins: int = BINS, band: int = BAND, percent: int = PER
     sets = stored(near.join(involved, "doc_id", "left_semi"))
     sketches = stored(reps.join(involved, "doc_id", "left_semi").select("doc_id", "keys", "slots"))
 
-    def offered(centers: DataFrame, crowd: DataFrame, once: bool) -> DataFrame:
-        """Pairs of each bucket's centers with its members of other components. With `once`, a pair
-        that shares several buckets is offered only in the one of least key: a bucket stays open as
-        long as it holds two components, so no pair misses its turn there. ra and rb are the roots."""
+    def offered(centers: DataFrame, crowd: DataFrame, fit: DataFrame | None) -> DataFrame:
+        """Pairs of each bucket's centers with its members of other components. After the first round, with what
+        `reachable` gives, a pair that shares several buckets is offered only in the one of least key: a bucket stays
+        open as long as it holds two components, so no pair misses its turn there. ra and rb are the roots."""
+        marks = sketches if fit is None else fit.join(sketches.select("doc_id", "keys"), "doc_id")
+
         def side(rows: DataFrame, end: str) -> DataFrame:
-            return rows.join(sketches, "doc_id").select(
-                "key", F.col("doc_id").alias(end), F.col("n").alias(f"_n{end}"), F.col("root").alias(f"_r{end}"),
-                F.col("slots").alias(f"_s{end}"), *([F.col("keys").alias(f"_k{end}")] if once else []))
+            rows = rows.withColumn("left", F.col("n")) if fit is None else rows.drop("n")
+            return rows.join(marks, "doc_id").select(
+                "key", F.col("doc_id").alias(end), F.col("n").alias(f"_n{end}"), F.col("left").alias(f"_l{end}"), F.col("root").alias(f"_r{end}"),
+                F.col("slots").alias(f"_s{end}"), *([] if fit is None else [F.col("keys").alias(f"_k{end}")]))
         pairs = (side(centers, "x").join(side(crowd, "y"), "key").where("_rx <> _ry")
                  .where(F.least("_nx", "_ny") * 100 >= F.greatest("_nx", "_ny") * percent)
-                 .where(possible("_sx", "_sy", "_nx", "_ny", percent)))
-        if once:
+                 .where(F.least("_lx", "_ly") * (100 + percent) >= (F.col("_nx") + F.col("_ny")) * percent)
+                 .where(possible("_sx", "_sy", "_nx", "_ny", percent, MAP_BITS if fit is None else NEXT_BITS, "_lx", "_ly")))
+        if fit is not None:
             # tested inside the join: a pair that shares many buckets leaves it once
             pairs = pairs.where(F.array_min(F.array_intersect("_kx", "_ky")) == F.col("key"))
         return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"),
@@ -281,9 +314,14 @@ def link(docs: DataFrame, bins: int = BINS, band: int = BAND, percent: int = PER
     take, spent = 1, []
     while True:
         # the buckets that still hold more than one component, and their next centers
-        mixed = current.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count("*").alias("_left")).where("_lo <> _hi")
-        open_rows = stored(current.join(mixed.select("key"), "key", "left_semi"))
+        open_rows = stored(open_buckets(current))
         discard(*spent)  # tables of the round before, of which nothing more is read
+        fit = None
+        if take > 1 and not open_rows.isEmpty():
+            # those that no document of another component can be similar to are tried with none
+            fit, before = stored(reachable(open_rows, sets, percent)), open_rows
+            open_rows = stored(open_buckets(before.join(fit, "doc_id", "left_semi")))
+            discard(before)
         if open_rows.isEmpty():
             break
         if take == 1:
@@ -294,14 +332,14 @@ def link(docs: DataFrame, bins: int = BINS, band: int = BAND, percent: int = PER
         first = stored(first.select("key", "doc_id", "n", "root"))
         # a few pairs of the first round come again in their bucket of least key; to confirm them
         # twice is cheaper than to keep and join away all pairs tried
-        pairs = offered(first, open_rows, take > 1)
+        pairs = offered(first, open_rows, fit)
         found = stored(confirm(pairs, sets, percent).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
         # centers are done: all their pairs in the bucket have been tried
         current = open_rows.join(first.select("key", "doc_id"), ["key", "doc_id"], "left_anti")
         if not found.isEmpty():
             merges.append(components(found))
             current = moved(current, merges[-1], "root")
-        spent = [open_rows, first]
+        spent = [open_rows, first] + [fit] * (fit is not None)
         take *= GROWTH
     by_class = classes.select("digest", F.col("rep").alias("component_id"))
     for roots in merges:

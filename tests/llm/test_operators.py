@@ -202,6 +202,28 @@ def test_pipeline_drops_near_copies_from_similarity_080(spark):
     assert sorted(r["doc_id"] for r in got(near_dedup.one_of_each(docs))) == [1, 2, 3]
 
 
+def test_noisy_copies_below_the_threshold_are_not_confirmed(spark, monkeypatch):
+    """Copies of one text with changes of their own share its buckets, and few of their pairs reach the confirming join."""
+    rng, tried = np.random.default_rng(3), []
+    rows = []
+    for i in range(60):
+        text = [f"w{k}" for k in range(200)]
+        for k in rng.choice(200, 5, replace=False):
+            text[k] = f"x{i}_{k}"
+        rows.append((i, " ".join(text), "en", "s"))
+    rows += [(100, rows[40][1] + " more", "en", "s"), (101, rows[50][1] + " more", "en", "s")]
+    sets = {i: {tuple(t.split()[k:k + 5]) for k in range(len(t.split()) - 4)} for i, t, *_ in rows}
+    alike = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    root = {i: i for i in sets}
+    for a, b in sorted(alike * 5):
+        root[a] = root[b] = min(root[a], root[b])
+    confirm = near_dedup.confirm
+    monkeypatch.setattr(near_dedup, "confirm", lambda pairs, *rest: tried.append(pairs.count()) or confirm(pairs, *rest))
+    out = by_id(near_dedup.link(table(spark, rows), percent=80))
+    assert {i: r["component_id"] for i, r in out.items()} == root and {(40, 100), (50, 101)} <= set(alike)
+    assert sum(tried[1:]) < 300, tried
+
+
 def py_license_base(text):
     w = re.findall("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
     at = [(k, label) for label, phrase in license_rules.BASE for k in range(len(w)) if w[k:k + len(phrase.split())] == phrase.split()]
