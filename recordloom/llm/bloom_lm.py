@@ -7,43 +7,43 @@ bigrams smoothed with unigrams, both from probes.
 
 N-grams are keyed by 64-bit hashes of their words, so every word of the corpus and every bigram
 enters, however rare; no vocabulary is collected for the model. Segments of the filter grow in number
-with the text that teaches and are sized for their own entries, of which none is left out: one small
-group builds a segment. A filter within a bound is broadcast. A larger one is held by no task or driver:
-texts are taken in chunks of a bounded number of tokens, whose distinct n-grams are sent to their
-segments once for the chunk, and the levels found come back to it in the same order. Both ways ask
-the same segments, so scores do not depend on which one is taken.
-
-Exact word counts never leave Spark tables. Only the most frequent words, a fixed number, are
-broadcast with theirs; all other words of a document meet their counts in a join, whose keys are
-not hot, since the frequent ones have gone.
+with the text that teaches and are sized for their own entries, of which none is left out. No task or
+driver holds a filter, and n-grams travel once: texts are taken in chunks of a bounded number of
+tokens, which send their distinct n-grams to the segments, with the number of times that teaching
+texts hold them. A segment sums these, is built, and answers all chunks in the order asked. What a
+chunk needs besides (its words by number, and their hashes) goes along and meets the answers.
+
+Words travel as they are and are counted exactly; the segments answer those counts too. A pair needs
+40 bits inside its segment, where some 10^6 entries make an equal one less likely by far than a false hit
+of the filter.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from recordloom.llm.common import ARROW_ROWS, prepare
+from recordloom.llm.common import prepare
 from recordloom.llm.near_dedup import Hasher
 from recordloom.session import stored
 
-FREQUENT = 65_536
 #: Characters of teaching texts for each segment, so that segments grow in number and not in size.
 SEGMENT_CHARS = 1 << 23
 BITS_PER_ENTRY = 12
 HASHES = 4
-#: A filter of up to 32 MB is broadcast; it decides how n-grams reach the filter and not what they find.
-BROADCAST_BYTES = 1 << 25
+#: Segments at least.
 SEGMENTS = 256
 UNIGRAM_SHARE = 0.4
-FLUSH = 2_000_000
-#: Tokens of a chunk of texts, whose n-grams are probed together; a longer text is a chunk by itself.
-CHUNK = 1 << 19
+#: Tokens of a chunk of texts, whose n-grams are sent together; a longer text is a chunk by itself.
+CHUNK = 1 << 20
+#: Bytes that travel of a pair's key, and of the words' hashes that it is made from.
+KEY_BYTES = 5
 #: No word holds white space, so this one is free for the end of a text.
 END = "\n"
 BEGIN, _SINGLE, _STEP = np.uint64(0x2545F4914F6CDD1D), np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
@@ -61,10 +61,6 @@ def words_of(text: str | None) -> list[bytes]:
     return [*(text or "").encode("utf-8").lower().split(), END.encode()]
 
 
-def level_of(count: Column) -> Column:
-    return (F.floor(F.log2(count.cast("double"))) + 1).cast("int")
-
-
 def count_at(level: np.ndarray) -> np.ndarray:
     """The middle of the counts that share a level; 0 at level 0."""
     return np.where(level > 0, 0.75 * 2.0 ** level - 0.5, 0.0)
@@ -113,240 +109,210 @@ def hashes_of(words: list[bytes], hasher: Hasher) -> np.ndarray:
     return np.array([get(w) or new(w) for w in words], np.uint64)
 
 
-def pair_keys(hashes: np.ndarray) -> np.ndarray:
-    """Bigrams of one text, from the hashes of its words; BEGIN stands before the first."""
-    return mix(np.concatenate([[BEGIN], hashes[:-1]]) * _STEP + mix(hashes)).view(np.int64)
-
-
 def single_keys(hashes: np.ndarray) -> np.ndarray:
     return mix(hashes ^ _SINGLE).view(np.int64)
 
 
-def build(texts: DataFrame, segments: int) -> DataFrame:
-    """segment, bits, words, counts: the filter of all words, ends included, and all bigrams, and the
-    words' exact counts. N-grams are summed in the tasks and travel packed, a row for each segment."""
+def pairs_of(ids: np.ndarray, starts: np.ndarray, hashes: np.ndarray, segments: int) -> tuple[np.ndarray, ...]:
+    """Of a chunk's tokens (numbers of words, whose hashes are given): the distinct pairs' keys, each token's
+    place among them, their segments and the order by segment. BEGIN stands before each text."""
+    h = hashes[ids]
+    before = np.concatenate([h[:1], h[:-1]])
+    before[starts] = BEGIN
+    keys, back = np.unique(mix(before * _STEP + mix(h)).view(np.int64), return_inverse=True)
+    segment = segment_of(keys, segments)
+    return keys, back, segment, np.argsort(segment, kind="stable")
+
+
+def pack(x: bytes) -> bytes:
+    return len(x).to_bytes(8, "little") + pa.compress(x, "zstd", asbytes=True)
+
+
+def unpack(x: bytes) -> bytes:
+    return pa.decompress(x[8:], int.from_bytes(x[:8], "little"), "zstd", asbytes=True)
+
+
+def shortened(x: np.ndarray) -> bytes:
+    """The lower KEY_BYTES of 64-bit numbers."""
+    return x.view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes()
+
+
+def lengthened(x: bytes) -> np.ndarray:
+    out = np.zeros((len(x) // KEY_BYTES, 8), np.uint8)
+    out[:, :KEY_BYTES] = np.frombuffer(x, np.uint8).reshape(-1, KEY_BYTES)
+    return out.view(np.uint64).ravel()
+
+
+def planes(x: np.ndarray) -> bytes:
+    """64-bit numbers as eight runs of bytes, of which the upper ones are nearly all 0, compressed."""
+    return pack(x.astype(np.int64).view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def from_planes(x: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(unpack(x), np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+
+
+#: A row for each chunk and segment: pairs, words and how often each is taught; and one for the chunk, at a segment of
+#: its own below 0: its tokens, where texts start, the words' hashes and the texts' rows.
+SENT = pa.schema([("segment", pa.int64()), ("chunk", pa.int64()), ("pairs", pa.binary()), ("pair_times", pa.binary()), ("words", pa.binary()), ("word_times", pa.binary()),
+                  ("ids", pa.binary()), ("starts", pa.binary()), ("hashes", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("outs", pa.list_(pa.bool_()))])
+SENT_DDL = ("segment long, chunk long, pairs binary, pair_times binary, words binary, word_times binary, "
+            "ids binary, starts binary, hashes binary, doc_ids array<long>, outs array<boolean>")
+#: The answers, and the chunk's own row as it came. The first row of a segment says what it was taught.
+ANSWER = pa.schema([("segment", pa.int64()), ("chunk", pa.int64()), ("pair_levels", pa.binary()), ("word_levels", pa.binary()), ("word_counts", pa.binary()),
+                    ("types", pa.int64()), ("total", pa.int64()), ("mass", pa.float64()),
+                    ("ids", pa.binary()), ("starts", pa.binary()), ("hashes", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("outs", pa.list_(pa.bool_()))])
+ANSWER_DDL = ("segment long, chunk long, pair_levels binary, word_levels binary, word_counts binary, types long, total long, mass double, "
+              "ids binary, starts binary, hashes binary, doc_ids array<long>, outs array<boolean>")
+
+
+def batch_of(schema: pa.Schema, n: int, **columns):
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
+
+
+def sent(texts: DataFrame, segments: int, chunk: int = CHUNK) -> DataFrame:
+    """The rows of SENT for texts (doc_id, text, held_out)."""
     def rows(batches):
-        hasher, seen, held, n = Hasher(), Counter(), [], 0
+        hasher, at = Hasher(), TaskContext.get().partitionId() << 40
+        number, tokens, ids, outs, n = defaultdict(), [], [], [], 0
+        number.default_factory = number.__len__
 
         def flush():
-            pairs, c = np.unique(np.concatenate([*held, np.zeros(0, np.int64)]), return_counts=True)
-            singles = single_keys(hashes_of(list(seen), hasher))
-            keys, times = np.concatenate([singles, pairs]), np.concatenate([np.fromiter(seen.values(), np.int64, len(seen)), c.astype(np.int64)])
-            segment = segment_of(keys, segments)
-            order, every = np.argsort(segment, kind="stable"), np.arange(segments)
-            cuts = np.searchsorted(segment[order], every[1:])
-            of_word = np.argsort(segment[:len(singles)], kind="stable")
-            ends = pa.array(np.append(np.searchsorted(segment[of_word], every), len(of_word)).astype(np.int32))
-            packed = [pa.array([x.tobytes() for x in np.split(y[order], cuts)], pa.binary()) for y in (keys, times)]
-            words = pa.array([w.decode() for w in seen], pa.string()).take(pa.array(of_word))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(every.astype(np.int32)), *packed, pa.ListArray.from_arrays(ends, words),
-                 pa.ListArray.from_arrays(ends, pa.array(times[of_word]))], ["segment", "keys", "times", "words", "counts"])
+            sizes, all_ = [len(x) for x in tokens], np.concatenate(tokens)
+            starts = np.cumsum([0, *sizes[:-1]])
+            # numbered by frequency, which makes the numbers small and similar
+            ranked, words = np.argsort(-np.bincount(all_), kind="stable"), list(number)
+            all_, words = np.argsort(ranked)[all_], [words[i] for i in ranked]
+            hashes = hashes_of(words, hasher)
+            packed = shortened(hashes)
+            taught = np.repeat(~np.array(outs, bool), sizes).astype(np.float64)
+            keys, back, segment, order = pairs_of(all_, starts, lengthened(packed), segments)
+            times = np.bincount(back, weights=taught, minlength=len(keys))[order]
+            of_word = segment_of(single_keys(lengthened(packed)), segments)
+            word_order = np.argsort(of_word, kind="stable")
+            word_times = np.bincount(all_, weights=taught, minlength=len(words))[word_order]
+            met = np.unique(np.concatenate([segment, of_word]))
+            cut, word_cut = ([*np.searchsorted(x, met).tolist(), len(x)] for x in (segment[order], of_word[word_order]))
+            ranges = list(zip(cut[:-1], cut[1:], word_cut[:-1], word_cut[1:]))
+            yield batch_of(SENT, len(met), segment=met, chunk=[at] * len(met), pairs=[shortened(keys[order[a:b]]) for a, b, _, _ in ranges],
+                           pair_times=[planes(times[a:b]) for a, b, _, _ in ranges],
+                           words=[pack(b" ".join([words[i] for i in word_order[c:d]])) for _, _, c, d in ranges],
+                           word_times=[planes(word_times[c:d]) for _, _, c, d in ranges])
+            yield batch_of(SENT, 1, segment=[-1 - at], chunk=[at], ids=[planes(all_)], starts=[planes(starts)], hashes=[packed], doc_ids=[ids], outs=[outs])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for i, text, out in zip(*(c.to_pylist() for c in batch.columns)):
                 words = words_of(text)
-                seen.update(words)
-                held.append(pair_keys(hashes_of(words, hasher)))
+                if tokens and n + len(words) > chunk:
+                    yield from flush()
+                    number.clear()
+                    tokens, ids, outs, n, at = [], [], [], 0, at + 1
+                tokens.append(np.array([number[w] for w in words], np.int64))
+                ids.append(i)
+                outs.append(out)
                 n += len(words)
-                if n > FLUSH:
-                    yield flush()
-                    seen.clear()
-                    held, n = [], 0
-        if n:
-            yield flush()
+        if tokens:
+            yield from flush()
 
-    def one(group: pa.Table) -> pa.Table:
-        keys, times = (np.frombuffer(b"".join(group[c].to_pylist()), np.int64) for c in ("keys", "times"))
-        keys, at = np.unique(keys, return_inverse=True)
-        # the exponent of a count is its level
-        levels = np.frexp(np.bincount(at, weights=times, minlength=len(keys)))[1]
-        words = pa.table({"word": pa.concat_arrays([x.flatten() for x in group["words"].chunks]), "c": pa.concat_arrays([x.flatten() for x in group["counts"].chunks])})
-        words = words.group_by("word").aggregate([("c", "sum")])
-        bits = 8 * max(128, math.ceil(int(levels.sum()) * BITS_PER_ENTRY / 8))
-        return pa.table({"segment": group["segment"][:1], "bits": pa.array([build_segment(keys, levels, bits)], pa.binary()),
-                         "words": pa.array([words["word"].to_pylist()], pa.list_(pa.string())), "counts": pa.array([words["c_sum"].to_pylist()], pa.list_(pa.int64()))})
+    return texts.select("doc_id", "text", "held_out").mapInArrow(rows, SENT_DDL)
 
-    return (texts.select(F.col("text").cast("string"))
-            .mapInArrow(rows, "segment int, keys binary, times binary, words array<string>, counts array<long>")
-            .groupBy("segment").applyInArrow(one, "segment int, bits binary, words array<string>, counts array<long>"))
 
+class Segment:
+    """What all chunks sent to a segment: its distinct pairs and words, their places in the rows, exact counts, and the filter."""
 
-def probe(asked: DataFrame, table: DataFrame) -> DataFrame:
-    """chunk, segment, levels (a byte for each key) of rows (chunk, segment, keys). A segment comes
-    before the keys sent to it, so a task holds one segment and streams the keys past it."""
-    def rows(batches):
-        at, known = None, None
-        for batch in batches:
-            segment = batch.column(1).to_numpy()
-            cuts = np.flatnonzero(np.diff(segment)) + 1
-            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(segment)]):
-                keys, first = batch.column(2)[a:b].to_pylist(), batch.column(3)[a].as_py()
-                if first is not None:
-                    at, known = segment[a], Filter(np.frombuffer(first, np.uint8).reshape(1, -1), 8 * len(first))
-                    a, keys = a + 1, keys[1:]
-                if not keys:
-                    continue
-                joined = np.frombuffer(b"".join(keys), np.int64)
-                # nothing was built for a segment without entries
-                found = (known.levels(joined) if at == segment[a] else np.zeros(len(joined), np.int64)).astype(np.uint8)
-                ends = np.cumsum([len(k) // 8 for k in keys])[:-1]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.array([x.tobytes() for x in np.split(found, ends)], pa.binary())],
-                                                 ["chunk", "segment", "levels"])
-    return (asked.select("chunk", "segment", "keys", F.lit(None).cast("binary").alias("bits"))
-            .unionByName(table.select(F.lit(None).cast("long").alias("chunk"), "segment", F.lit(None).cast("binary").alias("keys"), "bits"))
-            .repartition("segment").sortWithinPartitions("segment", F.col("bits").isNull())
-            .mapInArrow(rows, "chunk long, segment int, levels binary"))
-
-
-ASKED = ("uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, words array<string>, times array<long>, "
-         "chunk long, segment int, keys binary, ends binary, back binary, context binary, word binary, pairs binary, score double")
+    def __init__(self, group: pa.Table):
+        rows = {c: group[c].to_pylist() for c in ("pairs", "pair_times", "words", "word_times")}
+        self.pair_ends = np.cumsum([len(x) // KEY_BYTES for x in rows["pairs"]])
+        pairs, self.pair_at = np.unique(lengthened(b"".join(rows["pairs"])).view(np.int64), return_inverse=True)
+        word_times = [from_planes(x) for x in rows["word_times"]]
+        self.word_ends = np.cumsum([len(x) for x in word_times])
+        words = [w for x, t in zip(rows["words"], word_times) if len(t) for w in unpack(x).split(b" ")]
+        coded = pa.array(words, pa.binary()).dictionary_encode()
+        self.words, self.word_at = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+        pair_counts = np.bincount(self.pair_at, weights=np.concatenate([from_planes(x) for x in rows["pair_times"]]), minlength=len(pairs))
+        self.counts = np.bincount(self.word_at, weights=np.concatenate(word_times), minlength=len(self.words)).astype(np.int64)
+        self.keys = np.concatenate([single_keys(hashes_of(self.words, Hasher())), pairs])
+        # the exponent of a count is its level
+        self.levels = np.frexp(np.concatenate([self.counts, pair_counts]))[1]
+        self.bits = 8 * max(128, math.ceil(int(self.levels.sum()) * BITS_PER_ENTRY / 8))
+        self.filter = build_segment(self.keys, self.levels, self.bits)
+
+    def answers(self, group: pa.Table) -> pa.Table:
+        found = Filter(np.frombuffer(self.filter, np.uint8).reshape(1, -1), self.bits).levels(self.keys).astype(np.uint8)
+        n = len(self.words)
+        pairs, words, counts = found[n:][self.pair_at], found[:n][self.word_at], self.counts[self.word_at]
+        mass = float(count_at(self.levels[:n].astype(np.float64)).sum())
+        rest = [0] * (len(group) - 1)
+        return pa.Table.from_batches([batch_of(
+            ANSWER, len(group), segment=group["segment"].to_pylist(), chunk=group["chunk"].to_pylist(),
+            pair_levels=[pack(x.tobytes()) for x in np.split(pairs, self.pair_ends[:-1])],
+            word_levels=[pack(x.tobytes()) for x in np.split(words, self.word_ends[:-1])],
+            word_counts=[planes(x) for x in np.split(counts, self.word_ends[:-1])],
+            types=[int((self.counts > 0).sum()), *rest], total=[int(self.counts.sum()), *rest], mass=[mass, *rest])])
 
 
-def planes(x: np.ndarray) -> bytes:
-    """32-bit numbers as four runs of bytes, of which the upper ones are nearly all 0 and compress."""
-    return x.astype(np.int32).view(np.uint8).reshape(-1, 4).T.tobytes()
+def build(texts: DataFrame, segments: int) -> DataFrame:
+    """segment, bits, words, counts: the filter of all words, ends included, and all bigrams of texts (by the lower
+    KEY_BYTES of their keys), and the words' exact counts."""
+    def one(group: pa.Table) -> pa.Table:
+        made = Segment(group)
+        return pa.table({"segment": group["segment"][:1], "bits": pa.array([made.filter], pa.binary()),
+                         "words": pa.array([[w.decode() for w in made.words]], pa.list_(pa.string())), "counts": pa.array([made.counts], pa.list_(pa.int64()))})
 
+    all_ = texts.select(F.lit(None).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(False).alias("held_out"))
+    return (sent(all_, segments).where("segment >= 0").groupBy("segment")
+            .applyInArrow(one, "segment long, bits binary, words array<string>, counts array<long>"))
 
-def from_planes(x: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(4, -1).T).view(np.int32).ravel()
 
+def answered(rows: DataFrame) -> DataFrame:
+    """The rows of ANSWER for those of SENT: a segment is built of all its rows and answers each of them."""
+    def one(group: pa.Table) -> pa.Table:
+        if group["segment"][0].as_py() >= 0:
+            return Segment(group).answers(group)
+        return pa.table([group[f.name] if f.name in group.column_names else pa.nulls(len(group), f.type) for f in ANSWER], schema=ANSWER)
 
-def asked_of(hashes: list[np.ndarray], segments: int):
-    """The distinct n-grams of a chunk, as keys in order of their segments, and where its tokens find them.
+    return rows.groupBy("segment").applyInArrow(one, ANSWER_DDL)
 
-    segment -> keys; ends (tokens up to each text's end); back (each token's pair); context and word
-    (each pair's unigrams); pairs (which of all keys are pairs, as bits).
-    """
-    ends = np.cumsum([len(h) for h in hashes])
-    singles, word = np.unique(np.concatenate(hashes), return_inverse=True)
-    context = np.concatenate([[0], word[:-1]])
-    # the beginning is a context once for each end, so it shares the end's unigram
-    context[np.concatenate([[0], ends[:-1]])] = word[-1]
-    some, first, back = np.unique(np.concatenate([pair_keys(h) for h in hashes]), return_index=True, return_inverse=True)
-    keys = np.concatenate([single_keys(singles), some])
-    segment = segment_of(keys, segments)
-    order = np.argsort(segment, kind="stable")
-    pairs = order >= len(singles)
-    of_pair, of_single = order[pairs] - len(singles), order[~pairs]
-    place, rank = np.empty(len(of_pair), np.int32), np.empty(len(of_single), np.int32)
-    place[of_pair], rank[of_single] = np.arange(len(of_pair)), np.arange(len(of_single))
-    held, at = np.unique(segment[order], return_index=True)
-    return (dict(zip(held.tolist(), np.split(keys[order], at[1:]))), ends, place[back],
-            rank[context[first[of_pair]]], rank[word[first[of_pair]]], np.packbits(pairs))
-
-
-def text_scores(levels: np.ndarray, ends: np.ndarray, back: np.ndarray, context: np.ndarray, word: np.ndarray, pairs: np.ndarray,
-                mass: float, types: int) -> list[float]:
-    """Of each text of a chunk, from the levels of its keys and the places that asked_of gives."""
-    found, pairs = count_at(levels.astype(np.float64)), np.unpackbits(pairs, count=len(levels)).astype(bool)
-    singles = found[~pairs]
-    share = np.minimum(1.0, found[pairs] / np.maximum(1.0, singles[context]))
-    alone = (singles + 0.5) / (mass + 0.5 * (types + 1))
-    each = np.log10((1 - UNIGRAM_SHARE) * share + UNIGRAM_SHARE * alone[word])[back]
-    return [float(each[a:b].sum()) for a, b in zip([0, *ends[:-1]], ends)]
-
-
-def score(docs: DataFrame, held_out: Column, frequent: int = FREQUENT, model_words: int | None = None,
-          segment_chars: int = SEGMENT_CHARS, chunk: int = CHUNK,
-          broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+
+def score(docs: DataFrame, held_out: Column, frequent: int = 0, model_words: int | None = None,
+          segment_chars: int = SEGMENT_CHARS, chunk: int = CHUNK, broadcast_bytes: int = 0) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Rows where `held_out` is false or null teach, all rows are scored. A null text is an empty one,
     whose only token is the end. Repeated rows teach as often as they stand. Without any training
     token counts are 0 and probabilities those of smoothing alone. base_score is exact; score is the
-    model's log10 probability. `model_words` is taken for older callers and limits nothing.
+    model's log10 probability. `frequent`, `model_words` and `broadcast_bytes` are taken for older callers and limit nothing.
     """
-    spark = prepare(docs.sparkSession)
+    prepare(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
                          F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    taught = source.where(~F.col("held_out"))
-    segments = 1 + taught.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] // segment_chars
-    table = stored(build(taught, segments))
-    counts = table.select(F.explode(F.arrays_zip("words", "counts")).alias("z")).select(F.col("z.words").alias("word"), F.col("z.counts").alias("c"))
-    total, types, mass = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"),
-                                    F.coalesce(F.sum(F.pow(F.lit(2.0), level_of(F.col("c"))) * 0.75 - 0.5), F.lit(0.0))).first()
-    shipped = None
-    if table.agg(F.coalesce(F.sum(F.length("bits")), F.lit(0))).first()[0] <= broadcast_bytes:
-        shipped = spark.sparkContext.broadcast({r["segment"]: bytes(r["bits"]) for r in table.select("segment", "bits").collect()})
-    # a fixed number of words
-    top = counts.orderBy(F.desc("c"), "word").limit(frequent).collect()
-    box = spark.sparkContext.broadcast({r["word"].encode(): math.log10((r["c"] + 0.5) / (total + 0.5 * (types + 1))) for r in top})
-    floor = math.log10(0.5 / (total + 0.5 * (types + 1)))
-    schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()),
-                        ("base", pa.float64()), ("words", pa.list_(pa.string())), ("times", pa.list_(pa.int64())), ("chunk", pa.int64()),
-                        ("segment", pa.int32()), *((c, pa.binary()) for c in ("keys", "ends", "back", "context", "word", "pairs")), ("score", pa.float64())])
-
-    def made(n, **columns):
-        return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
-
-    def rows(batches):
-        base_of, hasher, held, n, uid = box.value, Hasher(), [], 0, TaskContext.get().partitionId() << 40
-        known = base_of.get
-        at_hand = shipped and {k: Filter(np.frombuffer(v, np.uint8).reshape(1, -1), 8 * len(v)) for k, v in shipped.value.items()}
+    segments = max(SEGMENTS, 1 + source.where(~F.col("held_out")).agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] // segment_chars)
+    table = stored(answered(sent(source, segments, chunk)))
+    types, total, mass = table.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("types", "total", "mass")]).first()
 
-        def flush():
-            keys, ends, back, context, word, pairs = asked_of(held, segments)
-            first = uid - len(held)
-            if at_hand is not None:
-                levels = [at_hand[s].levels(k) if s in at_hand else np.zeros(len(k), np.int64) for s, k in keys.items()]
-                yield made(len(held), chunk=pa.array(first + np.arange(len(held))),
-                           score=pa.array(text_scores(np.concatenate(levels), ends, back, context, word, pairs, mass, types), pa.float64()))
-                return
-            yield made(len(keys), chunk=pa.array([first] * len(keys), pa.int64()), segment=pa.array(list(keys), pa.int32()),
-                       keys=pa.array([k.tobytes() for k in keys.values()], pa.binary()))
-            yield made(1, chunk=pa.array([first], pa.int64()),
-                       ends=pa.array([ends.tobytes()], pa.binary()), pairs=pa.array([pairs.tobytes()], pa.binary()),
-                       **{c: pa.array([planes(x)], pa.binary()) for c, x in (("back", back), ("context", context), ("word", word))})
-
-        for batch in batches:
-            docs_ = []
-            for text in batch.column(1).to_pylist():
-                words = words_of(text)
-                if held and n + len(words) > chunk:
-                    yield from flush()
-                    held, n = [], 0
-                held.append(hashes_of(words, hasher))
-                n, uid = n + len(words), uid + 1
-                bases = [known(w) for w in words]
-                rest = Counter(w for w, x in zip(words, bases) if x is None)
-                bases = [x for x in bases if x is not None]
-                docs_.append((uid - 1, len(words), len(bases), math.fsum(bases), rest))
-            ends = pa.array(np.cumsum([0] + [len(d[4]) for d in docs_]).astype(np.int32))
-            yield made(len(docs_), doc_id=batch.column(0), held_out=batch.column(2),
-                       **{c: pa.array([d[i] for d in docs_], kind) for i, (c, kind) in enumerate(
-                           (("uid", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64())))},
-                       words=pa.ListArray.from_arrays(ends, pa.array([w.decode() for d in docs_ for w in d[4]], pa.string())),
-                       times=pa.ListArray.from_arrays(ends, pa.array([k for d in docs_ for k in d[4].values()], pa.int64())))
-        if held:
-            yield from flush()
-
-    def logs(batches):
-        for batch in batches:
-            for r in batch.to_pylist():
-                levels, ends = np.frombuffer(b"".join(x["levels"] for x in r["found"]), np.uint8), np.frombuffer(r["ends"], np.int64)
-                made_ = text_scores(levels, ends, *(from_planes(r[c]) for c in ("back", "context", "word")), np.frombuffer(r["pairs"], np.uint8), mass, types)
-                yield pa.RecordBatch.from_arrays([pa.array(r["chunk"] + np.arange(len(ends))), pa.array(made_, pa.float64())], ["uid", "score"])
-
-    part = stored(source.mapInArrow(rows, ASKED))
-    if shipped is not None:
-        scores = part.where(F.col("score").isNotNull()).select(F.col("chunk").alias("uid"), "score")
-    else:
-        levels = (probe(part.where(F.col("segment").isNotNull()), table.select("segment", "bits"))
-                  .groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("segment", "levels"))).alias("found")))
-        chunks = part.where(F.col("ends").isNotNull()).select("chunk", "ends", "back", "context", "word", "pairs").join(levels, "chunk")
-        try:
-            # a chunk is a row of some MB
-            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
-            scores = stored(chunks.mapInArrow(logs, "uid long, score double"))
-        finally:
-            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    part = part.where(F.col("uid").isNotNull()).select("uid", "doc_id", "held_out", "n_tokens", "known", "base", "words", "times")
-    rare = (part.select("uid", F.explode(F.arrays_zip("words", "times")).alias("z"))
-            .select("uid", F.col("z.words").alias("word"), F.col("z.times").alias("times"))
-            .join(counts, "word", "left")
-            .groupBy("uid").agg(F.sum(F.when(F.col("c").isNotNull(), F.col("times"))).alias("more"),
-                                F.sum(F.col("times") * F.coalesce(F.log10((F.col("c") + 0.5) / F.lit(total + 0.5 * (types + 1))), F.lit(floor))).alias("rest")))
-    return part.drop("words", "times").join(scores, "uid").join(rare, "uid", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0).cast("long"))).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("rest", F.lit(0.0))).alias("base_score"), "score")
+    def one(group: pa.Table) -> pa.Table:
+        own = group.filter(pc.less(group["segment"], 0)).to_batches()[0]
+        answers = group.filter(pc.greater_equal(group["segment"], 0)).sort_by("segment")
+        ids, starts = from_planes(own["ids"][0].as_py()), from_planes(own["starts"][0].as_py())
+        hashes = lengthened(own["hashes"][0].as_py())
+        keys, back, _, order = pairs_of(ids, starts, hashes, segments)
+        word_order = np.argsort(segment_of(single_keys(hashes), segments), kind="stable")
+        level, single, c = np.zeros(len(keys)), np.zeros(len(hashes)), np.zeros(len(hashes), np.int64)
+        level[order] = np.frombuffer(b"".join(unpack(x) for x in answers["pair_levels"].to_pylist()), np.uint8)
+        single[word_order] = np.frombuffer(b"".join(unpack(x) for x in answers["word_levels"].to_pylist()), np.uint8)
+        c[word_order] = np.concatenate([from_planes(x) for x in answers["word_counts"].to_pylist()])
+        single = count_at(single)
+        # the beginning is a context once for each end, so it shares the end's unigram
+        context = np.concatenate([ids[:1], ids[:-1]])
+        context[starts] = ids[-1]
+        share = np.minimum(1.0, count_at(level)[back] / np.maximum(1.0, single[context]))
+        alone = (single + 0.5) / (mass + 0.5 * (types + 1))
+        each = np.log10((1 - UNIGRAM_SHARE) * share + UNIGRAM_SHARE * alone[ids])
+        base = np.log10((c + 0.5) / (total + 0.5 * (types + 1)))[ids]
+        n = len(starts)
+        return pa.table({"doc_id": own["doc_ids"].flatten(), "held_out": own["outs"].flatten(), "n_tokens": np.diff([*starts, len(ids)]),
+                         "n_known": np.add.reduceat((c > 0)[ids].astype(np.int64), starts), "train_tokens": np.full(n, total, np.int64),
+                         "base_score": np.add.reduceat(base, starts), "score": np.add.reduceat(each, starts)})
+
+    return table.groupBy("chunk").applyInArrow(
+        one, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

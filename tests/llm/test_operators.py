@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -378,6 +379,18 @@ def test_bloom_lm_keeps_every_level_in_many_segments(spark):
     assert bloom_lm.build(df, 7).count() == 7
 
 
+def test_bloom_lm_stores_few_bytes_for_a_token(spark, monkeypatch):
+    """N-grams travel to their segments and are not written down besides: what is stored is words by number, short hashes and answers."""
+    rng, frames = np.random.default_rng(2), []
+    words = np.array([f"word{i}" for i in range(5000)])
+    rows = [(i, " ".join(words[rng.integers(0, 5000, 1000)]), "en", "a") for i in range(60)]
+    stored = bloom_lm.stored
+    monkeypatch.setattr(bloom_lm, "stored", lambda df: frames.append(stored(df)) or frames[-1])
+    out = by_id(bloom_lm.score(table(spark, rows), F.col("doc_id") >= 50, broadcast_bytes=0))
+    size = sum(os.path.getsize(f.removeprefix("file://")) for df in frames for f in df.inputFiles())
+    assert len(out) == 60 and size < 8 * sum(r["n_tokens"] for r in out.values()), size
+
+
 def test_filter_counts_never_fall_short():
     keys = np.arange(2000, dtype=np.int64) * 7919
     levels = 1 + np.arange(2000) % 6
