@@ -17,6 +17,8 @@
    cannot change it, so nothing is lost and nothing is capped. Most buckets need one or two rounds.
    After the first round only shingles held in two components count: they bound the
    intersection of each pair, so noisy copies below the threshold are not sent to be confirmed.
+   From then on a bucket is dealt into tiles of TILE by TILE ranks, so the number of tasks does not
+   grow with the square of a hot bucket's bytes.
 
 Sets and texts are never gathered: only the documents in candidate pairs are hashed again for the
 confirming join. Equal keys are split by adaptive skew joins, and rows are pre-aggregated.
@@ -45,6 +47,8 @@ GROWTH = 64
 MAP_BITS = 256
 #: The same for the few documents that go on after the first round, see `reachable`.
 NEXT_BITS = 1024
+#: Ranks of a bucket that meet as many others in one task after the first round, see `tiled`.
+TILE = 2048
 #: Bits of the map of documents whose sets are wanted (8 MB whatever their number; a full one lets all pass).
 WANTED_BITS = 1 << 26
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -258,6 +262,32 @@ def reachable(rows: DataFrame, sets: DataFrame, percent: int, size: int = NEXT_B
     return left.where(F.col("left") * 100 >= F.col("n") * percent).drop("_set")
 
 
+def tiled(marked: DataFrame, take: int, percent: int, tile: int = TILE) -> DataFrame:
+    """Pairs (a, b, ra, rb) of each bucket's first `take` ranks with its members of other roots that may be similar.
+
+    `marked` holds a row for each set of a bucket's member: key, doc_id, root, at (rank from 1), size (of the bucket), n,
+    left, slots, and `keys`, the open buckets of the document. A pair that shares several is offered only in the one of
+    least key. Tiles are dealt out by name: Spark would split both sides of a hot key by their bytes and run a task for
+    each two pieces, which the driver has to keep count of.
+    """
+    def side(rows: DataFrame, end: str, mine: str, other: str, reach: Column) -> DataFrame:
+        tiles = F.floor((reach - 1) / tile)
+        return (rows.select("key", *[F.col(c).alias(f"_{c}{end}") for c in ("doc_id", "root", "at", "n", "left", "slots", "keys")],
+                            F.floor((F.col("at") - 1) / tile).alias(mine), F.explode(F.sequence(F.lit(0).cast("long"), tiles)).alias(other))
+                .repartition("key", "_i", "_j"))
+    centers = side(marked.where(F.col("at") <= take), "x", "_i", "_j", F.col("size"))
+    crowd = side(marked, "y", "_j", "_i", F.least("size", F.lit(take).cast("long")))
+    pairs = (centers.join(crowd, ["key", "_i", "_j"]).where("_rootx <> _rooty")
+             .where((F.col("_aty") > take) | (F.col("_doc_idx") < F.col("_doc_idy")))  # two centers meet once
+             .where(F.least("_nx", "_ny") * 100 >= F.greatest("_nx", "_ny") * percent)
+             .where(F.least("_leftx", "_lefty") * (100 + percent) >= (F.col("_nx") + F.col("_ny")) * percent)
+             .where(possible("_slotsx", "_slotsy", "_nx", "_ny", percent, NEXT_BITS, "_leftx", "_lefty"))
+             # tested inside the join: a pair that shares many buckets leaves it once
+             .where(F.array_min(F.array_intersect("_keysx", "_keysy")) == F.col("key")))
+    return pairs.select(F.least("_doc_idx", "_doc_idy").alias("a"), F.greatest("_doc_idx", "_doc_idy").alias("b"),
+                        F.least("_rootx", "_rooty").alias("ra"), F.greatest("_rootx", "_rooty").alias("rb")).distinct()
+
+
 def link(docs: DataFrame, bins: int = BINS, band: int = BAND, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
@@ -282,26 +312,16 @@ def link(docs: DataFrame, bins: int = BINS, band: int = BAND, percent: int = PER
     involved = members.select("doc_id").distinct()
     near = shingle_sets(docs, shingle, wanted_map(involved))
     sets = stored(near.join(involved, "doc_id", "left_semi"))
-    sketches = stored(reps.join(involved, "doc_id", "left_semi").select("doc_id", "keys", "slots"))
-
-    def offered(centers: DataFrame, crowd: DataFrame, fit: DataFrame | None) -> DataFrame:
-        """Pairs of each bucket's centers with its members of other components. After the first round, with what
-        `reachable` gives, a pair that shares several buckets is offered only in the one of least key: a bucket stays
-        open as long as it holds two components, so no pair misses its turn there. ra and rb are the roots."""
-        marks = sketches if fit is None else fit.join(sketches.select("doc_id", "keys"), "doc_id")
+    sketches = stored(reps.join(involved, "doc_id", "left_semi").select("doc_id", "slots"))
 
+    def offered(centers: DataFrame, crowd: DataFrame) -> DataFrame:
+        """Pairs of each bucket's center of the first round with its members of other components. ra and rb are the roots."""
         def side(rows: DataFrame, end: str) -> DataFrame:
-            rows = rows.withColumn("left", F.col("n")) if fit is None else rows.drop("n")
-            return rows.join(marks, "doc_id").select(
-                "key", F.col("doc_id").alias(end), F.col("n").alias(f"_n{end}"), F.col("left").alias(f"_l{end}"), F.col("root").alias(f"_r{end}"),
-                F.col("slots").alias(f"_s{end}"), *([] if fit is None else [F.col("keys").alias(f"_k{end}")]))
+            return rows.join(sketches, "doc_id").select(
+                "key", F.col("doc_id").alias(end), F.col("n").alias(f"_n{end}"), F.col("root").alias(f"_r{end}"), F.col("slots").alias(f"_s{end}"))
         pairs = (side(centers, "x").join(side(crowd, "y"), "key").where("_rx <> _ry")
                  .where(F.least("_nx", "_ny") * 100 >= F.greatest("_nx", "_ny") * percent)
-                 .where(F.least("_lx", "_ly") * (100 + percent) >= (F.col("_nx") + F.col("_ny")) * percent)
-                 .where(possible("_sx", "_sy", "_nx", "_ny", percent, MAP_BITS if fit is None else NEXT_BITS, "_lx", "_ly")))
-        if fit is not None:
-            # tested inside the join: a pair that shares many buckets leaves it once
-            pairs = pairs.where(F.array_min(F.array_intersect("_kx", "_ky")) == F.col("key"))
+                 .where(possible("_sx", "_sy", "_nx", "_ny", percent)))
         return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"),
                             F.least("_rx", "_ry").alias("ra"), F.greatest("_rx", "_ry").alias("rb")).distinct()
 
@@ -316,30 +336,42 @@ def link(docs: DataFrame, bins: int = BINS, band: int = BAND, percent: int = PER
         # the buckets that still hold more than one component, and their next centers
         open_rows = stored(open_buckets(current))
         discard(*spent)  # tables of the round before, of which nothing more is read
-        fit = None
+        spent = []
         if take > 1 and not open_rows.isEmpty():
             # those that no document of another component can be similar to are tried with none
             fit, before = stored(reachable(open_rows, sets, percent)), open_rows
-            open_rows = stored(open_buckets(before.join(fit, "doc_id", "left_semi")))
+            bucket = W.partitionBy("key")
+            open_rows = stored(open_buckets(before.join(fit, "doc_id", "left_semi"))
+                               .withColumn("at", F.row_number().over(bucket.orderBy("mates", "doc_id")).cast("long"))
+                               .withColumn("size", F.count("*").over(bucket)))
             discard(before)
         if open_rows.isEmpty():
             break
+        # a few pairs of the first round come again in their bucket of least key; to confirm them
+        # twice is cheaper than to keep and join away all pairs tried. Centers are done: all their
+        # pairs in the bucket have been tried. A pair shut out of a bucket that is not its least one
+        # stays in that: a bucket is open as long as it holds two components, so none misses its turn
         if take == 1:
-            first = open_rows.groupBy("key").agg(F.min(F.struct("mates", "doc_id", "n", "root")).alias("c")).select("key", "c.*")
+            first = stored(open_rows.groupBy("key").agg(F.min(F.struct("mates", "doc_id", "n", "root")).alias("c"))
+                           .select("key", "c.doc_id", "c.n", "c.root"))
+            pairs, needed = stored(offered(first, open_rows)), sets
+            current = open_rows.join(first.select("key", "doc_id"), ["key", "doc_id"], "left_anti")
+            discard(sketches)
+            spent = [first]
         else:
-            order = W.partitionBy("key").orderBy("mates", "doc_id")
-            first = open_rows.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= take).drop("_at")
-        first = stored(first.select("key", "doc_id", "n", "root"))
-        # a few pairs of the first round come again in their bucket of least key; to confirm them
-        # twice is cheaper than to keep and join away all pairs tried
-        pairs = offered(first, open_rows, fit)
-        found = stored(confirm(pairs, sets, percent).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
-        # centers are done: all their pairs in the bucket have been tried
-        current = open_rows.join(first.select("key", "doc_id"), ["key", "doc_id"], "left_anti")
-        if not found.isEmpty():
-            merges.append(components(found))
-            current = moved(current, merges[-1], "root")
-        spent = [open_rows, first] + [fit] * (fit is not None)
+            keys = open_rows.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
+            marked = stored(open_rows.drop("n", "mates").join(fit.join(keys, "doc_id"), "doc_id"))
+            pairs = stored(tiled(marked, take, percent))
+            discard(fit, marked)
+            ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+            needed = sets.join(ends, "doc_id", "left_semi")  # few by now: the other sets are not moved
+            current = open_rows.where(F.col("at") > take).drop("at", "size")
+        spent += [open_rows, pairs]
+        if not pairs.isEmpty():
+            found = stored(confirm(pairs, needed, percent).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
+            if not found.isEmpty():
+                merges.append(components(found))
+                current = moved(current, merges[-1], "root")
         take *= GROWTH
     by_class = classes.select("digest", F.col("rep").alias("component_id"))
     for roots in merges:

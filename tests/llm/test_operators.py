@@ -546,3 +546,42 @@ def test_mix_is_shuffled_inside_its_shards(spark):
         once = [place[i] for i in ids if often[i] == 1]
         assert once == sorted(once)
     assert any(ids != sorted(ids) for ids in by_part.values())
+
+
+def test_a_hot_bucket_is_dealt_into_tiles(spark):
+    # 900 members of one bucket, some in a second one; the pairs of all tiles are those of plain code, each once, and
+    # neither side of the hot key is split by its bytes into a task for each two pieces
+    rng = np.random.default_rng(5)
+    held = [(k, i, int(rng.integers(0, 700)), set(rng.choice(1024, 40, replace=False).tolist()) if i % 9 else set(range(40)))
+            for i in range(900) for k in [7]]
+    keys = {i: [3, 7] if i % 4 == 0 else [7] for i in range(900)}
+
+    def words(bits):
+        met = np.zeros(1024, bool)
+        met[list(bits)] = True
+        return np.packbits(met).view(np.int64).tolist()
+    second = [(3, i, root, bits) for _, i, root, bits in held if 3 in keys[i]]
+    rows = [(k, i, root, at + 1, len(bucket), 40, 40, words(bits), keys[i])
+            for bucket in (held, second) for at, (k, i, root, bits) in enumerate(bucket)]
+    marked = spark.createDataFrame(rows, "key long, doc_id long, root long, at long, size long, n long, left long, slots array<long>, keys array<long>").repartition(20)
+    root, bits = {i: r for _, i, r, _ in held}, {i: b for _, i, _, b in held}
+    small = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k",
+             "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+             "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k, None) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        for take, tile in ((64, 100), (4096, 250), (4096, near_dedup.TILE)):
+            want = {(i, j) for i in range(900) for j in range(i + 1, 900) if root[i] != root[j] and len(bits[i] & bits[j]) * 180 >= 80 * 80
+                    and ((i // 4 < take) if i % 4 == 0 and j % 4 == 0 else i < take)}
+            spark.sparkContext.setJobGroup(f"tiles-{take}-{tile}", "")
+            found = [(r["a"], r["b"]) for r in near_dedup.tiled(marked, take, 80, tile).collect()]
+            assert len(found) == len(set(found)) and set(found) == want and len(want) > 100
+            tracker = spark.sparkContext.statusTracker()
+            stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(f"tiles-{take}-{tile}") for s in tracker.getJobInfo(j).stageIds]
+            assert max(s.numTasks for s in stages if s) <= 20
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
